@@ -1,57 +1,147 @@
-"""Token ids by a public tokenizer file, with every distinct word encoded once.
+"""Token ids by a public tokenizer file, with every distinct piece encoded once.
 
 Neither the normaliser nor the pre-tokenizer of such a file looks across white space, so a text's ids are its
-words' ids one after another; a memory of bounded size keeps the words met before.
+words' ids one after another. Words of ASCII and Latin-1 letters and ASCII punctuation are cut further into
+runs of letters (in lower case), runs of punctuation and single digits, as the pre-tokenizer does; any other
+word goes to the tokenizer whole. A memory of bounded size keeps the pieces met before.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 
 import numpy as np
 
+from caseweave.llm.common import P1, mix, slices, span_hash, utf8, word_spans
+
 MARK = "\x01"
+#: Classes of bytes: 1 letter, 2 punctuation, 3 digit, 0 else. The apostrophe starts contractions and the bar special tokens, so they are "else".
+CLASS = np.zeros(256, np.uint8)
+CLASS[[*range(33, 48), *range(58, 65), *range(91, 97), 123, 125, 126]] = 2
+CLASS[39] = 0
+CLASS[48:58] = 3
+CLASS[[*range(65, 91), *range(97, 123)]] = 1
+
+
+class Memory:
+    """A dictionary of at most twice `most` entries: when the young half is full it becomes the old one, and what is met again is young again."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, keys) -> list[str]:
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        fresh = [k for k in keys if k not in young]
+        if not old:
+            return fresh
+        for k in fresh:
+            if k in old:
+                young[k] = old[k]
+        return [k for k in fresh if k not in old]
 
 
 class WordEncoder:
-    """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes, as the tokenizer itself does."""
+    """The ids that the tokenizer itself gives for whole texts, without special tokens."""
 
-    def __init__(self, path: str, most_words: int = 300_000):
+    def __init__(self, path: str, most_pieces: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
-        self.most_words = most_words
-        self.known: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        lists = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.known) > self.most_words:
-            self.known = {"": b""}
-        fresh = set().union(*lists) - self.known.keys()
-        if fresh:
-            self._learn(list(fresh))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in lists]
-
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if MARK not in w] if self.mark is not None else []
-        groups = [plain[i : i + 4096] for i in range(0, len(plain), 4096)]
-        odd = [w for w in words if MARK in w] if self.mark is not None else words
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast([f" {MARK} ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        #: Whether the parts give the same ids as the whole here, and case doesn't count.
+        self.parts = self._plain("Été,12") == b"".join(map(self._plain, ("été", ",", "1", "2"))) and self._plain("A") == self._plain("a")
+        self.pieces = Memory(most_pieces)
+
+    def _plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts laid end to end as UTF-8 (text i is data[offsets[i]:offsets[i + 1]]), and where each text's ids begin and end."""
+        starts, ends, first = word_spans(data, offsets)
+        if not len(starts):
+            return np.zeros(0, "<u4"), np.zeros(len(offsets), np.int64)
+        if self.parts:
+            data, starts, ends, first = cut(data, starts, ends, first)
+        hashes = mix(span_hash(data.astype(np.uint64) + np.uint64(1), starts, ends, P1)) + (ends - starts).astype(np.uint64)
+        _, example, which = np.unique(hashes, return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        pieces = [raw[a:b] for a, b in zip(starts[example].tolist(), ends[example].tolist(), strict=True)]
+        gc.disable()  # nothing here makes cycles, and the many small objects would be searched again and again
+        self._ask(self.pieces.missing(pieces), self.pieces.young)
+        found = list(map(self.pieces.young.__getitem__, pieces))
+        gc.enable()
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), dtype="<u4")
+        each = sizes[which]
+        at = np.zeros(len(each) + 1, np.int64)
+        np.cumsum(each, out=at[1:])
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[which] - at[:-1], each) + np.arange(at[-1])]
+        return ids, at[first]
+
+    def _ask(self, pieces: list[bytes], known: dict[bytes, bytes]) -> None:
+        """Encode many pieces in one text, with a mark between them."""
+        words = [p.decode("utf-8", "replace") for p in pieces]
+        odd = [k for k, w in enumerate(words) if self.mark is None or MARK in w]
+        plain = [k for k, w in enumerate(words) if MARK not in w] if self.mark is not None else []
+        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([f" {MARK} ".join([words[k] for k in g]) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, dtype="<u4")
             ends = np.flatnonzero(ids == self.mark)
             if len(ends) != len(group) - 1:
                 odd += group
                 continue
             raw, a = ids.tobytes(), 0
-            for word, end in zip(group, [*(ends * 4).tolist(), len(raw)], strict=True):
-                self.known[word] = raw[a:end]
+            for k, end in zip(group, [*(ends * 4).tolist(), len(raw)], strict=True):
+                known[pieces[k]] = raw[a:end]
                 a = end + 4
-        for word, found in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(found.ids, dtype="<u4").tobytes()
+        for k in odd:
+            known[pieces[k]] = self._plain(words[k])
+
+
+def cut(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray):
+    """Cut words of known bytes into pieces, in lower case; the others stay whole. `first`: the first word of each text, then the first piece."""
+    kind = CLASS[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[~np.isin(data[lead + 1], (0x97, 0xB7))]
+    kind[lead] = kind[lead + 1] = 1
+    lower = data.copy()
+    lower[(data >= 65) & (data <= 90)] += 32
+    upper = lead + 1
+    upper = upper[data[upper] <= 0x9E]
+    lower[upper] += 32
+    n = len(data)
+    unknown = np.zeros(n + 1, np.int64)
+    np.cumsum(kind == 0, out=unknown[1:])
+    whole = unknown[ends] > unknown[starts]
+    change = np.empty(n, bool)
+    change[:1] = True
+    np.not_equal(kind[1:], kind[:-1], out=change[1:])
+    change |= kind == 3
+    odd = np.flatnonzero(whole)
+    if len(odd):
+        step = np.zeros(n + 1, np.int32)
+        step[starts[odd]] += 1
+        step[ends[odd]] -= 1
+        inside = np.cumsum(step[:n]) > 0
+        change &= ~inside
+        lower[inside] = data[inside]
+    else:
+        inside = None
+    gaps = np.zeros(n + 1, np.int32)
+    gaps[starts] += 1
+    gaps[ends] -= 1
+    change &= np.cumsum(gaps[:n]) > 0
+    change[starts] = True
+    begins = np.flatnonzero(change)
+    word = np.searchsorted(begins, starts)
+    last = np.append(begins[1:], n)
+    last[np.append(word[1:], len(begins)) - 1] = ends
+    return lower, begins, last, np.append(word, len(begins))[first]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -64,12 +154,9 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def encoded(batches, path: str, most: int = 1 << 20):
-    """(batch, first row, ids of some rows) over Arrow batches whose column "text" holds the texts, about `most` bytes at a time."""
-    from caseweave.llm.common import slices, utf8
-
+def encoded(batches, path: str, most: int = 1 << 21):
+    """(batch, first row, ids, offsets of each row's ids) over Arrow batches whose column "text" holds the texts, about `most` bytes at a time."""
     for batch in batches:
-        column = batch.column("text")
-        _, offsets = utf8(column)
+        data, offsets = utf8(batch.column("text"))
         for a, b in slices(offsets, most):
-            yield batch, a, encoder(path).encode(column.slice(a, b - a).to_pylist())
+            yield batch, a, *encoder(path).encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])

@@ -33,13 +33,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
         tail = np.array([end_id], dtype="<u4").tobytes()
         names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids
-        for batch, a, found in encoded(batches, tokenizer):
-            rows = []
-            for doc, ids in zip(batch.column("doc_id").slice(a, len(found)).to_pylist(), found, strict=True):
-                ids += tail
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)) + (part,) * with_ids)
+        for batch, a, ids, at in encoded(batches, tokenizer):
+            rows, raw, at = [], ids.astype("<u4").tobytes(), (at * 4).tolist()
+            for k, doc in enumerate(batch.column("doc_id").slice(a, len(at) - 1).to_pylist()):
+                whole = raw[at[k] : at[k + 1]] + tail
+                for n, x in enumerate(range(0, len(whole), 4 * capacity)):
+                    part = whole[x : x + 4 * capacity]
+                    rows.append((doc, n, x // 4, len(part) // 4, zlib.crc32(part)) + (part,) * with_ids)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECE + ", ids binary" * with_ids)
