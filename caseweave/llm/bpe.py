@@ -46,11 +46,13 @@ class Memory:
 class WordEncoder:
     """The ids that the tokenizer itself gives for whole texts, without special tokens."""
 
-    def __init__(self, path: str, most_pieces: int = 300_000):
+    def __init__(self, path: str, ordinary: bool = False, most_pieces: int = 300_000):
+        """`ordinary`: the strings of special tokens in a text are ordinary text."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = ordinary
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         #: Whether the parts give the same ids as the whole here, and case doesn't count.
@@ -144,19 +146,26 @@ def cut(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarra
     return lower, begins, last, np.append(word, len(begins))[first]
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, bool], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, ordinary: bool = False) -> WordEncoder:
     """One encoder for each Python worker and file."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    if (path, ordinary) not in _encoders:
+        _encoders[path, ordinary] = WordEncoder(path, ordinary)
+    return _encoders[path, ordinary]
 
 
-def encoded(batches, path: str, most: int = 1 << 21):
+def encoded(batches, path: str, ordinary: bool = False, most: int = 1 << 21):
     """(batch, first row, ids, offsets of each row's ids) over Arrow batches whose column "text" holds the texts, about `most` bytes at a time."""
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
         for a, b in slices(offsets, most):
-            yield batch, a, *encoder(path).encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            yield batch, a, *encoder(path, ordinary).encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+
+
+def id_type(path: str) -> str:
+    """The narrowest little-endian type for the ids of a tokenizer file."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"

@@ -31,6 +31,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def range_buckets(df: DataFrame, key: str, n: int, name: str = "_bucket") -> DataFrame:
+    """Add `name`: the number of the key range that a row is in, of at most n ranges of about equal row counts, ascending by key; null keys come last."""
+    from pyspark.ml.feature import Bucketizer
+
+    steps = [k / n for k in range(1, n)] or [0.5]
+    found = df.agg(F.percentile_approx(F.col(key).cast("double"), steps, max(10_000, 10 * n)).alias("x")).first()["x"] or [0.0]
+    splits = [float("-inf"), *sorted(set(found)), float("inf")]
+    typed = df.withColumn("_key_number", F.col(key).cast("double"))
+    found = Bucketizer(splits=splits, inputCol="_key_number", outputCol=name, handleInvalid="keep").transform(typed)
+    return found.withColumn(name, F.col(name).cast("int")).drop("_key_number")
+
+
 def join_hot(left: DataFrame, right: DataFrame, key: str, weight: Column, hot: int) -> DataFrame:
     """Left join on a key unique in `right`, safe when some keys hold a large share of `left`.
 
