@@ -2,23 +2,51 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from caseweave.llm import packing
+from caseweave.llm import media, packing, substring_dedup, token_counts, token_store
+from caseweave.llm.common import shared_dir
 from caseweave.shipping import importable
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+END_OF_TEXT = 49407
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, by a separator scan of flat token files."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), WORD_BPE, END_OF_TEXT)
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove passages of 20 words and more that also start earlier in the corpus."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs, width=20, columns=["doc_id"])
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of at most 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE, 2048, 0)
 
 
-QUERIES = {"op6_best_fit_packing": op6_best_fit_packing}
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all documents as rANS token files and read them back."""
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_store.write(table(spark, sf_dir, "documents"), WORD_BPE, 2, path)
+    return token_store.read(spark, path)
+
+
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store every document's text as a medium, refer to it from a page, and join both by digest."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption"]
+    return media.text_media(table(spark, sf_dir, "documents")).select(*names)
+
+
+QUERIES = {"op2_token_counts": op2_token_counts, "op4_substring_dedup": op4_substring_dedup, "op6_best_fit_packing": op6_best_fit_packing, "op9_token_files": op9_token_files, "op10_media_columns": op10_media_columns}
 ORACLE_SQL: dict[str, str] = {}
