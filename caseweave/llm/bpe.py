@@ -16,12 +16,16 @@ import numpy as np
 from caseweave.llm.common import P1, mix, slices, span_hash, utf8, word_spans
 
 MARK = "\x01"
-#: Classes of bytes: 1 letter, 2 punctuation, 3 digit, 0 else. The apostrophe starts contractions and the bar special tokens, so they are "else".
+#: Classes of bytes: 1 letter, 2 punctuation, 3 digit, 4 white space, 0 else. The apostrophe starts contractions and the bar special tokens, so they are "else".
 CLASS = np.zeros(256, np.uint8)
 CLASS[[*range(33, 48), *range(58, 65), *range(91, 97), 123, 125, 126]] = 2
 CLASS[39] = 0
 CLASS[48:58] = 3
 CLASS[[*range(65, 91), *range(97, 123)]] = 1
+CLASS[[32, *range(9, 14)]] = 4
+#: ASCII in lower case.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 class Memory:
@@ -30,17 +34,24 @@ class Memory:
     def __init__(self, most: int):
         self.most, self.young, self.old = most, {}, {}
 
-    def missing(self, keys) -> list[str]:
+    def get(self, keys: list, ask) -> list:
+        """The values of keys; ask(list) gives those not known."""
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        fresh = [k for k in keys if k not in young]
-        if not old:
-            return fresh
-        for k in fresh:
-            if k in old:
-                young[k] = old[k]
-        return [k for k in fresh if k not in old]
+        found = list(map(self.young.get, keys))
+        fresh = [k for k, v in enumerate(found) if v is None]
+        if self.old:
+            for k in fresh:
+                found[k] = self.old.get(keys[k])
+            self.young.update([(keys[k], found[k]) for k in fresh if found[k] is not None])
+            fresh = [k for k in fresh if found[k] is None]
+        if fresh:
+            new = [keys[k] for k in fresh]
+            values = ask(new)
+            self.young.update(zip(new, values, strict=True))
+            for k, v in zip(fresh, values, strict=True):
+                found[k] = v
+        return found
 
 
 class WordEncoder:
@@ -58,6 +69,11 @@ class WordEncoder:
         #: Whether the parts give the same ids as the whole here, and case doesn't count.
         self.parts = self._plain("Été,12") == b"".join(map(self._plain, ("été", ",", "1", "2"))) and self._plain("A") == self._plain("a")
         self.pieces = Memory(most_pieces)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)  # the ids that end a piece
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if suffix and self.parts:
+            self.closing[[k for w, k in vocabulary.items() if w.endswith(suffix)]] = True
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -69,13 +85,15 @@ class WordEncoder:
             return np.zeros(0, "<u4"), np.zeros(len(offsets), np.int64)
         if self.parts:
             data, starts, ends, first = cut(data, starts, ends, first)
-        hashes = mix(span_hash(data.astype(np.uint64) + np.uint64(1), starts, ends, P1)) + (ends - starts).astype(np.uint64)
+        numbers = data.astype(np.uint64)
+        numbers += np.uint64(1)
+        hashes = mix(span_hash(numbers, starts, ends, P1)) + (ends - starts).astype(np.uint64)
+        del numbers
         _, example, which = np.unique(hashes, return_index=True, return_inverse=True)
         raw = data.tobytes()
         pieces = [raw[a:b] for a, b in zip(starts[example].tolist(), ends[example].tolist(), strict=True)]
         gc.disable()  # nothing here makes cycles, and the many small objects would be searched again and again
-        self._ask(self.pieces.missing(pieces), self.pieces.young)
-        found = list(map(self.pieces.young.__getitem__, pieces))
+        found = self.pieces.get(pieces, self._ask)
         gc.enable()
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), dtype="<u4")
@@ -85,63 +103,56 @@ class WordEncoder:
         ids = flat[np.repeat((np.cumsum(sizes) - sizes)[which] - at[:-1], each) + np.arange(at[-1])]
         return ids, at[first]
 
-    def _ask(self, pieces: list[bytes], known: dict[bytes, bytes]) -> None:
-        """Encode many pieces in one text, with a mark between them."""
+    def _ask(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece. Many are encoded in one text and told apart by the ids that end a piece, or by a mark between them."""
         words = [p.decode("utf-8", "replace") for p in pieces]
-        odd = [k for k, w in enumerate(words) if self.mark is None or MARK in w]
-        plain = [k for k, w in enumerate(words) if MARK not in w] if self.mark is not None else []
-        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast([f" {MARK} ".join([words[k] for k in g]) for g in groups], add_special_tokens=False), strict=True):
+        out: list[bytes | None] = [None] * len(words)
+        simple = [k for k, w in enumerate(words) if w.isalpha() and w.islower() and max(w) < "\u0100"] if self.closing.any() else []
+        self._together(words, simple, " ", lambda ids: np.flatnonzero(self.closing[ids]) + 1, out)
+        if self.mark is not None:
+            plain = [k for k, w in enumerate(words) if out[k] is None and MARK not in w]
+            self._together(words, plain, f" {MARK} ", lambda ids: np.append(np.flatnonzero(ids == self.mark), len(ids)), out, 1)
+        return [self._plain(words[k]) if x is None else x for k, x in enumerate(out)]
+
+    def _together(self, words: list[str], chosen: list[int], mark: str, ends_of, out: list, skip: int = 0) -> None:
+        groups = [chosen[i : i + 256] for i in range(0, len(chosen), 256)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([mark.join([words[k] for k in g]) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, dtype="<u4")
-            ends = np.flatnonzero(ids == self.mark)
-            if len(ends) != len(group) - 1:
-                odd += group
-                continue
-            raw, a = ids.tobytes(), 0
-            for k, end in zip(group, [*(ends * 4).tolist(), len(raw)], strict=True):
-                known[pieces[k]] = raw[a:end]
-                a = end + 4
-        for k in odd:
-            known[pieces[k]] = self._plain(words[k])
+            ends = ends_of(ids)
+            if len(ends) == len(group):
+                raw, a = ids.tobytes(), 0
+                for k, end in zip(group, (ends * 4).tolist(), strict=True):
+                    out[k] = raw[a:end]
+                    a = end + 4 * skip
 
 
 def cut(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray):
     """Cut words of known bytes into pieces, in lower case; the others stay whole. `first`: the first word of each text, then the first piece."""
-    kind = CLASS[data]
+    kind, lower = CLASS[data], LOWER[data]
     lead = np.flatnonzero(data[:-1] == 0xC3)
-    lead = lead[~np.isin(data[lead + 1], (0x97, 0xB7))]
+    follow = data[lead + 1]
+    good = (follow != 0x97) & (follow != 0xB7)
+    lead, follow = lead[good], follow[good]
     kind[lead] = kind[lead + 1] = 1
-    lower = data.copy()
-    lower[(data >= 65) & (data <= 90)] += 32
-    upper = lead + 1
-    upper = upper[data[upper] <= 0x9E]
-    lower[upper] += 32
-    n = len(data)
-    unknown = np.zeros(n + 1, np.int64)
-    np.cumsum(kind == 0, out=unknown[1:])
-    whole = unknown[ends] > unknown[starts]
-    change = np.empty(n, bool)
+    lower[lead + 1] = np.where(follow <= 0x9E, follow + 32, follow)
+    change = np.empty(len(data), bool)
     change[:1] = True
     np.not_equal(kind[1:], kind[:-1], out=change[1:])
     change |= kind == 3
-    odd = np.flatnonzero(whole)
+    change &= kind != 4
+    odd = np.flatnonzero(kind == 0)
     if len(odd):
-        step = np.zeros(n + 1, np.int32)
-        step[starts[odd]] += 1
-        step[ends[odd]] -= 1
-        inside = np.cumsum(step[:n]) > 0
-        change &= ~inside
+        odd = np.unique(np.searchsorted(starts, odd, side="right") - 1)
+        size = ends[odd] - starts[odd]
+        inside = np.arange(size.sum()) + np.repeat(starts[odd] - (np.cumsum(size) - size), size)
+        change[inside] = False
         lower[inside] = data[inside]
-    else:
-        inside = None
-    gaps = np.zeros(n + 1, np.int32)
-    gaps[starts] += 1
-    gaps[ends] -= 1
-    change &= np.cumsum(gaps[:n]) > 0
     change[starts] = True
     begins = np.flatnonzero(change)
-    word = np.searchsorted(begins, starts)
-    last = np.append(begins[1:], n)
+    change[:] = False
+    change[starts] = True
+    word = np.flatnonzero(change[begins])
+    last = np.append(begins[1:], len(data))
     last[np.append(word[1:], len(begins)) - 1] = ends
     return lower, begins, last, np.append(word, len(begins))[first]
 
@@ -156,7 +167,7 @@ def encoder(path: str, ordinary: bool = False) -> WordEncoder:
     return _encoders[path, ordinary]
 
 
-def encoded(batches, path: str, ordinary: bool = False, most: int = 1 << 21):
+def encoded(batches, path: str, ordinary: bool = False, most: int = 3 << 20):
     """(batch, first row, ids, offsets of each row's ids) over Arrow batches whose column "text" holds the texts, about `most` bytes at a time."""
     for batch in batches:
         data, offsets = utf8(batch.column("text"))

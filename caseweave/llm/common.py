@@ -69,7 +69,7 @@ def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
     """base**i mod 2**64 for i < n at least (or of the inverse of base)."""
     have = _powers.get((base, inverse))
     if have is None or len(have) < n:
-        m = 1 << max(16, (n - 1).bit_length())
+        m = -(-n // (1 << 19)) << 19
         b = pow(base, -1, 1 << 64) if inverse else base
         steps = np.full(m, b, dtype=np.uint64)
         steps[0] = 1
@@ -86,8 +86,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
     """A 64-bit polynomial hash of values[start:end] for each pair, by prefix sums."""
-    prefix = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * powers(base, len(values) + 1)[: len(values)], out=prefix[1:])
+    prefix = np.empty(len(values) + 1, dtype=np.uint64)
+    prefix[0] = 0
+    np.multiply(values, powers(base, len(values) + 1)[: len(values)], out=prefix[1:])
+    np.cumsum(prefix[1:], out=prefix[1:])
     return (prefix[ends] - prefix[starts]) * powers(base, len(values) + 1, True)[starts]
 
 

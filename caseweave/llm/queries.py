@@ -6,8 +6,9 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from caseweave.llm import media, packing, substring_dedup, token_counts, token_store
+from caseweave.llm import decontaminate, media, packing, simhash, substring_dedup, token_counts, token_store, url_filter
 from caseweave.llm.common import shared_dir
 from caseweave.shipping import importable
 
@@ -24,17 +25,39 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), WORD_BPE, END_OF_TEXT)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remove passages of 20 words and more that also start earlier in the corpus."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.remove_repeats(docs, width=20, columns=["doc_id"])
 
 
+#: The policy of the URL query: verdict, host, path.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages' URLs; a labelled page is bad if it is toxic or of low quality."""
+    labels = table(spark, sf_dir, "labels")
+    bad = ((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int")
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    return url_filter.judge(table(spark, sf_dir, "pages"), outcomes, URL_RULES)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of at most 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE, 2048, 0)
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the components of their links at 4 bits or fewer."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all documents as rANS token files and read them back."""
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
@@ -48,5 +71,5 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents")).select(*names)
 
 
-QUERIES = {"op2_token_counts": op2_token_counts, "op4_substring_dedup": op4_substring_dedup, "op6_best_fit_packing": op6_best_fit_packing, "op9_token_files": op9_token_files, "op10_media_columns": op10_media_columns}
+QUERIES = {"op2_token_counts": op2_token_counts, "op3_decontamination": op3_decontamination, "op4_substring_dedup": op4_substring_dedup, "op5_url_filter": op5_url_filter, "op6_best_fit_packing": op6_best_fit_packing, "op8_simhash_near_dedup": op8_simhash_near_dedup, "op9_token_files": op9_token_files, "op10_media_columns": op10_media_columns}
 ORACLE_SQL: dict[str, str] = {}

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseweave.llm.common import P1, P2, Q1, Q2, mix, partitions, range_buckets, span_hash, utf8, word_spans
+from caseweave.llm.common import P1, P2, Q1, Q2, mix, partitions, range_buckets, slices, span_hash, utf8, word_spans
 
 NOTE = "_bucket int, kind int, row int, shard int, cells binary, more binary"
 
@@ -58,19 +58,24 @@ class _Windows:
         order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, texts[k] or ""))
         self.table = table.take(order)
         data, offsets = utf8(self.table.column("text"))
-        self.raw, self.offsets = data.tobytes(), offsets
-        starts, ends, self.first = word_spans(data, offsets)
-        self.width, n = width, len(starts)
-        self.begin = np.zeros(0, np.int64)  # the first word of each window
-        self.a = self.b = np.zeros(0, np.uint64)
-        if n:
-            plain = data.astype(np.uint64) + np.uint64(1)
+        self.raw, self.offsets, self.width = data.tobytes(), offsets, width
+        counts, words = [], ([], [])
+        for p, q in slices(offsets, 1 << 19):  # the hashes of words need arrays many times the size of the text
+            part = data[offsets[p] : offsets[q]]
+            starts, ends, first = word_spans(part, offsets[p : q + 1] - offsets[p])
+            counts.append(np.diff(first))
+            plain = part.astype(np.uint64)
+            plain += np.uint64(1)
             size = (ends - starts).astype(np.uint64)
-            words = [mix(span_hash(plain, starts, ends, p) + size) for p in (P1, P2)]
-            left = np.repeat(self.first[1:], np.diff(self.first)) - np.arange(n)
-            self.begin = np.flatnonzero(left >= width)
-            if len(self.begin):
-                self.a, self.b = (mix(span_hash(w, self.begin, self.begin + width, q)) for w, q in zip(words, (Q1, Q2), strict=True))
+            for found, base in zip(words, (P1, P2), strict=True):
+                found.append(mix(span_hash(plain, starts, ends, base) + size))
+        self.first = np.append(0, np.cumsum(np.concatenate(counts))) if counts else np.zeros(1, np.int64)
+        left = np.repeat(self.first[1:], np.diff(self.first)) - np.arange(self.first[-1])
+        self.begin = np.flatnonzero(left >= width)  # the first word of each window
+        self.a = self.b = np.zeros(0, np.uint64)
+        if len(self.begin):
+            self.a = mix(span_hash(np.concatenate(words[0]), self.begin, self.begin + width, Q1))
+            self.b = mix(span_hash(np.concatenate(words[1]), self.begin, self.begin + width, Q2))
 
     def cells(self, row: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct cells of one row of the sketch, ascending; which of them each window has; how many windows each has."""
