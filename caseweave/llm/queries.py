@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseweave.llm import decontaminate, media, packing, simhash, substring_dedup, token_counts, token_store, url_filter
+from caseweave.llm import decontaminate, html_extract, language_id, media, packing, simhash, substring_dedup, token_counts, token_store, url_filter
 from caseweave.llm.common import shared_dir
 from caseweave.shipping import importable
 
@@ -20,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents, by a separator scan of flat token files."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), WORD_BPE, END_OF_TEXT)
@@ -53,6 +58,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE, 2048, 0)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learnt from those that are not held out."""
+    return language_id.identify(table(spark, sf_dir, "documents"), columns=["doc_id"])
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the components of their links at 4 bits or fewer."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -71,5 +81,5 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents")).select(*names)
 
 
-QUERIES = {"op2_token_counts": op2_token_counts, "op3_decontamination": op3_decontamination, "op4_substring_dedup": op4_substring_dedup, "op5_url_filter": op5_url_filter, "op6_best_fit_packing": op6_best_fit_packing, "op8_simhash_near_dedup": op8_simhash_near_dedup, "op9_token_files": op9_token_files, "op10_media_columns": op10_media_columns}
+QUERIES = {"op1_html_extraction": op1_html_extraction, "op2_token_counts": op2_token_counts, "op3_decontamination": op3_decontamination, "op4_substring_dedup": op4_substring_dedup, "op5_url_filter": op5_url_filter, "op6_best_fit_packing": op6_best_fit_packing, "op7_language_id": op7_language_id, "op8_simhash_near_dedup": op8_simhash_near_dedup, "op9_token_files": op9_token_files, "op10_media_columns": op10_media_columns}
 ORACLE_SQL: dict[str, str] = {}
