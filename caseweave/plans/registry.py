@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from caseweave.plans import timelines
+
+PACKS = (timelines,)
+QUERIES: dict = {name: query for pack in PACKS for name, query in pack.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for pack in PACKS for name, sql in pack.ORACLE_SQL.items()}
