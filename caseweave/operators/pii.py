@@ -59,7 +59,11 @@ def detected(docs: DataFrame, text: str = "text", names: list[str] | None = None
 
 def counts(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """How many finds of each category are kept in a document, 0 included."""
-    return found.select(key, *(F.size(F.filter("kept", lambda x, c=c: x["category"] == c)).cast("long").alias(c) for c in LABELS))
+
+    def number(category: str) -> Column:
+        return F.size(F.filter("kept", lambda x: x["category"] == category)).cast("long").alias(category)
+
+    return found.select(key, *map(number, LABELS))
 
 
 def pseudonyms(found: DataFrame, key: str = "doc_id") -> DataFrame:
