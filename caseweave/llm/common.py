@@ -38,7 +38,7 @@ def range_buckets(df: DataFrame, key: str, n: int, name: str = "_bucket") -> Dat
     steps = [k / n for k in range(1, n)] or [0.5]
     found = df.agg(F.percentile_approx(F.col(key).cast("double"), steps, max(10_000, 10 * n)).alias("x")).first()["x"] or [0.0]
     splits = [float("-inf"), *sorted(set(found)), float("inf")]
-    typed = df.withColumn("_key_number", F.col(key).cast("double"))
+    typed = df.withColumn("_key_number", F.coalesce(F.col(key).cast("double"), F.lit(float("nan"))))  # the bucket after the last is for NaN
     found = Bucketizer(splits=splits, inputCol="_key_number", outputCol=name, handleInvalid="keep").transform(typed)
     return found.withColumn(name, F.col(name).cast("int")).drop("_key_number")
 
