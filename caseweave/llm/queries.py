@@ -82,4 +82,39 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_html_extraction": op1_html_extraction, "op2_token_counts": op2_token_counts, "op3_decontamination": op3_decontamination, "op4_substring_dedup": op4_substring_dedup, "op5_url_filter": op5_url_filter, "op6_best_fit_packing": op6_best_fit_packing, "op7_language_id": op7_language_id, "op8_simhash_near_dedup": op8_simhash_near_dedup, "op9_token_files": op9_token_files, "op10_media_columns": op10_media_columns}
-ORACLE_SQL: dict[str, str] = {}
+
+#: Words, windows of 20 of them, those that also start earlier, and what is left of each document.
+REPEATS_SQL = """WITH split AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents),
+    places AS (SELECT doc_id, words, i FROM split, LATERAL unnest(generate_series(1, len(words))) u(i)),
+    windows AS (SELECT doc_id, i, words[i] AS word, CASE WHEN i + 19 <= len(words) THEN array_to_string(words[i:i + 19], ' ') END AS text FROM places),
+    starts AS (SELECT doc_id, i, word, text IS NOT NULL AND row_number() OVER (PARTITION BY text ORDER BY doc_id, i) > 1 AS again FROM windows),
+    covered AS (SELECT doc_id, i, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM starts)
+    SELECT s.doc_id, len(any_value(words)) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+    FROM split s LEFT JOIN covered c ON c.doc_id = s.doc_id GROUP BY s.doc_id"""
+
+
+def _shrunk_sql(name: str, source: str, mean: str) -> str:
+    """Two steps: the strength of a level, then each group's posterior mean and size."""
+    spread = f"{mean} * (1 - {mean})"
+    rho = f"greatest(0.001, least(0.9, coalesce(CASE WHEN sum(n * (n - 1) * {spread}) > 0 THEN sum((k - n * {mean}) * (k - n * {mean}) - n * {spread}) / sum(n * (n - 1) * {spread}) END, 0.001)))::DOUBLE"
+    return f"{name}_rho AS (SELECT {rho} AS rho FROM {source}), {name} AS (SELECT *, ({mean} * (1 - rho) / rho + k) / ((1 - rho) / rho + n) AS {name}_mean, (1 - rho) / rho + n AS {name}_size FROM {source}, {name}_rho)"
+
+
+def _url_sql() -> str:
+    second = ", ".join(f"'{x}'" for x in url_filter.SECOND_LEVEL)
+    rules = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = lambda value: "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{value(v, h, p)}'" for v, h, p in rules) + " END"
+    return f"""WITH rest AS (SELECT page_id, coalesce(CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) END, '') AS rest FROM pages),
+        parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+        marked AS (SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+        counted AS (SELECT host, coalesce(sum(bad), 0)::DOUBLE AS k, count(bad)::DOUBLE AS n, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':\\d*$', ''), '.') AS l FROM parts LEFT JOIN marked ON doc_id = page_id GROUP BY host),
+        sized AS (SELECT *, CASE WHEN len(l) >= 3 AND length(l[-1]) = 2 AND l[-2] IN ({second}) THEN 2 ELSE 1 END AS z FROM counted),
+        hosts AS (SELECT host, k, n, array_to_string(l[greatest(len(l) - z, 1):], '.') AS domain, array_to_string(l[greatest(len(l) - z + 1, 1):], '.') AS suffix FROM sized),
+        domains AS (SELECT domain, suffix, sum(k) AS k, sum(n) AS n FROM hosts GROUP BY ALL), whole AS (SELECT coalesce((sum(k) + 1) / (sum(n) + 2), 0.5) AS m0 FROM domains),
+        suffixes AS (SELECT suffix, sum(k) AS k, sum(n) AS n, any_value(m0) AS m0 FROM domains, whole GROUP BY suffix), {_shrunk_sql('s', 'suffixes', 'm0')},
+        with_suffix AS (SELECT d.*, s_mean FROM domains d JOIN s USING (suffix)), {_shrunk_sql('d', 'with_suffix', 's_mean')},
+        with_domain AS (SELECT h.*, d_mean FROM hosts h JOIN d USING (domain, suffix)), {_shrunk_sql('h', 'with_domain', 'd_mean')}
+        SELECT page_id, host, path, {fits(lambda v, h, p: h + p)} AS rule, coalesce({fits(lambda v, h, p: v)}, CASE WHEN h_mean - sqrt(h_mean * (1 - h_mean) / (h_size + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM parts JOIN h USING (host)"""
+
+
+ORACLE_SQL: dict[str, str] = {"op4_substring_dedup": REPEATS_SQL, "op5_url_filter": _url_sql()}
