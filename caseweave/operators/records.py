@@ -50,7 +50,7 @@ def normalised(e: Column) -> Column:
         real(e["diagnosis"]).alias("diagnosis"),
         real(e["doctor"]).alias("doctor"),
         real(e["facility"]).alias("facility"),
-        F.coalesce(F.least(F.greatest(e["confidence"], F.lit(0.0)), F.lit(100.0)), F.lit(70.0)).alias("confidence"),
+        F.when(e["confidence"].isNull(), 70.0).otherwise(F.least(F.greatest(e["confidence"], F.lit(0.0)), F.lit(100.0))).alias("confidence"),
         (missing | F.coalesce(e["requiresVerification"], e["requires_verification"], F.lit(False))).alias("requires_verification"),
         F.coalesce(e["sourceText"], e["source_text"], F.lit("")).alias("source_text"),
         F.coalesce(e["sourcePages"], e["source_pages"], F.array(F.lit(1))).alias("source_pages"),
