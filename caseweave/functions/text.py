@@ -13,6 +13,11 @@ BEFORE, AFTER = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 STOP_WORDS = "della delle dello degli nella nelle nello negli dalla dalle dallo dagli sulla sulle sullo sugli alla alle allo agli questo questa questi queste quello quella sono stato stata stati state essere avere viene vengono come anche dopo prima durante presso tramite senza verso dove quando perché mentre".split()
 
 
+def trimmed(text: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
 def text_words(text: Column) -> Column:
     """The words between white space."""
     return F.filter(F.split(text, SPACE + "+"), lambda w: w != "")

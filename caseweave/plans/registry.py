@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from caseweave.plans import records, tables, texts, timelines
+from caseweave.plans import records, reports, tables, texts, timelines
 
-PACKS = (timelines, tables, texts, records)
+PACKS = (timelines, tables, texts, records, reports)
 QUERIES: dict = {name: query for pack in PACKS for name, query in pack.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for pack in PACKS for name, sql in pack.ORACLE_SQL.items()}

@@ -123,3 +123,45 @@ def test_excerpts_and_labels(spark):
     assert column(spark, dates.shown_date(F.lit("2024-03-05"))) == "05/03/2024"
     assert column(spark, text.jaccard(F.lit("uno"), F.lit("due"))) == 1.0
     assert column(spark, text.slug(F.lit("Cronologia, più  lunga!"))) == "cronologia_più_lunga"
+
+
+def test_markdown_becomes_html():
+    from caseweave.operators.reports import markdown_html
+
+    found = markdown_html("# A & b\n- uno\n- **due**\n1. tre\n\n| x | y |\n|---|---|\n| 1 | <2> |\n---\ntesto *corsivo*")
+    want = ["<h1>A &amp; b</h1>", "<ul>", "<li>uno</li>", "<li><strong>due</strong></li>", "</ul>", "<ol>", "<li>tre</li>", "</ol>", "<table>", "<tr><th>x</th><th>y</th></tr>", "<tr><td>1</td><td>&lt;2&gt;</td></tr>", "</table>", "<hr>", "<p>testo <em>corsivo</em></p>"]
+    assert found.split("\n") == want
+    assert markdown_html(None) == markdown_html("") == ""
+    assert "<img" not in markdown_html("![x](javascript:alert)")
+
+
+@pytest.mark.parametrize("raw", [None, "", "no json", "[]", '{"events": 3}', '{"events": []}'])
+def test_answers_without_events(spark, raw):
+    from caseweave.operators.records import extracted
+
+    assert extracted(spark.createDataFrame([(1, raw)], "id long, raw string"), "id", "raw").count() == 0
+
+
+def test_ingested_chunks_have_unit_vectors(spark):
+    from caseweave.operators.reports import ingested
+
+    rows = ingested(spark.createDataFrame([(1, "# T\n" + "parola diversa " * 300), (2, None), (3, "x")], "doc_id long, text string"), "doc_id", "text").collect()
+    assert len(rows) > 2 and all(abs(sum(v * v for v in r.embedding) - 1) < 1e-5 for r in rows)
+
+
+def test_written_csv_begins_with_the_header(spark, tmp_path):
+    from caseweave.sources import files
+
+    t = case(spark, ("2024-01-10", "visita", 'a;"b"', ""), ("1900-01-01", "esame", "c", "d"))
+    extra = dict.fromkeys(("doctor", "facility"), F.lit(None).cast("string")) | {"date_precision": F.lit("giorno"), "source_type": F.lit("altro"), "confidence": F.lit(70), "requires_verification": F.lit(True)}
+    files.write_csv(t.withColumns(extra), str(tmp_path / "csv"))
+    lines = next((tmp_path / "csv" / "case_id=1").glob("part-*")).read_text(encoding="utf-8-sig").splitlines()
+    assert lines == [";".join(files.CSV_COLUMNS), "1;Data non documentata;giorno;esame;c;d;altro;;;;70;Si", '2;10/01/2024;giorno;visita;"a;""b""";;altro;;;;70;Si']
+
+
+def test_demo_case_is_loaded_once(spark):
+    from caseweave.sources import files
+
+    codes = spark.createDataFrame([("CASO-1",)], "code string")
+    assert files.demo_cases(spark, codes).count() == 1
+    assert files.demo_cases(spark, codes.unionByName(files.demo_cases(spark, codes).select("code"))).count() == 0
