@@ -152,8 +152,44 @@ def first_dates(spark, sf_dir):
     return views.timeline_sparse(spark, sf_dir).where(~timeline.undated()).groupBy("case_id").agg(F.min("event_date").alias("first_date"), F.min_by("event_type", "order_number").alias("first_type"))
 
 
+def best_events(spark, sf_dir):
+    from caseweave.operators.texts import keep_better
+
+    t = views.timeline_dense(spark, sf_dir).withColumns({"title": F.lit("Visita"), "confidence": F.col("event_id") % 7})
+    return keep_better(t).select("case_id", "event_date", "event_type", "order_number", "confidence")
+
+
+def rag_query_text(spark, sf_dir):
+    """The first ten events of four types of a case as one search text."""
+    t = views.timeline_sparse(spark, sf_dir).where(F.col("event_type").isin("diagnosi", "intervento", "complicanza", "terapia"))
+    rows = t.withColumn("_k", F.row_number().over(timeline.in_order())).where(F.col("_k") <= 10)
+    listed = F.array_sort(F.collect_list(F.struct("order_number", F.concat("title", F.lit(": "), F.substring("description", 1, 150)).alias("line"))))
+    return rows.groupBy("case_id").agg(F.array_join(F.transform(listed, lambda x: x["line"]), " ").alias("query"))
+
+
+def reclassified(spark, sf_dir):
+    """Documents' types after a classifier's answers: taken where the type was open, the answer is not, and it is sure enough."""
+    d = views.case_documents(spark, sf_dir).select("document_id", F.when(F.col("part") % 2 == 0, "altro").otherwise("referto").alias("kind"), "part")
+    answers = d.where(F.col("part") % 3 != 0).select("document_id", F.when(F.col("part") % 5 == 0, "altro").otherwise("lettera").alias("_new"), (F.col("part") % 100).alias("_sure"))
+    taken = (F.col("kind") == "altro") & (F.col("_new") != "altro") & (F.col("_sure") >= 50)
+    return d.join(answers, "document_id", "left").select("document_id", F.when(taken, F.col("_new")).otherwise(F.col("kind")).alias("kind"))
+
+
+def first_images(spark, sf_dir):
+    """The first image of each page that has an analysis; pages without an image keep null."""
+    p = read(spark, sf_dir, "part").select((F.col("p_partkey") % 300).alias("page"), "p_partkey")
+    first = p.where(F.col("page") % 4 != 0).groupBy("page").agg(F.min("p_partkey").alias("image"))
+    return p.select("page").distinct().join(first, "page", "left")
+
+
+def abbreviations(spark, sf_dir):
+    """Abbreviations once in any case, as they stand first."""
+    p = read(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.upper("p_brand")).otherwise(F.col("p_brand")).alias("short"))
+    return p.groupBy(F.lower("short").alias("key")).agg(F.min_by("short", "p_partkey").alias("short"))
+
+
 QUERIES = {f.__name__: f for f in (
-    extracted_events, grounding_flags, page_marks, image_types, error_kinds, wizard_steps, servable_images, prompt_lines, report_splits, anomaly_event_refs, anomaly_context, resolutions, case_bundle, case_filled,
+    best_events, rag_query_text, reclassified, first_images, abbreviations, extracted_events, grounding_flags, page_marks, image_types, error_kinds, wizard_steps, servable_images, prompt_lines, report_splits, anomaly_event_refs, anomaly_context, resolutions, case_bundle, case_filled,
     stuck_documents, style_excerpts, source_groups, report_references, anomaly_status, discrepancy_notes, first_dates,
 )}
 
@@ -176,6 +212,11 @@ def _sql() -> dict[str, str]:
     third = "SELECT o_orderkey, 1, '1900-01-01', 'sconosciuta', 'altro', 'cut o', '', 'altro', NULL, NULL, NULL, 70.0::DOUBLE, TRUE, '', '1' FROM orders WHERE o_orderkey < 3000 AND o_orderkey % 5 = 1"
     low = "regexp_replace(lower(text), '\\s+', ' ', 'g')"
     return {
+        "best_events": with_views("dense") + "SELECT case_id, event_date, event_type, order_number, confidence FROM (SELECT *, event_id % 7 AS confidence, row_number() OVER (PARTITION BY case_id, event_date, event_type ORDER BY event_id % 7 DESC, order_number) AS k FROM dense) WHERE k = 1",
+        "rag_query_text": with_views("sparse") + "SELECT case_id, string_agg(title || ': ' || substring(description, 1, 150), ' ' ORDER BY order_number) AS query FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY order_number) AS k FROM sparse WHERE event_type IN ('diagnosi', 'intervento', 'complicanza', 'terapia')) WHERE k <= 10 GROUP BY case_id",
+        "reclassified": with_views("case_documents") + "SELECT d.document_id, CASE WHEN d.part % 2 = 0 AND a.part % 5 <> 0 AND a.part % 100 >= 50 THEN 'lettera' WHEN d.part % 2 = 0 THEN 'altro' ELSE 'referto' END AS kind FROM case_documents d LEFT JOIN case_documents a ON a.document_id = d.document_id AND a.part % 3 <> 0",
+        "first_images": "SELECT p_partkey % 300 AS page, min(p_partkey) FILTER (WHERE p_partkey % 300 % 4 <> 0) AS image FROM part GROUP BY 1",
+        "abbreviations": "SELECT lower(p_brand) AS key, arg_min(CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE p_brand END, p_partkey) AS short FROM part GROUP BY 1",
         "extracted_events": f"{first} UNION ALL {second} UNION ALL {third}",
         "grounding_flags": f"""WITH q AS (SELECT doc_id, {low} AS t, CASE doc_id % 4 WHEN 0 THEN substring(text, 11, 100) WHEN 1 THEN replace(substring(text, 1, 50), ' ', '  ') WHEN 2 THEN 'breve' ELSE 'una frase che non sta nel testo' END AS quote, doc_id % 3 = 0 AS c FROM documents), s AS (SELECT *, trim(regexp_replace(lower(substring(quote, 1, 60)), '\\s+', ' ', 'g')) AS b FROM q),
             f AS (SELECT doc_id, c, CASE WHEN length(quote) < 10 THEN 'short' WHEN length(b) >= 10 AND NOT contains(t, b) THEN 'absent' ELSE 'fine' END AS f FROM s) SELECT doc_id, 0 AS quote_id, CASE WHEN f <> 'fine' AND c THEN 'critical_' || f ELSE f END AS flag FROM f""",
