@@ -73,20 +73,26 @@ def position_triples() -> list[tuple[int, int, int]]:
     return found
 
 
-def links(nodes: DataFrame, radius: int = 4, most: int = 4096) -> DataFrame:
+def position_sets(width: int) -> list[tuple[int, ...]]:
+    """Sets of `width` (3 or 4) byte positions such that any four positions contain one."""
+    return position_triples() if width == 3 else list(combinations(range(8), 4))
+
+
+def links(nodes: DataFrame, radius: int = 4, most: int = 4096, width: int | None = None) -> DataFrame:
     """Pairs (a, b), a < b, that connect the same fingerprints as all pairs at `radius` (4 or fewer) differing bits do.
 
     nodes: distinct fingerprints (fp). Two that differ in 4 bits share at least 4 of their 8 bytes at the same
-    positions, so they meet under one of 20 triples of positional bytes. The pairs that meet are tallied by
-    shared positional bytes, kept from 8 - radius on, and verified by their differing bits. Fingerprints under a
+    positions, so they meet under one of 20 triples of positional bytes, or of 70 sets of four (`width`; four from
+    eight million fingerprints on, so that keys stay few-membered). The pairs that meet are tallied by shared
+    positional bytes, kept from 8 - radius on, and verified by their differing bits. Fingerprints under a
     key with more than `most` go another exact way, linear in their number: two of them are linked through the
     values within 2 bits of both.
     """
     if radius not in (0, 2, 4):
         raise ValueError("the radius is 0, 2 or 4")
     byte = [F.shiftrightunsigned("fp", 8 * k).bitwiseAND(F.lit(255)) for k in range(8)]
-    triples = position_triples()
-    keys = F.array(*(F.lit(k << 24) + F.shiftleft(byte[a], 16) + F.shiftleft(byte[b], 8) + byte[c] for k, (a, b, c) in enumerate(triples)))
+    width = width or (3 if nodes.count() < 1 << 23 else 4)
+    keys = F.array(*(sum((F.shiftleft(byte[p], 8 * j) for j, p in enumerate(places)), F.lit(k << 8 * width)) for k, places in enumerate(position_sets(width))))
     posted = nodes.select("fp", F.explode(keys).alias("key"))
     posted = posted.withColumn("_n", F.count("*").over(Window.partitionBy("key")))
     few = posted.where((F.col("_n") > 1) & (F.col("_n") <= most)).select("key", "fp")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -191,8 +192,14 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-@pytest.mark.parametrize("most", [4096, 2])
-def test_fingerprints_and_components_by_brute_force(spark, docs, most):
+def test_any_four_byte_positions_contain_a_set():
+    for width in (3, 4):
+        sets = [set(p) for p in simhash.position_sets(width)]
+        assert all(any(s <= set(four) for s in sets) for four in combinations(range(8), 4))
+
+
+@pytest.mark.parametrize(("most", "width"), [(4096, 3), (4096, 4), (2, 3)])
+def test_fingerprints_and_components_by_brute_force(spark, docs, most, width):
     rows = [r for r in docs.collect() if len(r.text or "") < 5000]
     prints = [fingerprint(r.text) for r in rows]
     rng = random.Random(9)
@@ -210,7 +217,7 @@ def test_fingerprints_and_components_by_brute_force(spark, docs, most):
             if (a ^ b).bit_count() <= 4:
                 parent[root(a)] = root(b)
     signed = [(p - (1 << 64) if p >> 63 else p,) for p in nodes]
-    labels = {r.node % (1 << 64): r.label for r in simhash.components(simhash.links(spark.createDataFrame(signed, "fp long"), 4, most)).collect()}
+    labels = {r.node % (1 << 64): r.label for r in simhash.components(simhash.links(spark.createDataFrame(signed, "fp long"), 4, most, width)).collect()}
     groups = {}
     for p in nodes:
         groups.setdefault(root(p), set()).add(labels.get(p, p))
