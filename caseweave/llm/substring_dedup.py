@@ -20,8 +20,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseweave.llm.common import P1, P2, Q1, Q2, mix, partitions, range_buckets, slices, span_hash, utf8, word_spans
+from caseweave.llm.common import P1, P2, Q1, Q2, mix, range_buckets, slices, span_hash, utf8, word_spans
 
+#: Bytes of text for each bucket and for each range of cells: what one task holds, so their numbers follow the data alone.
+BUCKET_BYTES, SHARD_BYTES = 4 << 20, 16 << 20
 NOTE = "_bucket int, kind int, row int, shard int, cells binary, more binary"
 
 
@@ -213,14 +215,14 @@ def remove_repeats(docs: DataFrame, width: int = 20, depth: int = 2, load: int =
     and 9 to 13. Windows are judged on the input. Adds n_words, n_removed, kept_sha256 (of the kept words, one
     space between) and, if asked for, kept_text. Null and short texts have no window and lose nothing. Rows
     with the same id are told apart by their text, and equal rows by chance; null ids come last. `depth` rows
-    of the sketch have 2 to 4 x `load` / 2 cells a window. `buckets`: as many that one fits a task's memory.
+    of the sketch have 2 to 4 x `load` / 2 cells a window. `buckets`: as many that one fits a task's memory
+    (unless given, one for every 4 MB of text).
     """
-    spark = docs.sparkSession
     names = docs.columns
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     bits = min(62, max(10, int(load * (size / 6 + 1)).bit_length()))
-    shards = partitions(spark)
-    buckets = buckets or 4 * shards
+    shards = max(1, -(-size // SHARD_BYTES))
+    buckets = buckets or max(1, -(-size // BUCKET_BYTES))
     typed = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
     dealt = range_buckets(typed, "doc_id", buckets)
     plain = dealt.select(*(n for n in names), "_bucket")
