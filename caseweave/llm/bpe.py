@@ -167,7 +167,7 @@ def encoder(path: str, ordinary: bool = False) -> WordEncoder:
     return _encoders[path, ordinary]
 
 
-def encoded(batches, path: str, ordinary: bool = False, most: int = 3 << 20):
+def encoded(batches, path: str, ordinary: bool = False, most: int = 3 << 19):
     """(batch, first row, ids, offsets of each row's ids) over Arrow batches whose column "text" holds the texts, about `most` bytes at a time."""
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
