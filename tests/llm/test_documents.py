@@ -247,6 +247,40 @@ def test_near_copies_of_planted_groups(spark):
     assert near_copies.keep_one(docs.limit(0)).count() == 0
 
 
+def test_near_copies_are_not_lost_for_closer_pairs_that_fail(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for _ in range(4):
+        base = [word() for _ in range(120)]
+        for _ in range(40):
+            edited = list(base)
+            for k in rng.sample(range(120), rng.choice((1, 2, 2, 3))):
+                edited[k] = word()
+            texts.append(" ".join(edited))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(116)} for t in texts]
+    data = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+    prints = near_copies.wide_prints(*near_copies.shingle_hashes(np.concatenate(data), offsets, 5), len(texts))
+    sketch = [int.from_bytes(p[1::16].tobytes(), "little") for p in prints]
+    chosen = near_copies.positions()
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in combinations(range(len(texts)), 2):
+        common = len(sets[i] & sets[j])
+        posted = (prints[i][chosen] == prints[j][chosen]).all(axis=1).any()
+        if posted and (sketch[i] ^ sketch[j]).bit_count() <= 20 and common >= 0.8 * (len(sets[i]) + len(sets[j]) - common):
+            parent[max(root(i), root(j))] = min(root(i), root(j))
+    want = {root(k) for k in range(len(texts))}
+    kept = near_copies.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in kept} == want and len(want) > 4
+
+
 def test_languages_of_held_out_documents(spark, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = language_id.identify(docs.withColumnRenamed("source", "score_"), columns=["doc_id"]).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
