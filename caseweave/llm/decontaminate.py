@@ -1,9 +1,10 @@
 """Benchmark decontamination: which documents hold a passage close to a benchmark item. DataFrame functions only.
 
 A window as long as an item, in words, holds the item when the weighted similarity of their shingles (sum of
-the smaller over sum of the larger counts) is 0.8 or more. Only windows that share a shingle with an item at
-the same place are looked at, which every such window does; their SimHash fingerprints are matched to the
-items' through blocks of bits, of which one must be equal within the radius, and what remains is verified exactly.
+the smaller over sum of the larger counts) is 0.8 or more. Every such window holds a sampled shingle of the item,
+at any place; so all windows around such a shingle are looked at that hold enough of the item's shingles to reach
+the similarity. Their SimHash fingerprints are matched to the items' through blocks of bits, of which one must be
+equal within the radius, and what remains is verified exactly.
 """
 
 from __future__ import annotations
@@ -81,16 +82,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, least: float = 0
         own = items.where(F.col("width") == width).select("item_id", "n_words", "width", F.posexplode("_item").alias("_at", "_h"))
         worded = texts.select("doc_id", words(F.col("text")).alias("_w"))  # a column of its own, so that it is made once a text
         sampled = worded.select("doc_id", F.posexplode(shingles(F.col("_w"), width, step)).alias("_k", "_h"))
-        near = sampled.join(held(own), "_h").select("doc_id", "n_words", "width", F.greatest(F.col("_k") * step - F.col("_at"), F.lit(0)).alias("window_start"))
+        near = sampled.join(held(own), "_h").select("doc_id", "item_id", "n_words", "width", (F.col("_k") * step).alias("_hit"))
         found = near if found is None else found.unionByName(near)
     if found is None:
         return texts.limit(0).select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("window_start"), F.lit(0).alias("n_words"), F.lit(0.0).alias("similarity"))
-    starts = stage(found.distinct(), "windows")  # the documents are read again for these alone
-
-    windows = starts.join(texts, "doc_id").withColumn("_all", words(F.col("text")))
-    windows = windows.withColumn("_w", F.slice("_all", F.col("window_start") + 1, F.col("n_words")))
-    windows = windows.withColumn("_window", shingles(F.col("_w"), F.col("width")))
-    windows = windows.select("doc_id", "window_start", "n_words", "_window").withColumn("_print", fingerprint(F.col("_window")))
+    near = stage(found.groupBy("doc_id", "item_id", "n_words", "width").agg(F.collect_set("_hit").alias("_hits")), "hits")  # the documents are read again for these alone
+
+    hit = near.join(texts, "doc_id").withColumn("_w", words(F.col("text"))).drop("text")
+    hit = hit.withColumn("_all", shingles(F.col("_w"), F.col("width"))).drop("_w")
+    hit = stage(hit.distinct(), "regions").join(held(items.select("item_id", "n_words", "_item").distinct()), ["item_id", "n_words"])
+    length = F.col("n_words") - F.col("width") + 1
+    around = F.transform("_hits", lambda h: F.sequence(F.greatest(h - length + 1, F.lit(0)), h))
+    starts = F.array_distinct(F.flatten(around))
+    own = F.transform("_all", lambda h: F.array_contains("_item", h))
+    hit = stage(hit.select("doc_id", "n_words", "_all", own.alias("_own"), starts.alias("_starts"), F.size("_item").alias("_size"), length.alias("_length")), "regions")
+
+    def enough(at: Column) -> Column:
+        """Whether the window's shingles that are in the item, which are at least the common ones, reach the similarity."""
+        window = F.slice("_own", at + 1, F.col("_length"))
+        return F.size(F.filter(window, lambda y: y)) * (1 + least) >= least * (F.size(window) + F.col("_size")) - 1e-9
+
+    made = F.transform(F.filter("_starts", enough), lambda at: F.struct(at.alias("window_start"), F.slice("_all", at + 1, F.col("_length")).alias("_window")))
+    windows = hit.select("doc_id", "n_words", F.explode(made).alias("_m")).select("doc_id", "n_words", "_m.*")
+    windows = windows.dropDuplicates(["doc_id", "n_words", "window_start", "_window"]).withColumn("_print", fingerprint(F.col("_window")))
     windows = stage(windows, "windows").where(F.size("_window") > 0)  # else filters on what follows would make the windows anew
     blocks = radius + 1
     edges = [64 * k // blocks for k in range(blocks + 1)]

@@ -151,3 +151,14 @@ def test_leaks_by_brute_force(spark):
     assert kept == {None, *(d for d, _ in docs)} - {d for d, _ in want}
     assert decontaminate.leaks(table.limit(0), bench).count() == 0
     assert decontaminate.leaks(table, bench.limit(0)).count() == 0
+
+
+def test_leaks_with_their_halves_swapped(spark):
+    w = [f"word{k}" for k in range(60)]
+    thirds = w[40:] + w[20:40] + w[:20]
+    items = [(1, " ".join(w)), (2, " ".join(f"other{k}" for k in range(40)))]
+    docs = [(1, "at first " + " ".join(w[30:] + w[:30]) + " and last"), (2, " ".join(thirds)), (3, "before " * 100 + " ".join(w[25:] + w[:25])), (4, " ".join(w[30:])), (5, " ".join(f"other{(k + 20) % 40}" for k in range(40)))]
+    want = best_windows(docs, items)
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (r.window_start, r.similarity) for r in got} == {k: (at, round(s, 6)) for k, (at, s) in want.items()}
+    assert {(1, 1), (3, 1), (5, 2)} <= set(want) and (4, 1) not in set(want)
