@@ -58,18 +58,18 @@ class Page:
         self.says = []  # (rank, node) of elements that hold the article
         found: list[tuple[str, int]] = []
         self._read(html or "", found)
-        root = self._root(found)
-        above = set()
-        k = root
-        while k >= 0:
-            above.add(k)
-            k = self.parent[k]
+        roots = self._roots(found)
+        above = set(roots)
+        for k in roots:
+            while k >= 0:
+                above.add(k)
+                k = self.parent[k]
         gone: list[bool] = []
         inside: list[bool] = []
         for k, up in enumerate(self.parent):
             gone.append(up >= 0 and gone[up] or self.bad[k] and k not in above)
-            inside.append(k == root or up >= 0 and inside[up])
-        self.said = root > 0
+            inside.append(k in roots or up >= 0 and inside[up])
+        self.said = 0 not in roots
         self.blocks = []
         for text, node in found:
             if inside[node] and not gone[node]:
@@ -132,16 +132,28 @@ class Page:
             yield node
             node = self.parent[node]
 
-    def _root(self, found: list) -> int:
-        """The element that says it is the article: of the best kind the one with the most text, the first of equals."""
+    def _roots(self, found: list) -> set[int]:
+        """The elements that say they are the article; the page itself if there are none.
+
+        Elements of one kind with the same parent or path are one candidate, as they hold a story together. Of
+        those with half the text of the largest or more it is the best kind, then the most text, then the first.
+        """
         sizes = [0] * len(self.parent)
         for text, node in found:
             if not any(self.bad[k] for k in self._up(node)):
                 for k in self._up(node):
                     sizes[k] += len(text)
         self.size = sizes
-        best = max(self.says, key=lambda x: (sizes[x[1]] > 0, x[0], sizes[x[1]], -x[1]), default=(0, 0))
-        return best[1] if sizes[best[1]] else 0
+        kind = {node: rank for rank, node in self.says if sizes[node]}
+        outer = [k for k in kind if not any(kind.get(j) == kind[k] for j in self._up(self.parent[k]))]
+        groups: dict[tuple, list[int]] = {}
+        for k in outer:
+            groups.setdefault((kind[k], "parent", self.parent[k]), []).append(k)
+            groups.setdefault((kind[k], "path", self.path[k]), []).append(k)
+        fit = [(sum(sizes[k] for k in nodes), rank, -nodes[0], nodes) for (rank, *_), nodes in groups.items()]
+        most = max((x[0] for x in fit), default=0)
+        best = max((x for x in fit if 2 * x[0] >= most), key=lambda x: (x[1], x[0], x[2]), default=None)
+        return set(best[3]) if best else {0}
 
     def _slots(self, node: int) -> list[int]:
         return [self.path[k] for k in [*self._up(node)][::-1] if self.name[k] in CONTAINER]

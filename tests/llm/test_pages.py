@@ -32,6 +32,14 @@ def test_largest_article_wins_and_comments_are_none():
     assert lines(html) == ["The story"]
 
 
+def test_long_main_beats_a_teaser_and_sibling_articles_stay_together():
+    story = "a long story told in the main element of the page"
+    assert lines(f'<main><p>{story}</p></main><div class="more"><article>teaser</article></div>') == [story]
+    assert lines(f'<main><article><p>{story}</p></article><article><p>second part</p></article></main><div class="more"><article>teaser</article></div>') == [story, "second part"]
+    assert lines(f'<div class="part1"><article>{story}</article></div><div class="part2"><article>second part</article></div>') == [story, "second part"]
+    assert lines(f"<main><p>note</p><article>{story}</article></main>") == [story]
+
+
 def site(k, words):
     return f'<html><body><div class="a{k}"><p>Fixed banner text</p><p>Fixed second line</p></div><div class="x"><div class="y"><p>{words} one</p><p>{words} two</p></div></div><div class="z">Fixed end</div></body></html>'
 
