@@ -2,8 +2,9 @@
 
 Every page is read as tokens: the paths of its containers and its blocks of text with theirs. Tokens with the
 same occurrence vector over the distinct pages of a host form an equivalence class; a vector is known by two
-64-bit hashes over its pages and counts, so that no host is gathered anywhere. The class that holds the page
-itself is the host's template: its texts are fixed, its containers nest, and what lies between is a slot. The
+64-bit hashes over its pages and counts. The texts of the class that holds the page itself are fixed; so are those
+on more than half of the host's pages, however often on each, and those of classes of several tokens on fewer pages
+(a layout, a side column), on the pages that hold them. Containers nest, and what lies between is a slot. The
 deepest container that holds most of the text of a host's pages is the slot of the article. A page with an
 article or main element says itself where its article is; there only fixed texts go.
 """
@@ -38,6 +39,8 @@ TOKENS = "host string, content long, tokens array<struct<token:long,kind:int,n:i
 BLOCKS = "blocks array<struct<text:string,token:long,slots:array<long>>>, own long"
 #: Kinds of tokens: the page itself, the page if it does not say where its article is, a container of such a page, a text.
 PAGE, PLAIN_PAGE, SLOT, TEXT = range(4)
+#: Tokens of a class, containers included, from which on it is a part of the template on fewer pages too (fixed value).
+LEAST_CLASS = 3
 
 
 def _hash(*parts) -> int:
@@ -209,7 +212,8 @@ def templates(hosted: DataFrame, least_pages: int = 5) -> DataFrame:
     """host, fixed (texts of the template) and main (the slot of the article, if the host's pages don't say it), for hosts that have either.
 
     Pages with the same texts count once. Fixed texts need `least_pages` distinct pages. A class has no more
-    tokens than one page, so what is gathered here is bounded by a page.
+    tokens than one page; the fixed texts of a host are in one row, at most one for every `least_pages` texts of its
+    distinct pages.
     """
     distinct = page_tokens(hosted).dropDuplicates(["host", "content"])
     flat = distinct.select("host", "content", F.explode("tokens").alias("_t")).select("host", "content", "_t.*")
@@ -217,8 +221,11 @@ def templates(hosted: DataFrame, least_pages: int = 5) -> DataFrame:
     counted = flat.groupBy("host", "kind", "token").agg(F.count("*").alias("pages"), F.max("n").alias("most"), F.sum("size").alias("size"), F.max("depth").alias("depth"), *vector)
     counted = stage(counted.where((F.col("kind") != TEXT) | (F.col("pages") >= least_pages)), "template")
 
-    classes = counted.where(F.col("kind").isin(PAGE, TEXT)).groupBy("host", "va", "vb", "pages").agg(F.collect_list(F.when(F.col("kind") == TEXT, F.col("token"))).alias("fixed"), F.max(F.col("kind") == PAGE).alias("whole"))
-    fixed = classes.where(F.col("whole") & (F.size("fixed") > 0)).select("host", "fixed")
+    all_pages = counted.where(F.col("kind") == PAGE).select("host", F.col("pages").alias("_all"))
+    classes = counted.where(F.col("kind").isin(PAGE, SLOT, TEXT)).groupBy("host", "va", "vb", "pages").agg(F.collect_list(F.when(F.col("kind") == TEXT, F.col("token"))).alias("fixed"), F.max(F.col("kind") == PAGE).alias("whole"), F.count("*").alias("tokens"))
+    classes = classes.where(F.size("fixed") > 0).join(all_pages, "host")
+    classes = classes.where(F.col("whole") | (2 * F.col("pages") > F.col("_all")) | (F.col("tokens") >= LEAST_CLASS))
+    fixed = classes.groupBy("host").agg(F.flatten(F.collect_list("fixed")).alias("fixed"))
 
     whole = counted.where(F.col("kind") == PLAIN_PAGE).select("host", F.col("pages").alias("_pages"), F.col("size").alias("_size"))
     slots = counted.where((F.col("kind") == SLOT) & (F.col("most") == 1)).join(whole, "host")

@@ -66,6 +66,20 @@ def test_repeated_texts_inside_articles_stay_unless_on_every_page(spark):
     assert all(("Shared line" in t) == (k % 2 == 1) for k, t in found.items())
 
 
+def test_template_holds_classes_of_some_pages_and_texts_that_stand_twice(spark):
+    side = "<p>Side one</p><p>Side two</p><p>Side three</p>"
+    rows = []
+    for k in range(14):
+        story = f"<p>Story {k} {'word ' * (k + 40)}</p>"
+        mail = "" if k == 3 else "<p>Get our mail</p>" * (2 if k == 5 else 1)
+        rows.append((k, f"http://h.example/{k}", f"<article>{mail}{story}{side if k % 2 else ''}{'<p>Quoted line</p>' if k < 6 else ''}</article>"))
+    rows.append((50, "http://h.example/e", "<article><p>Page not found</p></article>"))
+    found = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert not any("mail" in t or "Side" in t for t in found.values())
+    assert all(f"Story {k} " in found[k] and ("Quoted line" in found[k]) == (k < 6) for k in range(14))
+    assert found[50] == "Page not found"
+
+
 def test_copies_of_one_page_are_no_template(spark):
     rows = [(k, "http://h.example/%d" % k, "<article><p>Same text</p></article>") for k in range(20)]
     found = html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
