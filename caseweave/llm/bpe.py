@@ -13,7 +13,7 @@ import os
 
 import numpy as np
 
-from caseweave.llm.common import P1, mix, slices, span_hash, utf8, word_spans
+from caseweave.llm.common import same_words, slices, utf8, word_hashes, word_spans
 
 MARK = "\x01"
 #: Classes of bytes: 1 letter, 2 punctuation, 3 digit, 4 white space, 0 else. The apostrophe starts contractions and the bar special tokens, so they are "else".
@@ -85,16 +85,17 @@ class WordEncoder:
             return np.zeros(0, "<u4"), np.zeros(len(offsets), np.int64)
         if self.parts:
             data, starts, ends, first = cut(data, starts, ends, first)
-        numbers = data.astype(np.uint64)
-        numbers += np.uint64(1)
-        hashes = mix(span_hash(numbers, starts, ends, P1)) + (ends - starts).astype(np.uint64)
-        del numbers
-        _, example, which = np.unique(hashes, return_index=True, return_inverse=True)
+        _, example, which = np.unique(word_hashes(data, starts, ends)[0], return_index=True, return_inverse=True)
+        other = np.flatnonzero(~same_words(data, starts, ends, example[which]))  # pieces of one hash that are not the same stand for themselves
+        which[other] = len(example) + np.arange(len(other))
+        example = np.append(example, other)
         raw = data.tobytes()
         pieces = [raw[a:b] for a, b in zip(starts[example].tolist(), ends[example].tolist(), strict=True)]
         gc.disable()  # nothing here makes cycles, and the many small objects would be searched again and again
-        found = self.pieces.get(pieces, self._ask)
-        gc.enable()
+        try:
+            found = self.pieces.get(pieces, self._ask)
+        finally:
+            gc.enable()
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), dtype="<u4")
         each = sizes[which]

@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caseweave.llm.common import unused
+
 UNKNOWN = "und"
 #: Multiplier and mixer of the n-gram hash (fixed values).
 STEP, MIX = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
@@ -210,19 +212,20 @@ def fit(docs: DataFrame, most_rows: int = 4000, bits: int = 16, passes: int = 3,
 
 
 def predict(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
-    """docs (text and any more columns, of which `columns` are kept, or all) with lang_pred and score."""
-    names = columns or docs.columns
+    """docs (text and any more columns, of which `columns` are kept, or all; those with the name of a result give way) with lang_pred and score."""
+    names = [c for c in (columns or docs.columns) if c.lower() not in ("lang_pred", "score")]
+    whole = unused(docs, "_text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by features and labels
 
     def judge(batches):
         import pyarrow as pa
 
         for batch in batches:
-            found = [shared.value.predict(text.as_py()) for text in batch.column("_text")]
+            found = [shared.value.predict(text.as_py()) for text in batch.column(whole)]
             out = batch.select(names)
             yield out.append_column("lang_pred", pa.array([x[0] for x in found], pa.string())).append_column("score", pa.array([x[1] for x in found], pa.float64()))
 
-    plain = docs.select(*names, F.col("text").cast("string").alias("_text"))
+    plain = docs.select(*names, F.col("text").cast("string").alias(whole))
     return plain.mapInArrow(judge, docs.select(*names).schema.add("lang_pred", "string").add("score", "double"))
 
 
@@ -232,6 +235,10 @@ def held_out(doc_id: str) -> Column:
 
 
 def identify(docs: DataFrame, most_rows: int = 4000, columns: list[str] | None = None) -> DataFrame:
-    """Fit on the documents that are not held out and predict all: the chosen columns, held_out, lang_pred and score. Rows with a null id teach nothing."""
+    """Fit on the documents that are not held out and predict all: the chosen columns, held_out, lang_pred and score. Rows with a null id teach nothing.
+
+    Columns of docs with the name of a result give way. Repeated rows are rows like any other, in learning too.
+    """
     model = fit(docs.where(~held_out("doc_id") & F.col("doc_id").isNotNull()), most_rows)
-    return predict(docs.withColumn("held_out", held_out("doc_id")), model, [*(columns or docs.columns), "held_out"])
+    names = [c for c in (columns or docs.columns) if c.lower() != "held_out"]
+    return predict(docs.withColumn("held_out", held_out("doc_id")), model, [*names, "held_out"])

@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseweave.llm.bpe import encoded
-from caseweave.llm.common import partitions, stage
+from caseweave.llm.common import stage, unused
 
+#: Pieces in a group that is dealt its places by one task.
+BUCKET_ROWS = 1 << 16
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -130,21 +132,22 @@ class Plan:
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, buckets: int | None = None) -> DataFrame:
-    """Add sequence_id and offset to pieces (doc_id, piece, length of 1 to `capacity`, any more columns).
+    """Add sequence_id and offset to pieces (doc_id, piece, length of 1 to `capacity`, any more columns; those with the name of a result give way).
 
     Pieces over a third of the capacity are matched in pairs, largest first with the largest that fits; the
     rest best-fit what room is left. The driver sees the histogram of lengths alone. Equal rows are different
     pieces. An empty table gives an empty table.
     """
-    spark = pieces.sparkSession
-    buckets = buckets or 4 * partitions(spark)
-    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
-    counts = dealt.groupBy("_bucket", "length").count()
-    hist = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
+    pieces = pieces.drop("sequence_id", "offset")
+    buckets = buckets or max(1, -(-pieces.count() // BUCKET_ROWS))
+    bucket = unused(pieces, "_bucket")
+    dealt = pieces.withColumn(bucket, F.pmod(F.xxhash64(*(c for c in ("doc_id", "piece", "length", "ids_crc32") if c in pieces.columns)), F.lit(buckets)).cast("int"))
+    counts = dealt.groupBy(bucket, "length").agg(F.count("*").alias("_n"))
+    hist = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     plan = Plan(hist, capacity)
     places = {s: tuple(np.array(c, dtype=np.int64) for c in zip(*rows, strict=True)) for s, rows in plan.places.items()}
-    before = F.sum("count").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("count")
-    bases = counts.select("_bucket", F.col("length").alias("_length"), before.alias("_base"))
+    before = F.sum("_n").over(Window.partitionBy("length").orderBy(bucket)) - F.col("_n")
+    bases = counts.select(bucket, F.col("length").alias("_length"), before.alias("_base"))
 
     def assign(key, left, right):
         import pyarrow as pa
@@ -163,11 +166,11 @@ def pack(pieces: DataFrame, capacity: int = 2048, buckets: int | None = None) ->
             within = rank - first_rank[at]
             sequence[a:b] = first_bin[at] + within // each[at]
             offset[a:b] = start[at] + within % each[at] * size
-        out = left.take(pa.array(order)).drop_columns(["_bucket"])
+        out = left.take(pa.array(order)).drop_columns([bucket])
         return out.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
-    return dealt.groupBy("_bucket").cogroup(bases.groupBy("_bucket")).applyInArrow(assign, schema)
+    return dealt.groupBy(bucket).cogroup(bases.groupBy(bucket)).applyInArrow(assign, schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

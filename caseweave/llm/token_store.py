@@ -2,8 +2,9 @@
 
 One table of frequencies, taken over all tokens, is shared by all blocks. A block holds whole documents in
 ascending order; its ids are dealt in turn to lanes, each with a state of its own, which numpy advances
-together. Checkpoints (all states and the read position at a step) let parts of a block be decoded apart, and
-a checksum guards each block.
+together. Checkpoints (all states and the read position at a step) let parts of a block be decoded apart; a reader
+takes them one by one. A checksum guards each block. The end id may be an id of texts too, so the blocks
+carry the lengths of their documents; a reader finds the end id where these say, or raises.
 
 File format: a table of block rows (bucket, block, bucket_start, n_tokens, doc_ids, lengths, payload) next to
 a table of frequencies (id, frequency). Payload, little-endian: "RANS", u32 version, u32 lanes, u64 tokens,
@@ -21,11 +22,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseweave.llm.bpe import encoded, id_type
-from caseweave.llm.common import partitions, range_buckets, stage
+from caseweave.llm.common import partitions, stage
 
 SCALE = 20
 LOW = np.uint64(1 << 31)
 HEAD = struct.Struct("<4sIIQIIQI")
+#: Bytes of text in the range of ids that a task writes: about, and at least where there are fewer ranges than shuffle partitions.
+RANGE_BYTES, LEAST_RANGE_BYTES = 64 << 20, 2 << 20
 BLOCK = "bucket int, block int, bucket_start long, n_tokens long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
@@ -85,17 +88,26 @@ class Coder:
         body = b"".join(struct.pack("<Q", done - at) + state.astype("<u8").tobytes() for at, state in reversed(marks)) + words.tobytes()
         return HEAD.pack(b"RANS", 1, lanes, n, every, len(marks), done, zlib.crc32(body)) + body
 
+    @staticmethod
+    def check(payload: bytes) -> int:
+        """How many parts a whole block has, between its checkpoints; a damaged one raises ValueError."""
+        magic, version, _, _, _, marks, _, crc = HEAD.unpack_from(payload)
+        if magic != b"RANS" or version != 1 or zlib.crc32(memoryview(payload)[HEAD.size :]) != crc:
+            raise ValueError("damaged block")
+        return marks
+
     def decode(self, payload: bytes, part: int | None = None) -> np.ndarray:
-        """All ids of a block, or those from one checkpoint to the next."""
-        magic, version, lanes, n, every, marks, done, crc = HEAD.unpack_from(payload)
+        """All ids of a block, or those from one checkpoint to the next (of a block that was checked)."""
+        if part is None:
+            self.check(payload)
+        _, _, lanes, n, every, marks, _, _ = HEAD.unpack_from(payload)
         body = memoryview(payload)[HEAD.size :]
-        if magic != b"RANS" or version != 1 or zlib.crc32(body) != crc:
-            raise ValueError("damaged block")
-        out = np.empty(n, np.uint32)
         size = 8 * (lanes + 1)
         words = np.frombuffer(body, "<u4", offset=marks * size)
         mask, shift, word = np.uint64((1 << SCALE) - 1), np.uint64(SCALE), np.uint64(32)
         first, last = (0, -(-n // lanes)) if part is None else (part * every, min((part + 1) * every, -(-n // lanes)))
+        begin = first * lanes
+        out = np.empty(min(n, last * lanes) - begin, np.uint32)
         if n:
             at = struct.unpack_from("<Q", body, (part or 0) * size)[0]
             x = np.frombuffer(body, "<u8", lanes, (part or 0) * size + 8).astype(np.uint64)
@@ -104,30 +116,32 @@ class Coder:
             y = x[: min(lanes, n - a)]
             slot = y & mask
             s = self.symbol[slot]
-            out[a : a + len(y)] = s
+            out[a - begin : a - begin + len(y)] = s
             y[:] = self.frequency[s] * (y >> shift) + slot - self.below[s]
             few = np.flatnonzero(y < LOW)
             if len(few):
                 y[few] = (y[few] << word) | words[at : at + len(few)]
                 at += len(few)
-        return out[first * lanes : min(n, last * lanes)]
+        return out
 
 
 def token_blocks(docs: DataFrame, tokenizer: str, end_id: int, block_tokens: int = 1 << 20) -> DataFrame:
     """Blocks of the ids (binary, narrowest type) of whole documents (doc_id, text) in ascending order, written to the shared folder.
 
-    Every document ends with `end_id`; a null text counts as empty. Rows with the same id stay apart, ordered by
-    text; null ids come last. A document longer than a block is a block of its own.
+    Every document ends with `end_id`; a null text counts as empty. Rows with the same id stay apart, ordered by a
+    hash of their text and by the text; null ids come last. A document longer than a block is a block of its own.
+    Tasks are ranges of ids (of ids and hashes, where one id has many rows), about one for every `RANGE_BYTES` of text.
     """
     kind = id_type(tokenizer)
 
     def blocks(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
         schema = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("bucket_start", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
         tail = np.array([end_id], kind).tobytes()
         width = len(tail)
-        bucket, block, start, total, held, names, lengths = None, 0, 0, 0, [], [], []
+        bucket, block, start, total, held, names, lengths = TaskContext.get().partitionId(), 0, 0, 0, [], [], []
 
         def row():
             return pa.RecordBatch.from_pylist([{"bucket": bucket, "block": block, "bucket_start": start, "n_tokens": sum(lengths), "doc_ids": names, "lengths": lengths, "payload": b"".join(held)}], schema)
@@ -135,13 +149,10 @@ def token_blocks(docs: DataFrame, tokenizer: str, end_id: int, block_tokens: int
         for batch, a, ids, at in encoded(batches, tokenizer):
             raw, at = ids.astype(kind).tobytes(), at * width
             rows = batch.slice(a, len(at) - 1)
-            for doc, home, p, q in zip(rows.column("doc_id").to_pylist(), rows.column("_bucket").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-                if home != bucket or total >= block_tokens:
-                    if names:
-                        yield row()
-                        block, start = block + 1, start + total
-                    if home != bucket:
-                        bucket, block, start = home, 0, 0
+            for doc, p, q in zip(rows.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if total >= block_tokens:
+                    yield row()
+                    block, start = block + 1, start + total
                     held, names, lengths, total = [], [], [], 0
                 held += (raw[p:q], tail)
                 names.append(doc)
@@ -150,9 +161,11 @@ def token_blocks(docs: DataFrame, tokenizer: str, end_id: int, block_tokens: int
         if names:
             yield row()
 
-    n = partitions(docs.sparkSession)
-    dealt = range_buckets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id", n)
-    return stage(dealt.repartition("_bucket").sortWithinPartitions("_bucket", F.col("doc_id").asc_nulls_last(), "text").mapInArrow(blocks, BLOCK), "ids")
+    typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = typed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-size // RANGE_BYTES), min(partitions(docs.sparkSession), -(-size // LEAST_RANGE_BYTES)))
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    return stage(typed.repartitionByRange(n, *order).sortWithinPartitions(*order, "text").mapInArrow(blocks, BLOCK), "ids")
 
 
 def frequencies(blocks: DataFrame, kind: str) -> dict[int, int]:
@@ -198,7 +211,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None:
 
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """Decode the files at path: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of little-endian unsigned 32-bit ids), ids if asked for (binary)."""
-    shared = {r["id"]: r["frequency"] for r in spark.read.parquet(f"{path}/frequencies").collect()}
+    shared = {r["id"]: r["frequency"] for r in spark.read.parquet(f"{path}/frequencies").collect()}  # at most the vocabulary
     blocks = spark.read.schema(BLOCK).parquet(f"{path}/blocks")
     schema = "bucket int, doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
 
@@ -208,15 +221,18 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
         coder = Coder(shared)
         for batch in batches:
             for row in batch.to_pylist():
-                raw = memoryview(coder.decode(row["payload"]).astype("<u4").tobytes())
-                ends = np.cumsum(row["lengths"]).tolist()
+                ids = np.concatenate([coder.decode(row["payload"], k) for k in range(coder.check(row["payload"]))]).astype("<u4")
+                ends = np.cumsum(row["lengths"])
+                if len(ids) != ends[-1] or (ids[ends - 1] != ids[-1]).any():
+                    raise ValueError("the lengths of a block do not fit its ids")
+                raw, ends = memoryview(ids.tobytes()), ends.tolist()
                 starts = [0, *ends[:-1]]
                 parts = [raw[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)]
-                columns = [pa.array([row["bucket"]] * len(ends), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array([row["bucket_start"] + a for a in starts], pa.int64()), pa.array(row["lengths"], pa.int64()), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
+                columns = [pa.array([row["bucket"]] * len(ends), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array([row["bucket_start"] + a for a in starts], pa.int64()), pa.array([len(p) // 4 for p in parts], pa.int64()), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
                 columns += [pa.array([p.tobytes() for p in parts], pa.binary())] * with_ids
                 yield pa.RecordBatch.from_arrays(columns, names=["bucket", "doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
-    totals = blocks.groupBy("bucket").agg(F.sum("n_tokens").alias("_n"))  # a row for each bucket, as many as shuffle partitions at most
+    totals = blocks.groupBy("bucket").agg(F.sum("n_tokens").alias("_n"))  # a row for each range of ids
     bases = totals.select("bucket", (F.sum("_n").over(Window.orderBy("bucket")) - F.col("_n")).alias("_base"))
     found = blocks.mapInArrow(documents, schema).join(F.broadcast(bases), "bucket")
     return found.withColumn("start", F.col("start") + F.col("_base")).drop("bucket", "_base")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from caseweave.llm import language_id, media, near_copies, packing, queries, simhash, substring_dedup, token_counts, token_store
+from caseweave.llm import bpe, common, language_id, media, near_copies, packing, queries, simhash, substring_dedup, token_counts, token_store
 
 SF = "/root/testdata/sf0.001"
 SPACES = " \t\n\x0b\x0c\r"
@@ -62,6 +62,23 @@ def test_token_counts(docs, empty, tokenizer):
     assert token_counts.token_counts(empty, queries.WORD_BPE, queries.END_OF_TEXT).count() == 0
 
 
+def test_words_whose_bytes_cancel_out_keep_their_ids(spark, tokenizer, monkeypatch, tmp_path):
+    pairs = [(n, a, b) for n in (1024, 2048) for a, b in (("a", "b"), ("é", "ê"), ("漢", "字"), ("A", "ß"))]
+    texts = [f"{thue_morse(n, a, b)} and {thue_morse(n, b, a)}" for n, a, b in pairs] + ["x" * 5000 + "y", "x" * 5001 + " a\x00 a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = [np.array(ids_of(t, tokenizer), "<u4") for t in texts]
+    assert [r.n_tokens for r in token_counts.token_counts(docs, queries.WORD_BPE, queries.END_OF_TEXT).orderBy("doc_id").collect()] == [len(x) for x in ids]
+    pieces = packing.token_pieces(docs, queries.WORD_BPE, 1 << 20, 0).orderBy("doc_id").collect()
+    assert [r.ids_crc32 for r in pieces] == [zlib.crc32(np.append(x, 0).astype("<u4").tobytes()) for x in ids]
+    token_store.write(docs, queries.WORD_BPE, 2, f"file://{tmp_path}/w")
+    assert [r.ids_crc32 for r in token_store.read(spark, f"file://{tmp_path}/w").orderBy("doc_id").collect()] == [zlib.crc32(np.append(x, 2).astype("<u4").tobytes()) for x in ids]
+    monkeypatch.setattr(bpe, "word_hashes", lambda data, starts, ends: [(starts % 3).astype(np.uint64)])  # pieces told apart by their bytes alone
+    data = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+    found, at = bpe.WordEncoder(queries.WORD_BPE).encode(np.frombuffer(b"".join(data), np.uint8), offsets)
+    assert [found[p:q].tolist() for p, q in zip(at[:-1], at[1:])] == [x.tolist() for x in ids]
+
+
 def test_separator_scan_crosses_blocks(spark):
     blocks = [("a", [5, 1, 1]), ("b", [1]), ("c", [9, 1, 2]), ("d", [7, 7])]
     rows = [(0, k, np.array(ids, "<u2").tobytes()) for k, (_, ids) in enumerate(blocks)]
@@ -84,10 +101,15 @@ def repeats(rows, width):
     return sorted(keep.values(), key=str)
 
 
-@pytest.mark.parametrize("buckets", [1, 7])
-def test_repeated_passages_by_brute_force(docs, buckets):
+def thue_morse(n, a, b):
+    return "".join(b if bin(k).count("1") % 2 else a for k in range(n))
+
+
+#: Bytes a bucket, bytes a range and the power of the fan: one bucket, many, and many at four levels.
+@pytest.mark.parametrize(("bucket_bytes", "shard_bytes", "fan"), [(1 << 22, 1 << 24, 6), (3000, 1 << 24, 6), (3000, 700, 2)])
+def test_repeated_passages_by_brute_force(docs, bucket_bytes, shard_bytes, fan):
     rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-    found = substring_dedup.remove_repeats(docs, 20, buckets=buckets, columns=["doc_id"])
+    found = substring_dedup.remove_repeats(docs, 20, bucket_bytes=bucket_bytes, shard_bytes=shard_bytes, fan=fan, columns=["doc_id"])
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found.collect()), key=str) == repeats(rows, 20)
 
 
@@ -95,6 +117,53 @@ def test_repeated_passages_of_nothing(empty, docs):
     assert substring_dedup.remove_repeats(empty, 20).count() == 0
     kept = substring_dedup.remove_repeats(docs, 20, with_text=True)
     assert kept.columns == [*docs.columns, "n_words", "n_removed", "kept_sha256", "kept_text"]
+    clashing = docs.withColumns({c: F.lit("own") for c in ("n_words", "kept_text", "_bucket", "__bucket", "_number", "row", "owner")})
+    kept = substring_dedup.remove_repeats(clashing, 20, with_text=True)
+    assert sorted(kept.columns) == sorted([*docs.columns, "_bucket", "__bucket", "_number", "row", "owner", "n_words", "n_removed", "kept_sha256", "kept_text"])
+    assert {(r._bucket, r.owner) for r in kept.collect()} == {("own", "own")} and kept.schema["n_words"].dataType.typeName() == "long"
+
+
+def test_windows_of_words_whose_bytes_cancel_out_stay(spark):
+    rows = []
+    for n, a, b in ((1024, "a", "b"), (2048, "a", "b"), (1024, "é", "ê"), (2048, "漢", "字")):
+        rows += [f"{' '.join('same' for _ in range(19))} {x}" for x in (thue_morse(n, a, b), thue_morse(n, b, a))]
+    docs = list(enumerate(rows))
+    found = substring_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), 20)
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found.collect()), key=str) == repeats(docs, 20)
+    assert {r.n_removed for r in found.collect()} == {0}
+
+
+def test_rows_of_one_id_fill_several_buckets(spark):
+    rng = random.Random(8)
+    rows = [(None if k % 3 else 7, " ".join(f"w{rng.randint(0, 10**9)}" for _ in range(60))) for k in range(90)]
+    docs = spark.createDataFrame([*rows, *rows, (3, "before " * 30), (9, rows[0][1])], "doc_id long, text string")
+    found = substring_dedup.remove_repeats(docs, 20, bucket_bytes=4000).collect()
+    assert len(found) == 182 and sorted(r.n_removed for r in found).count(60) == 91
+    assert {r.n_removed for r in found if r.doc_id == 3} == {29} and {r.n_removed for r in found if r.doc_id == 9} <= {0, 60}
+    ranges = common.range_buckets(docs, "doc_id", F.octet_length("text"), 4000, F.xxhash64("text"), "at").groupBy("at").agg(F.sum(F.octet_length("text")).alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).orderBy("at").collect()
+    assert len(ranges) > 15 and max(r.n for r in ranges) < 12000
+    keys = [(10**9 if x is None else x) for r in ranges for x in (r.a, r.b)]
+    assert keys == sorted(keys)
+
+
+def merged_by(shift):
+    return lambda t: substring_dedup._merged(t, 2, shift)
+
+
+def test_notes_follow_the_buckets(spark):
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randint(0, 10**9)}" for _ in range(200)) for _ in range(240)]
+    notes = []
+    for n in (60, 240):
+        docs = spark.createDataFrame(list(enumerate(texts[:n])), "doc_id long, text string")
+        dealt = common.range_buckets(docs, "doc_id", F.octet_length("text"), 8000, F.xxhash64("text"), "at")
+        levels, count = dealt.groupBy("at").applyInArrow(lambda t: substring_dedup._sketch(t, "at", 20, 2, 20, 2), substring_dedup.NOTE), 0
+        for level in range(2, 5):
+            count += levels.count()
+            shift = 20 - 2 * level
+            levels = levels.groupBy("row", "shard", F.shiftright("owner", 2)).applyInArrow(merged_by(shift), substring_dedup.NOTE)
+        notes.append(count)
+    assert notes[0] > 100 and 3 < notes[1] / notes[0] < 5.5
 
 
 def test_packing_places_every_id_once(docs, empty, tokenizer):
@@ -137,7 +206,7 @@ def test_plan_is_no_worse_than_first_fit_decreasing():
 def test_token_files_round_trip(spark, docs, empty, tokenizer, tmp_path):
     token_store.write(docs, queries.WORD_BPE, 2, f"file://{tmp_path}/t")
     rows = token_store.read(spark, f"file://{tmp_path}/t", with_ids=True).orderBy("start").collect()
-    source = sorted(docs.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text is not None, r.text or ""))
+    source = docs.withColumn("h", F.xxhash64("text")).orderBy(F.col("doc_id").asc_nulls_last(), "h", "text").collect()
     at = 0
     for r, s in zip(rows, source, strict=True):
         ids = np.array([*ids_of(s.text, tokenizer), 2], "<u4")
@@ -241,8 +310,11 @@ def test_near_copies_of_planted_groups(spark):
             group[len(rows)] = base
             rows.append((len(rows), " ".join(edited), "clash"))
     rows += [(1000 + k, " ".join(word() for _ in range(150)), None) for k in range(30)] + [(2000, None, None), (2001, None, None), (2002, "", None), (None, "", None), (5, rows[5][1], "clash")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, _h1 string")
-    kept = [r.doc_id for r in near_copies.keep_one(docs.withColumnRenamed("_h1", "component")).collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _h1 string").withColumns({c: F.lit(c) for c in ("_h2", "_id", "_row", "component", "node", "label", "first")})
+    found = near_copies.keep_one(docs)
+    assert found.columns == docs.columns
+    kept = [r.doc_id for r in found.collect()]
+    assert {(r._h1, r._id) for r in found.where("doc_id = 6").collect()} == {("clash", "_id")}
     assert sorted(kept) == sorted([*range(0, 72, 6), *range(1000, 1030), 2000, 2002])
     assert near_copies.keep_one(docs.limit(0)).count() == 0
 
@@ -283,7 +355,10 @@ def test_near_copies_are_not_lost_for_closer_pairs_that_fail(spark):
 
 def test_languages_of_held_out_documents(spark, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    found = language_id.identify(docs.withColumnRenamed("source", "score_"), columns=["doc_id"]).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    clashing = docs.withColumns({c: F.lit("own") for c in ("score", "held_out", "lang_pred", "_text", "__text", "_salt", "feature")})
+    found = language_id.identify(clashing)
+    assert sorted(found.columns) == sorted(clashing.columns)
+    found = found.drop("lang").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert len(found) > 100
     assert sum(r.lang == r.lang_pred for r in found) / len(found) > 0.97
     assert all(0 <= r.score <= 1 for r in found)

@@ -28,6 +28,18 @@ def test_stages_hand_on_whole_documents(spark):
     assert most <= 2048
 
 
+def test_stages_keep_columns_with_the_names_of_results(spark):
+    names = ["score", "held_out", "lang_pred", "_text", "n_words", "n_removed", "kept_text", "kept_sha256", "_bucket", "_row", "_none", "_h1", "_h2", "_id", "node", "label", "item_id", "_w", "piece", "length"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({c: F.lit(c) for c in names}).withColumn("text_", F.col("text"))
+    columns = docs.columns
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        docs = stage(step(spark, docs, SF), name)
+        assert docs.columns == columns
+        for c in names:
+            assert docs.where(F.col(c).isNull() | (F.col(c) != c)).count() == 0
+    assert docs.count() > 100 and corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 100
+
+
 def test_pipeline_takes_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for name, step in corpus_pipeline.STAGES[:-1]:
