@@ -5,8 +5,10 @@ from __future__ import annotations
 import html
 import re
 
-#: One markup item: comment, declaration, or tag with its attributes (fixed pattern).
-ITEM = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+#: What follows the name of a tag: values are quoted only right after the equals sign, quotes elsewhere are plain characters (fixed pattern).
+GIVEN = r"(?:=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>]*)|[^>=])*"
+#: One markup item: comment, declaration, stray end, or tag with its attributes (fixed pattern).
+ITEM = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?![A-Za-z])[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)({GIVEN})(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?", re.S)
 #: Elements whose content is no markup.
 RAW = {"script", "style", "textarea", "title", "noscript", "xmp", "iframe", "noembed", "noframes", "plaintext"}
@@ -35,17 +37,44 @@ def attributes(raw: str) -> dict[str, str]:
     return found
 
 
+class _Open:
+    """The open elements, the innermost last. Every search goes outwards and stops at the first element that bounds it."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.counts: dict[str, int] = {}
+
+    def push(self, name: str) -> None:
+        self.names.append(name)
+        self.counts[name] = self.counts.get(name, 0) + 1
+
+    def pop_to(self, k: int):
+        """End all elements from the k-th on."""
+        while len(self.names) > k:
+            name = self.names.pop()
+            self.counts[name] -= 1
+            yield "end", name
+
+    def nearest(self, wanted: set[str], within: set[str]) -> int | None:
+        """The innermost element of `wanted`, unless one of `within` lies inside it."""
+        if any(self.counts.get(x) for x in wanted):
+            for k in range(len(self.names) - 1, -1, -1):
+                if self.names[k] in wanted:
+                    return k
+                if self.names[k] in within:
+                    return None
+        return None
+
+
 def events(page: str):
     """("text", decoded text), ("start", name, raw attributes) and ("end", name) in page order; every start but a void element's has its end.
 
     Text of script, style and the like comes as ("raw", name, text). Unclosed elements end with what holds them,
     a new paragraph or block ends an open paragraph, and stray end tags are passed over.
     """
-    at, open_, n = 0, [], len(page)
+    at, n, open_ = 0, len(page), _Open()
     while at < n:
         m = ITEM.search(page, at)
-        while m is not None and m.end() == m.start():
-            m = ITEM.search(page, m.end() + 1)
         upto = m.start() if m else n
         if upto > at:
             yield "text", html.unescape(page[at:upto])
@@ -56,25 +85,18 @@ def events(page: str):
             continue
         name = m[2].lower()
         if m[1]:
-            if name in open_:
-                k = len(open_) - 1 - open_[::-1].index(name)
-                if name in SCOPE or not any(x in SCOPE for x in open_[k + 1 :]):
-                    while len(open_) > k:
-                        yield "end", open_.pop()
+            k = open_.nearest({name}, set() if name in SCOPE else SCOPE)
+            if k is not None:
+                yield from open_.pop_to(k)
             continue
-        if name in BLOCK and "p" in open_:
-            k = len(open_) - 1 - open_[::-1].index("p")
-            if not any(x in SCOPE for x in open_[k + 1 :]):
-                while len(open_) > k:
-                    yield "end", open_.pop()
+        if name in BLOCK:
+            k = open_.nearest({"p"}, SCOPE)
+            if k is not None:
+                yield from open_.pop_to(k)
         if name in ENDS:
-            ended, within = ENDS[name]
-            k = len(open_) - 1
-            while k >= 0 and open_[k] not in within and open_[k] not in ended:
-                k -= 1
-            if k >= 0 and open_[k] in ended:
-                while len(open_) > k:
-                    yield "end", open_.pop()
+            k = open_.nearest(*ENDS[name])
+            if k is not None:
+                yield from open_.pop_to(k)
         raw = m[3] or ""
         yield "start", name, raw
         if name in VOID:
@@ -85,6 +107,5 @@ def events(page: str):
             yield "end", name
             at = close.end()
             continue
-        open_.append(name)
-    while open_:
-        yield "end", open_.pop()
+        open_.push(name)
+    yield from open_.pop_to(0)

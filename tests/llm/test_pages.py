@@ -1,6 +1,7 @@
 """Pages, URLs and the benchmark: extraction, reputation and decontamination."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,6 +23,28 @@ def test_article_of_a_plain_page():
     assert lines(html) == ["Title & more", "One two three", "Four five", "a", "b"]
 
 
+def test_quotes_inside_unquoted_values_are_plain():
+    assert lines("<body><p><a title=don't>first</a> para</p><p>second isn't</p></body>") == ["first para", "second isn't"]
+
+
+def test_names_are_evidence_by_their_last_word_and_size():
+    story = "<p>" + "a long story " * 20 + "</p>"
+    for name in ("story share-post", "search-results-story", "privacy-law-article", "promo", "search results", "widget-area"):
+        assert lines(f'<body><div class="{name}">{story}</div><p>end</p></body>')[0].startswith("a long story")
+    for name in ("share-bar", "comments", "post-comments", "article-sidebar", "cookie-notice", "main-nav", "adBanner"):
+        assert lines(f'<body><div class="x">{story}</div><div class="{name}">out</div></body>') == ["a long story " * 19 + "a long story"]
+    assert lines(f'<body><p>short story</p><div class="comments">{story}</div></body>') == ["short story"]
+
+
+@pytest.mark.parametrize("part", ["<div>", "<b>", "<p><span>", "<ul><li>", "<section class=x><p>t ", "<table><tr><td>", "</b><i>", "<article><div>w "])
+def test_deep_pages_take_linear_time(part):
+    import time
+
+    start = time.time()
+    page = Page(part * 60_000 + "end")
+    assert page.blocks[-1][0].endswith("end") and time.time() - start < 20
+
+
 @pytest.mark.parametrize("html", [None, "", "   ", "<", "<p", "<!--", "<article></article>", "<script>x"])
 def test_pages_without_text(html):
     assert lines(html) in ([], ["<"])
@@ -80,6 +103,39 @@ def test_template_holds_classes_of_some_pages_and_texts_that_stand_twice(spark):
     assert found[50] == "Page not found"
 
 
+def test_only_classes_in_one_order_and_slot_are_valid(spark):
+    """Deduction by brute force: classes by their vectors, valid by order and slot."""
+    rows, parts = [], {"side": ["s1", "s2", "s3"], "loose": ["l1", "l2", "l3"], "split": ["p1", "p2", "p3"]}
+    rng = random.Random(6)
+    for k in range(20):
+        story = [f"story {k} {'word ' * (30 + k)}", f"more {k} {'text ' * (30 + k)}"]
+        blocks = ["banner", story[0], "middle", story[1], "end"]
+        if k % 3 == 0:
+            blocks[2:2] = parts["side"]  # always before the middle
+        if k % 3 == 1:
+            blocks[1:1] = rng.sample(parts["loose"], 3) if k > 1 else parts["loose"]  # in no order
+        if k % 4 == 0:
+            blocks[2:2] = ["p1", "p2"]
+            blocks[-1:-1] = ["p3"]  # around the middle
+        rows.append((k, f"http://h.example/{k}", "".join(f"<p>{b}</p>" for b in blocks)))
+    found = {r.page_id: r.text.split("\n") for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    pages = {r[0]: r[2][3:-4].split("</p><p>") for r in rows}
+    vectors = {}
+    for t in {t for p in pages.values() for t in p}:
+        vectors.setdefault(tuple(p.count(t) for p in pages.values()), []).append(t)
+    fixed = {t for v, c in vectors.items() for t in c if sum(map(bool, v)) > 10}
+    whole = {t for v, c in vectors.items() for t in c if all(v)}
+    for v, c in vectors.items():
+        on = [p for p in pages.values() if c[0] in p]
+        orders = {tuple(t for t in p if t in c) for p in on}
+        slots = {tuple(sum(u in whole for u in p[: p.index(t)]) for t in c) for p in on}
+        if len(c) >= 3 and len(on) >= 5 and len(orders) == 1 and len(slots) == 1 and len(set(next(iter(slots)))) == 1:
+            fixed |= set(c)
+    assert {"s1", "banner", "end"} <= fixed and not fixed & {"l1", "p1", "p3"}
+    for k, p in pages.items():
+        assert found[k] == [" ".join(t.split()) for t in p if t not in fixed]
+
+
 def test_copies_of_one_page_are_no_template(spark):
     rows = [(k, "http://h.example/%d" % k, "<article><p>Same text</p></article>") for k in range(20)]
     found = html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
