@@ -302,8 +302,10 @@ def templates(parsed: DataFrame, least_pages: int = 5) -> tuple[DataFrame, DataF
 
     Pages with the same texts count once. Fixed texts need `least_pages` distinct pages.
     """
-    distinct = parsed.dropDuplicates(["host", "content"])
-    texts = distinct.select("host", "content", F.posexplode("blocks").alias("pos", "_b")).select("host", "content", "pos", F.col("_b.token").alias("token"))
+    lean = F.transform("slots", lambda s: F.struct(s["token"].alias("token"), s["n"].alias("n"), s["size"].alias("size"), s["depth"].alias("depth")))
+    ids = parsed.select("host", "content", "said", "size", F.col("blocks.token").alias("tokens"), lean.alias("slots"))  # the texts stay where they are
+    distinct = ids.dropDuplicates(["host", "content"])
+    texts = distinct.select("host", "content", F.posexplode("tokens").alias("pos", "token"))
     texts = texts.groupBy("host", "content", "token").agg(F.count("*").cast("int").alias("n"), F.min("pos").alias("pos"))
     slots = distinct.where(~F.col("said")).select("host", F.explode("slots").alias("_s")).select("host", "_s.*")
     whole = distinct.groupBy("host").agg(F.count("*").alias("all"), F.count(F.when(~F.col("said"), 1)).alias("plain"), F.sum(F.when(~F.col("said"), F.col("size"))).alias("plain_size"))
