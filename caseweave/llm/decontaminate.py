@@ -30,23 +30,26 @@ def shingles(w: Column, size: Column | int, step: int = 1) -> Column:
     return F.when(F.size(w) >= size, F.transform(places, lambda i: F.xxhash64(F.slice(w, i, size)))).otherwise(F.array().cast("array<long>"))
 
 
-def fingerprint(hashes: Column) -> Column:
-    """SimHash of an array of 64-bit hashes: a bit is 1 where it is in over half of them."""
+def fingerprints(rows: DataFrame, hashes: str, *keys: str) -> DataFrame:
+    """keys and `print`, the SimHash of the 64-bit hashes in column `hashes`, of all rows with these keys: a bit is 1 where it is in over half of them."""
+    flat = rows.select(*keys, F.explode(hashes).alias("_h"))
+    counted = flat.groupBy(*keys).agg(F.count("*").alias("_n"), *(F.sum(F.getbit("_h", F.lit(b))).alias(f"_b{b}") for b in range(64)))
+    found = F.lit(0).cast("long")
+    for b in range(64):
+        found = found.bitwiseOR(F.when(2 * F.col(f"_b{b}") > F.col("_n"), F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
+    return counted.select(*keys, found.alias("print"))
 
-    def bit(b: Column) -> Column:
-        ones = F.aggregate(hashes, F.lit(0), lambda n, h: n + F.getbit(h, b))
-        return F.when(2 * ones > F.size(hashes), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda all, b: all.bitwiseOR(bit(b)))
+def distinct_members(hashes: Column) -> Column:
+    """The members of a multiset of hashes as different values: those that occur again by a hash with the number of their occurrence."""
+    sorted_ = F.array_sort(hashes)
+    again = F.transform(sorted_, lambda x, i: F.when(F.array_position(sorted_, x) == i + 1, x).otherwise(F.xxhash64(x, i + 1 - F.array_position(sorted_, x))))
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), hashes).otherwise(again)
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """Weighted similarity of two arrays of hashes, by how often each occurs."""
-
-    def times(all: Column, x: Column) -> Column:
-        return F.size(F.filter(all, lambda y: y == x))
-
-    common = F.aggregate(F.array_distinct(a), F.lit(0), lambda n, x: n + F.least(times(a, x), times(b, x)))
+    """Weighted similarity of two multisets of hashes, given as different members."""
+    common = F.size(F.array_intersect(a, b))
     return common / (F.size(a) + F.size(b) - common)
 
 
@@ -67,35 +70,39 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, least: float = 0
 
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored. Shingles have `size` words, or all
     of them where an item has fewer. Null and wordless texts and items match nothing; documents without an id
-    are not reported. The items' shingles are broadcast if there are at most `most_broadcast` of them.
+    are not reported. Rows with one id are one document, whose best window is that of any of its texts (so for
+    items). The items' shingles are broadcast if there are at most `most_broadcast` of them; beyond that they are
+    joined by a shuffle, whose hot shingles Spark's skew join splits.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("_w")).where(F.size("_w") > 0)
     items = items.withColumn("n_words", F.size("_w")).withColumn("width", F.least(F.lit(size), F.col("n_words")))
     items = items.withColumn("_item", shingles(F.col("_w"), F.col("width"))).drop("_w").distinct()
+    items = stage(items.withColumn("_print_of", F.xxhash64("_item")), "items")
     sizes = items.select(F.size("_item").alias("s"), "width").distinct().collect()  # at most as many as lengths of items
     many = items.agg(F.sum(F.size("_item"))).first()[0] or 0
     held = (lambda d: F.broadcast(d)) if many <= most_broadcast else (lambda d: d)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull())
+    texts = texts.withColumn("_text", F.xxhash64("text"))
     found = None
     for width in sorted({r["width"] for r in sizes}):
         step = safe_step([r["s"] for r in sizes if r["width"] == width], least)
-        own = items.where(F.col("width") == width).select("item_id", "n_words", "width", F.posexplode("_item").alias("_at", "_h"))
-        worded = texts.select("doc_id", words(F.col("text")).alias("_w"))  # a column of its own, so that it is made once a text
-        sampled = worded.select("doc_id", F.posexplode(shingles(F.col("_w"), width, step)).alias("_k", "_h"))
-        near = sampled.join(held(own), "_h").select("doc_id", "item_id", "n_words", "width", (F.col("_k") * step).alias("_hit"))
+        own = items.where(F.col("width") == width).select("item_id", "n_words", "width", F.explode("_item").alias("_h")).distinct()
+        worded = texts.select("doc_id", "_text", words(F.col("text")).alias("_w"))  # a column of its own, so that it is made once a text
+        sampled = worded.select("doc_id", "_text", F.posexplode(shingles(F.col("_w"), width, step)).alias("_k", "_h"))
+        near = sampled.join(held(own), "_h").select("doc_id", "_text", "item_id", "n_words", "width", (F.col("_k") * step).alias("_hit"))
         found = near if found is None else found.unionByName(near)
     if found is None:
         return texts.limit(0).select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("window_start"), F.lit(0).alias("n_words"), F.lit(0.0).alias("similarity"))
-    near = stage(found.groupBy("doc_id", "item_id", "n_words", "width").agg(F.collect_set("_hit").alias("_hits")), "hits")  # the documents are read again for these alone
+    near = stage(found.groupBy("doc_id", "_text", "item_id", "n_words", "width").agg(F.collect_set("_hit").alias("_hits")), "hits")  # the documents are read again for these alone
 
-    hit = near.join(texts, "doc_id").withColumn("_w", words(F.col("text"))).drop("text")
+    hit = near.join(texts, ["doc_id", "_text"]).dropDuplicates(["doc_id", "_text", "item_id", "n_words"]).withColumn("_w", words(F.col("text"))).drop("text")
     hit = hit.withColumn("_all", shingles(F.col("_w"), F.col("width"))).drop("_w")
-    hit = stage(hit.distinct(), "regions").join(held(items.select("item_id", "n_words", "_item").distinct()), ["item_id", "n_words"])
+    hit = stage(hit, "regions").join(held(items.select("item_id", "n_words", "_item").distinct()), ["item_id", "n_words"])
     length = F.col("n_words") - F.col("width") + 1
     around = F.transform("_hits", lambda h: F.sequence(F.greatest(h - length + 1, F.lit(0)), h))
     starts = F.array_distinct(F.flatten(around))
     own = F.transform("_all", lambda h: F.array_contains("_item", h))
-    hit = stage(hit.select("doc_id", "n_words", "_all", own.alias("_own"), starts.alias("_starts"), F.size("_item").alias("_size"), length.alias("_length")), "regions")
+    hit = stage(hit.select("doc_id", "_text", "n_words", "_all", own.alias("_own"), starts.alias("_starts"), F.size("_item").alias("_size"), length.alias("_length")), "regions")
 
     def enough(at: Column) -> Column:
         """Whether the window's shingles that are in the item, which are at least the common ones, reach the similarity."""
@@ -103,9 +110,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, least: float = 0
         return F.size(F.filter(window, lambda y: y)) * (1 + least) >= least * (F.size(window) + F.col("_size")) - 1e-9
 
     made = F.transform(F.filter("_starts", enough), lambda at: F.struct(at.alias("window_start"), F.slice("_all", at + 1, F.col("_length")).alias("_window")))
-    windows = hit.select("doc_id", "n_words", F.explode(made).alias("_m")).select("doc_id", "n_words", "_m.*")
-    windows = windows.dropDuplicates(["doc_id", "n_words", "window_start", "_window"]).withColumn("_print", fingerprint(F.col("_window")))
-    windows = stage(windows, "windows").where(F.size("_window") > 0)  # else filters on what follows would make the windows anew
+    key = ["doc_id", "_text", "n_words", "window_start"]
+    windows = hit.select("doc_id", "_text", "n_words", F.explode(made).alias("_m")).select("doc_id", "_text", "n_words", "_m.*")
+    windows = stage(windows.dropDuplicates(key).where(F.size("_window") > 0), "windows")
+    windows = windows.join(fingerprints(windows, "_window", *key), key).withColumnRenamed("print", "_print")
+    windows = windows.withColumn("_window", distinct_members(F.col("_window")))
     blocks = radius + 1
     edges = [64 * k // blocks for k in range(blocks + 1)]
 
@@ -113,7 +122,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, least: float = 0
         parts = [F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(value, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
         return df.withColumn("_p", F.explode(F.array(*parts))).select("*", "_p.block", "_p.bits").drop("_p")
 
-    index = posted(items.select("item_id", "n_words", "_item", fingerprint(F.col("_item")).alias("_own")), "_own")
+    own = items.join(fingerprints(items, "_item", "item_id", "n_words", "_print_of"), ["item_id", "n_words", "_print_of"])
+    own = stage(own.select("item_id", "n_words", distinct_members(F.col("_item")).alias("_item"), F.col("print").alias("_own")), "index")
+    index = posted(own, "_own")
     first_equal = F.lit(True)
     differ = F.col("_print").bitwiseXOR(F.col("_own"))
     for k in range(blocks - 1):  # each pair once: at its first equal block

@@ -231,6 +231,19 @@ def test_leaks_by_brute_force(spark):
     assert decontaminate.leaks(table, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_texts_with_one_id_and_of_repetitive_items(spark):
+    w = [f"word{k}" for k in range(40)]
+    chant = " ".join(["la", "la", "la", "di"] * 12)
+    items = [(1, " ".join(w)), (1, " ".join(reversed(w))), (2, chant)]
+    docs = [(1, "x " + " ".join(w[:20])), (1, " ".join(w[20:]) + " y"), (2, "one " + " ".join(w)), (2, "nothing"), (3, "pre " * 9 + chant + " la"), (4, " ".join(reversed(w))), (5, "la la la di " * 5)]
+    want = {}
+    for key, (at, s) in ((k, v) for d in docs for i in items for k, v in best_windows([d], [i]).items()):
+        if key not in want or s > want[key][1]:
+            want[key] = (at, s)
+    got = {(r.doc_id, r.item_id): (r.window_start, r.similarity) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), most_broadcast=1).collect()}
+    assert got == {k: (at, round(s, 6)) for k, (at, s) in want.items()} and set(got) == {(2, 1), (4, 1), (3, 2)}
+
+
 def test_leaks_with_their_halves_swapped(spark):
     w = [f"word{k}" for k in range(60)]
     thirds = w[40:] + w[20:40] + w[:20]
