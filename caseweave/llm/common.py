@@ -125,6 +125,11 @@ def range_buckets(df: DataFrame, key: str, load: Column, most: int, salt: Column
     return found.join(table, name).withColumn(name, F.col(number) + part).drop(number, f"{number}_n")
 
 
+def hot_rows(rows: int) -> int:
+    """Rows of a key from which on `join_hot` broadcasts it: a thousandth of all, so that there are a thousand such keys at most."""
+    return max(1, rows // 1000)
+
+
 def join_hot(left: DataFrame, right: DataFrame, key: str, weight: Column, hot: int) -> DataFrame:
     """Left join on a key unique in `right`, safe when some keys hold a large share of `left`.
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from caseweave.llm.common import join_hot, stage
+from caseweave.llm.common import hot_rows, join_hot, stage
 from caseweave.llm.html_scan import BLOCK, RAW, attributes, events
 
 ROW = 192
@@ -180,14 +180,14 @@ def interleave(pages: DataFrame) -> DataFrame:
     return pages.mapInArrow(parse, pages.select(*others).schema.add("elements", DataType.fromDDL(ELEMENT)))
 
 
-def resolve(sequences: DataFrame, facts: DataFrame, hot: int = 10_000) -> DataFrame:
+def resolve(sequences: DataFrame, facts: DataFrame, references: int) -> DataFrame:
     """A row for each element of sequences, in `position`, with the facts of its medium (null for texts and for digests not in the store).
 
-    A reference is "sha256:" and the digest. Digests stored at least `hot` times are joined by broadcast.
+    A reference is "sha256:" and the digest. Digests stored for a thousandth of all `references` or more are joined by broadcast.
     """
     flat = sequences.withColumn("_e", F.explode("elements")).select(*(c for c in sequences.columns if c != "elements"), "_e.*")
     flat = flat.withColumn("digest", F.when(F.col("ref").startswith("sha256:"), F.substring("ref", 8, 64)))
-    return join_hot(flat, facts, "digest", F.col("copies"), hot)
+    return join_hot(flat, facts, "digest", F.col("copies"), hot_rows(references))
 
 
 def text_media(docs: DataFrame) -> DataFrame:
@@ -195,4 +195,4 @@ def text_media(docs: DataFrame) -> DataFrame:
     store = store_texts(docs)
     page = F.concat(F.lit('<article><p>Document</p><figure><img src="sha256:'), "digest", F.lit('"><figcaption>'), F.col("n_bytes").cast("string"), F.lit(" bytes</figcaption></figure></article>"))
     pages = store.select("doc_id", "n_bytes", page.alias("html"))
-    return resolve(interleave(pages), store_facts(store)).where(F.col("kind") == "media")
+    return resolve(interleave(pages), store_facts(store), store.count()).where(F.col("kind") == "media")

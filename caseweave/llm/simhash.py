@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from itertools import combinations
+from math import comb
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseweave.llm.common import join_hot, slices, stage, utf8, word_spans
+from caseweave.llm.common import hot_rows, join_hot, remove, shared_dir, slices, stage, stage_at, utf8, word_spans
 
 #: Bits of each byte value, lowest first.
 BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
@@ -64,44 +66,32 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(shingled, "doc_id long, fp long")
 
 
-def position_triples() -> list[tuple[int, int, int]]:
-    """Triples of the eight byte positions such that any four positions contain one: within a third (3 + 3 + 2), or two of a third and one of the next."""
-    thirds = ((0, 1, 2), (3, 4, 5), (6, 7))
-    found = [t for t in thirds if len(t) == 3]
-    for k, own in enumerate(thirds):
-        found += [(a, b, c) for a, b in combinations(own, 2) for c in thirds[(k + 1) % 3]]
-    return found
-
-
-def position_sets(width: int) -> list[tuple[int, ...]]:
-    """Sets of `width` (3 or 4) byte positions such that any four positions contain one."""
-    return position_triples() if width == 3 else list(combinations(range(8), 4))
-
-
-def links(nodes: DataFrame, radius: int = 4, most: int = 4096, width: int | None = None) -> DataFrame:
+def links(nodes: DataFrame, radius: int = 4, most: int = 256, width: int | None = None) -> DataFrame:
     """Pairs (a, b), a < b, that connect the same fingerprints as all pairs at `radius` (4 or fewer) differing bits do.
 
-    nodes: distinct fingerprints (fp). Two that differ in 4 bits share at least 4 of their 8 bytes at the same
-    positions, so they meet under one of 20 triples of positional bytes, or of 70 sets of four (`width`; four from
-    eight million fingerprints on, so that keys stay few-membered). The pairs that meet are tallied by shared
-    positional bytes, kept from 8 - radius on, and verified by their differing bits. Fingerprints under a
-    key with more than `most` go another exact way, linear in their number: two of them are linked through the
-    values within 2 bits of both.
+    nodes: distinct fingerprints (fp). Two that differ in r bits share 8 - r of their 8 bytes at least, at the same
+    positions. The index posts a fingerprint under each set of `width` (3; 4 from eight million fingerprints on, so that
+    keys stay few-membered) of its positional bytes; a pair is tallied once for every set it shares, and as 8 - r
+    positions hold comb(8 - r, width) sets, only pairs with so many are kept and verified by their differing bits.
+    Fingerprints under a key with more than `most` go another exact way, linear in their number: two of them are
+    linked through the values within 2 bits of both.
     """
     if radius not in (0, 2, 4):
         raise ValueError("the radius is 0, 2 or 4")
     byte = [F.shiftrightunsigned("fp", 8 * k).bitwiseAND(F.lit(255)) for k in range(8)]
     width = width or (3 if nodes.count() < 1 << 23 else 4)
-    keys = F.array(*(sum((F.shiftleft(byte[p], 8 * j) for j, p in enumerate(places)), F.lit(k << 8 * width)) for k, places in enumerate(position_sets(width))))
+    sets = list(combinations(range(8), width))
+    keys = F.array(*(sum((F.shiftleft(byte[p], 8 * j) for j, p in enumerate(places)), F.lit(k << 8 * width)) for k, places in enumerate(sets)))
     posted = nodes.select("fp", F.explode(keys).alias("key"))
-    posted = posted.withColumn("_n", F.count("*").over(Window.partitionBy("key")))
-    few = posted.where((F.col("_n") > 1) & (F.col("_n") <= most)).select("key", "fp")
-    differ = F.col("a").bitwiseXOR(F.col("b"))
-    shared = sum((F.shiftrightunsigned(differ, 8 * k).bitwiseAND(F.lit(255)) == 0).cast("int") for k in range(8))
+    counted = stage(posted.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > 1), "keys")
+    shared = stage(posted.join(counted, "key"), "postings")
+    crowded = stage(shared.where(F.col("_n") > most).select("fp").distinct(), "crowded")
+    few = shared.where(F.col("_n") <= most).select("key", "fp")
     pairs = few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), "key").where(F.col("a") < F.col("b"))
-    pairs = pairs.where(shared >= 8 - radius).where(F.bit_count(differ) <= radius).select("a", "b").distinct()
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("_shared"))  # two that share a crowded set too are both crowded, so linked below
+    differ = F.col("a").bitwiseXOR(F.col("b"))
+    pairs = pairs.where(F.col("_shared") >= comb(8 - radius, width)).where(F.bit_count(differ) <= radius).select("a", "b")
 
-    crowded = posted.where(F.col("_n") > most).select("fp").distinct()
     near = radius // 2
     inner = [sum(1 << b for b in bits) for r in range(near + 1) for bits in combinations(range(64), r)]
     signed = [m - (1 << 64) if m >> 63 else m for m in inner]
@@ -114,18 +104,33 @@ def links(nodes: DataFrame, radius: int = 4, most: int = 4096, width: int | None
 def components(edges: DataFrame) -> DataFrame:
     """node and label (the smallest node reachable) of every node of edges (a, b), by alternating large and small stars.
 
-    Each round is written to the shared folder; the number of rounds is logarithmic in the size of a component.
+    Each round is written to the shared folder, and the one before is deleted; the number of rounds is logarithmic in
+    the size of a component. Hubs are joined by `join_hot`.
     """
-    edges = stage(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    spark = edges.sparkSession
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(f"{shared_dir(spark)}/edges-{uuid.uuid4().hex}")
+        found = stage_at(df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), kept[-1])
+        while len(kept) > 2:
+            remove(spark, kept.pop(0))
+        return found
+
+    def lowest(df: DataFrame) -> DataFrame:
+        return df.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n"))
+
+    edges = keep(edges.where(F.col("a") != F.col("b")))
     state = None
     while True:
+        hot = hot_rows(2 * edges.count())
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.withColumnRenamed("m", "b"))
-        edges = stage(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        low = lowest(both).select("a", F.least("a", "m").alias("m"), "_n")
+        large = join_hot(both, low, "a", F.col("_n"), hot).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
+        down = keep(large)
+        low = lowest(down)
+        small = join_hot(down, low, "a", F.col("_n"), hot).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        edges = keep(small)
         seen = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state == seen:
             break
@@ -134,17 +139,17 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, most: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, most: int = 256, width: int | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id (the smallest doc_id reachable over links) of each row of docs (doc_id, text).
 
     Equal fingerprints are one node however many documents share them. Null ids are never the smallest; where
     all ids of a component are null, so is component_id. Other columns of docs are ignored.
     """
     prints = stage(fingerprints(docs, shingle), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-    labels = components(links(nodes.select("fp"), radius, most)).withColumnRenamed("node", "fp")
-    labelled = nodes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = labelled.join(least, "label").select("fp", "n", "component_id")
-    found = join_hot(prints, named, "fp", F.col("n"), max(1000, prints.count() // 1000))
+    nodes = stage(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")), "nodes")
+    labels = components(links(nodes.select("fp"), radius, most, width)).withColumnRenamed("node", "fp")
+    labelled = stage(nodes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")), "labels")
+    least = labelled.groupBy("label").agg(F.min("first").alias("component_id"), F.count("*").alias("_fps"))
+    named = join_hot(labelled, least, "label", F.col("_fps"), hot_rows(labelled.count())).select("fp", "n", "component_id")
+    found = join_hot(prints, stage(named, "named"), "fp", F.col("n"), hot_rows(prints.count()))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
