@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,78 +15,128 @@ from caseweave.operators.timeline import days_ahead, days_between, first_of, in_
 FINDING = ["case_id", "anomaly_type", "severity", "order_a", "order_b", "days"]
 
 
-def _found(rows: DataFrame, kind: str, severity: Column, a: Column, b: Column | None = None, days: Column | None = None) -> DataFrame:
+KINDS = "array<struct<anomaly_type:string,severity:string,order_a:long,order_b:long,days:long>>"
+
+
+def _finding(kind: str, severity: Column, a: Column, b: Column | None = None, days: Column | None = None) -> Column:
     none = F.lit(None).cast("long")
     columns = [F.lit(kind), severity, a.cast("long"), none if b is None else b.cast("long"), none if days is None else days.cast("long")]
-    return rows.select("case_id", *(c.alias(n) for c, n in zip(columns, FINDING[1:], strict=True)))
+    return F.struct(*(c.alias(n) for c, n in zip(columns, FINDING[1:], strict=True)))
 
 
-def documentation_gaps(t: DataFrame) -> DataFrame:
+def _listed(rows: DataFrame, finding: Column) -> DataFrame:
+    return rows.select("case_id", finding.alias("_f")).select("case_id", "_f.*")
+
+
+#: What a rule needs of the timeline beside its own row, as windows by name; they share one partitioning, and one sort an order.
+WINDOWS: dict[str, Callable[[], Column]] = {
+    "_n": lambda: F.count("*").over(whole_case()),
+    "_documents": lambda: F.size(F.collect_set("document_id").over(whole_case())),
+    "_next": lambda: F.lead(F.struct("order_number", "event_date")).over(in_order()),
+    "_visit": lambda: first_of((F.col("event_type") == "visita") & ~undated("event_date"), "event_date").over(whole_case()),
+    "_surgery": lambda: F.min(F.when(F.col("event_type") == "intervento", F.col("order_number"))).over(whole_case()),
+    "_consents": lambda: F.count_if(F.col("event_type") == "consenso").over(whole_case()),
+    "_control": lambda: first_of(F.col("event_type").isin(packs.CONTROLS) & ~undated("event_date"), "event_date").over(days_ahead(1)),
+    "_later": lambda: F.count("*").over(days_ahead(1)),
+    "_treated": lambda: F.max(F.when(F.col("event_type").isin(packs.TREATMENTS), F.col("order_number"))).over(days_ahead(0, packs.COMPLICATION_DAYS)),
+    "_controls": lambda: F.count_if(F.col("event_type").isin(packs.CONTROLS)).over(days_ahead(1, packs.THERAPY_DAYS)),
+}
+
+
+def _gap() -> Column:
     """Over 180 days between neighbours, both dated, in cases of five events or more."""
-    w = in_order()
-    rows = t.withColumns({"next": F.lead(F.struct("order_number", "event_date")).over(w), "n": F.count("*").over(whole_case())})
-    rows = rows.withColumn("days", days_between("event_date", "next.event_date"))
-    rows = rows.where((F.col("n") >= packs.GAP_EVENTS) & ~undated("event_date") & ~undated("next.event_date") & (F.col("days") > packs.GAP_DAYS))
-    return _found(rows, "gap_documentale", F.when(F.col("days") > packs.LONG_GAP_DAYS, "alta").otherwise("media"), F.col("order_number"), F.col("next.order_number"), F.col("days"))
+    days = days_between("event_date", "_next.event_date")
+    fits = (F.col("_n") >= packs.GAP_EVENTS) & ~undated("event_date") & ~undated("_next.event_date") & (days > packs.GAP_DAYS)
+    return F.when(fits, _finding("gap_documentale", F.when(days > packs.LONG_GAP_DAYS, "alta").otherwise("media"), F.col("order_number"), F.col("_next.order_number"), days))
 
 
-def late_diagnosis(t: DataFrame) -> DataFrame:
-    """Over 90 days from the first visit to the first diagnosis on or after it."""
-    dated = t.where(~undated("event_date") & F.col("event_type").isin("visita", "diagnosi"))
-    rows = dated.withColumn("visit", first_of(F.col("event_type") == "visita", "event_date").over(whole_case()))
-    rows = rows.where((F.col("event_type") == "diagnosi") & (F.col("event_date") >= F.col("visit.event_date")))
-    rows = rows.groupBy("case_id").agg(F.first("visit").alias("visit"), F.min(F.struct("order_number", "event_date")).alias("found"))
-    rows = rows.withColumn("days", days_between("visit.event_date", "found.event_date")).where(F.col("days") > packs.DIAGNOSIS_DAYS)
-    severity = F.when(F.col("days") > packs.DIAGNOSIS_CRITICA, "critica").when(F.col("days") > packs.DIAGNOSIS_ALTA, "alta").otherwise("media")
-    return _found(rows, "ritardo_diagnostico", severity, F.col("visit.order_number"), F.col("found.order_number"), F.col("days"))
+def _no_follow_up() -> Column:
+    """Surgery whose first later control is over 60 days off, or that has none though later events exist."""
+    days = days_between("event_date", "_control.event_date")
+    fits = (F.col("event_type") == "intervento") & ~undated("event_date") & ((days > packs.SURGERY_DAYS) | (F.col("_control").isNull() & (F.col("_later") > 0)))
+    return F.when(fits, _finding("gap_post_chirurgico", F.when(days > packs.SURGERY_ALTA, "alta").otherwise("media"), F.col("order_number"), F.col("_control.order_number"), days))
+
+
+def _unmanaged() -> Column:
+    """A complication without a treatment further on in order within 14 days."""
+    fits = (F.col("event_type") == "complicanza") & ~undated("event_date") & F.coalesce(F.col("_treated") <= F.col("order_number"), F.lit(True))
+    return F.when(fits, _finding("complicanza_non_gestita", F.lit("alta"), F.col("order_number")))
+
+
+def _no_consent() -> Column:
+    """Surgery but no consent in cases of more than one document; the first surgery is named."""
+    fits = (F.col("order_number") == F.col("_surgery")) & (F.col("_documents") > 1) & (F.col("_consents") == 0)
+    return F.when(fits, _finding("consenso_non_documentato", F.lit("media"), F.col("order_number")))
+
+
+def _uncontrolled() -> Column:
+    """Therapy without a control within 30 days though later events exist, in cases of more than one document."""
+    fits = (F.col("event_type") == "terapia") & ~undated("event_date") & (F.col("_controls") == 0) & (F.col("_later") > 0) & (F.col("_documents") > 1)
+    return F.when(fits, _finding("terapia_senza_followup", F.lit("bassa"), F.col("order_number")))
+
+
+#: Rules on single rows, and the windows that they need.
+ROW_RULES: dict[str, tuple[Callable[[], Column], tuple[str, ...]]] = {
+    "documentation_gaps": (_gap, ("_n", "_next")),
+    "late_follow_up": (_no_follow_up, ("_control", "_later")),
+    "unmanaged_complication": (_unmanaged, ("_treated",)),
+    "missing_consent": (_no_consent, ("_surgery", "_consents", "_documents")),
+    "uncontrolled_therapy": (_uncontrolled, ("_controls", "_later", "_documents")),
+}
+
+
+def by_row(t: DataFrame, *names: str) -> DataFrame:
+    """The findings of several rules on single rows, in one pass over the timeline."""
+    windows = dict.fromkeys(w for n in names for w in ROW_RULES[n][1])
+    rows = t.withColumns({w: WINDOWS[w]() for w in windows})
+    found = F.array_compact(F.array(*(ROW_RULES[n][0]() for n in names))).cast(KINDS)
+    return rows.select("case_id", F.explode(found).alias("_f")).select("case_id", "_f.*")
+
+
+def documentation_gaps(t: DataFrame) -> DataFrame:
+    return by_row(t, "documentation_gaps")
 
 
 def late_follow_up(t: DataFrame) -> DataFrame:
-    """Surgery whose first later control is over 60 days off, or that has none though later events exist."""
-    after = days_ahead(1)
-    control = F.col("event_type").isin(packs.CONTROLS) & ~undated("event_date")
-    rows = t.withColumns({"control": first_of(control, "event_date").over(after), "later": F.count("*").over(after)})
-    rows = rows.where((F.col("event_type") == "intervento") & ~undated("event_date")).withColumn("days", days_between("event_date", "control.event_date"))
-    rows = rows.where((F.col("days") > packs.SURGERY_DAYS) | (F.col("control").isNull() & (F.col("later") > 0)))
-    severity = F.when(F.col("days") > packs.SURGERY_ALTA, "alta").otherwise("media")
-    return _found(rows, "gap_post_chirurgico", severity, F.col("order_number"), F.col("control.order_number"), F.col("days"))
+    return by_row(t, "late_follow_up")
 
 
 def unmanaged_complication(t: DataFrame) -> DataFrame:
-    """A complication without a treatment further on in order within 14 days."""
-    treated = F.max(F.when(F.col("event_type").isin(packs.TREATMENTS), F.col("order_number"))).over(days_ahead(0, packs.COMPLICATION_DAYS))
-    rows = t.withColumn("treated", treated).where((F.col("event_type") == "complicanza") & ~undated("event_date"))
-    return _found(rows.where(F.coalesce(F.col("treated") <= F.col("order_number"), F.lit(True))), "complicanza_non_gestita", F.lit("alta"), F.col("order_number"))
+    return by_row(t, "unmanaged_complication")
 
 
 def missing_consent(t: DataFrame) -> DataFrame:
-    """Surgery but no consent in cases of more than one document; the first surgery is named."""
-    is_type = lambda x: F.col("event_type") == x
-    rows = t.groupBy("case_id").agg(F.countDistinct("document_id").alias("documents"), F.count_if(is_type("consenso")).alias("consents"), F.min(F.when(is_type("intervento"), F.col("order_number"))).alias("first"))
-    return _found(rows.where((F.col("documents") > 1) & (F.col("consents") == 0) & F.col("first").isNotNull()), "consenso_non_documentato", F.lit("media"), F.col("first"))
+    return by_row(t, "missing_consent")
+
+
+def uncontrolled_therapy(t: DataFrame) -> DataFrame:
+    return by_row(t, "uncontrolled_therapy")
+
+
+def late_diagnosis(t: DataFrame) -> DataFrame:
+    """Over 90 days from the first visit to the first diagnosis on or after it."""
+    dated = t.where(~undated("event_date") & F.col("event_type").isin("visita", "diagnosi"))
+    rows = dated.withColumn("visit", WINDOWS["_visit"]())
+    rows = rows.where((F.col("event_type") == "diagnosi") & (F.col("event_date") >= F.col("visit.event_date")))
+    rows = rows.groupBy("case_id").agg(F.first("visit").alias("visit"), F.min(F.struct("order_number", "event_date")).alias("found"))
+    rows = rows.withColumn("days", days_between("visit.event_date", "found.event_date")).where(F.col("days") > packs.DIAGNOSIS_DAYS)
+    severity = F.when(F.col("days") > packs.DIAGNOSIS_CRITICA, "critica").when(F.col("days") > packs.DIAGNOSIS_ALTA, "alta").otherwise("media")
+    return _listed(rows, _finding("ritardo_diagnostico", severity, F.col("visit.order_number"), F.col("found.order_number"), F.col("days")))
 
 
 def contradictory_diagnoses(t: DataFrame) -> DataFrame:
     """Pairs of the first 20 diagnoses of a case, within 60 days, that share at most a fifth of their longer words."""
     some = t.where((F.length("diagnosis") > 10) & ~undated("event_date"))
     some = some.withColumn("rank", F.row_number().over(in_order())).where(F.col("rank") <= packs.CONTRADICTION_MOST)
-    some = some.select("case_id", "order_number", "event_date", "rank", F.trim(F.lower("diagnosis")).alias("text")).withColumn("words", F.array_distinct(long_words(F.col("text"), 3)))
-    a, b = some.alias("a"), some.alias("b")
+    text = F.trim(F.lower("diagnosis"))
+    some = some.select("case_id", F.struct("order_number", "event_date", text.alias("text"), F.array_distinct(long_words(text, 3)).alias("words")).alias("x")).where(F.size("x.words") >= 3)
+    listed = some.groupBy("case_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))  # 20 at most
+    later = F.slice("xs", F.col("at") + 2, F.size("xs"))
+    rows = listed.select("case_id", "xs", F.posexplode("xs").alias("at", "a")).select("case_id", "a", F.explode(later).alias("b"))
     days = days_between("a.event_date", "b.event_date")
     shared, most = F.size(F.array_intersect("a.words", "b.words")), F.greatest(F.size("a.words"), F.size("b.words"))
-    rows = a.join(b, (F.col("a.case_id") == F.col("b.case_id")) & (F.col("a.rank") < F.col("b.rank")) & (days <= packs.CONTRADICTION_DAYS))
-    rows = rows.where((F.col("a.text") != F.col("b.text")) & (shared / most <= 0.2) & (F.size("a.words") >= 3) & (F.size("b.words") >= 3))
-    rows = rows.select("a.case_id", F.col("a.order_number").alias("x"), F.col("b.order_number").alias("y"), days.alias("d"))
-    return _found(rows, "diagnosi_contraddittoria", F.lit("media"), F.col("x"), F.col("y"), F.col("d"))
-
-
-def uncontrolled_therapy(t: DataFrame) -> DataFrame:
-    """Therapy without a control within 30 days though later events exist, in cases of more than one document."""
-    control = F.count_if(F.col("event_type").isin(packs.CONTROLS)).over(days_ahead(1, packs.THERAPY_DAYS))
-    documents = F.size(F.collect_set("document_id").over(whole_case()))
-    rows = t.withColumns({"controls": control, "later": F.count("*").over(days_ahead(1)), "documents": documents})
-    rows = rows.where((F.col("event_type") == "terapia") & ~undated("event_date") & (F.col("controls") == 0) & (F.col("later") > 0) & (F.col("documents") > 1))
-    return _found(rows, "terapia_senza_followup", F.lit("bassa"), F.col("order_number"))
+    rows = rows.where((days <= packs.CONTRADICTION_DAYS) & (F.col("a.text") != F.col("b.text")) & (shared / most <= 0.2))
+    return _listed(rows, _finding("diagnosi_contraddittoria", F.lit("media"), F.col("a.order_number"), F.col("b.order_number"), days))
 
 
 def clinical_values(t: DataFrame) -> DataFrame:
@@ -115,17 +166,12 @@ def sequence_violations(t: DataFrame) -> DataFrame:
     return rows.select("case_id", "rule", "severity", F.col("order_number").cast("long").alias("order_a"), F.when(F.col("early"), F.col("before.order_number")).cast("long").alias("order_b"), "days")
 
 
-RULES = [documentation_gaps, late_diagnosis, late_follow_up, unmanaged_complication, contradictory_diagnoses, missing_consent, uncontrolled_therapy]
-
-
 def anomalies(t: DataFrame) -> DataFrame:
     """All rules over cases of two events or more, clinical values and sequences included; findings that are the same but for later events count once."""
     cases = t.withColumn("_n", F.count("*").over(whole_case())).where(F.col("_n") >= 2).drop("_n")
-    values = clinical_values(cases)
-    found = [rule(cases) for rule in RULES]
-    found.append(_found(values, "valore_clinico_critico", F.col("severity"), F.col("order_number")))
-    sequences = sequence_violations(cases)
-    found.append(_found(sequences, "sequenza_temporale_violata", F.col("severity"), F.col("order_a"), F.col("order_b"), F.col("days")))
+    values = _listed(clinical_values(cases), _finding("valore_clinico_critico", F.col("severity"), F.col("order_number")))
+    sequences = _listed(sequence_violations(cases), _finding("sequenza_temporale_violata", F.col("severity"), F.col("order_a"), F.col("order_b"), F.col("days")))
+    found = [by_row(cases, *ROW_RULES), late_diagnosis(cases), contradictory_diagnoses(cases), values, sequences]
     return reduce(DataFrame.unionByName, found).dropDuplicates(FINDING)
 
 

@@ -19,8 +19,14 @@ def whole_case() -> Window:
 
 
 def days_ahead(first: int, last: int | None = None):
-    """Events of the case dated `first` to `last` days after the row's own (no end if None)."""
-    return Window.partitionBy("case_id").orderBy(F.unix_date("event_date")).rangeBetween(first, Window.unboundedFollowing if last is None else last)
+    """Events of the case dated `first` to `last` days after the row's own (no end if None).
+
+    Without an end the days are taken backwards, so that the frame only grows from row to row.
+    """
+    by = Window.partitionBy("case_id")
+    if last is None:
+        return by.orderBy(F.unix_date("event_date").desc()).rangeBetween(Window.unboundedPreceding, -first)
+    return by.orderBy(F.unix_date("event_date")).rangeBetween(first, last)
 
 
 def numbered(events: DataFrame) -> DataFrame:

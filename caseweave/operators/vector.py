@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,16 +16,24 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def nearest(chunks: DataFrame, queries: DataFrame, key: str, vector: str, least: float = 0.3, most: int = 5) -> DataFrame:
-    """query, key, similarity and rank of the `most` chunks over `least` similar to each query (query, vector).
+def nearest(chunks: DataFrame, queries: DataFrame, key: str, vector: str, least: float = 0.3, most: int = 5, block: int = 20_000) -> DataFrame:
+    """query, key, similarity and rank of the `most` chunks over `least` similar to each query (query, vector); a chunk with the query's own key is left out.
 
-    The queries are a bounded set and broadcast; every task keeps what is over the threshold, ranked by query.
+    The queries go over the chunks in blocks of about `block`, each small enough to be broadcast; every task keeps
+    the best of its own chunks of each query before the shuffle.
     """
-    asked = F.broadcast(queries.select("query", F.col("vector").alias("_q"), F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("_len")))
+    asked = queries.select("query", F.col("vector").alias("_q"), F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("_len"))
+    blocks = max(1, -(-asked.count() // block))
     normed = chunks.withColumn("_own", F.sqrt(dot(F.col(vector), F.col(vector))))
-    scored = normed.join(asked, F.lit(True)).withColumn("similarity", F.round(dot(F.col(vector), F.col("_q")) / (F.col("_own") * F.col("_len")), 6)).where(F.col("similarity") > least)
     by = Window.partitionBy("query").orderBy(F.desc("similarity"), key)
-    return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= most).select("query", key, "similarity", "rank")
+
+    def one(part: DataFrame) -> DataFrame:
+        similarity = F.round(dot(F.col(vector), F.col("_q")) / (F.col("_own") * F.col("_len")), 6)
+        scored = normed.join(F.broadcast(part), F.col(key) != F.col("query")).withColumn("similarity", similarity).where(F.col("similarity") > least)
+        return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= most).select("query", key, "similarity", "rank")
+
+    parts = [asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k) for k in range(blocks)] if blocks > 1 else [asked]
+    return reduce(DataFrame.unionByName, map(one, parts))
 
 
 def merged(found: DataFrame, texts: DataFrame, key: str, text: str, most: int = 5) -> DataFrame:

@@ -12,7 +12,7 @@ from caseweave.sources.views import read, with_views
 
 def _answers(spark, sf_dir):
     """Answers built from orders: whole, cut off in a text, cut off in an object, of another key, empty."""
-    o = read(spark, sf_dir, "orders").where(F.col("o_orderkey") < 3000)
+    o = read(spark, sf_dir, "orders")
     k = F.col("o_orderkey").cast("string")
     one = F.concat(F.lit('{"eventDate": "2024-01-0'), (F.col("o_orderkey") % 9 + 1).cast("string"), F.lit('", "eventType": "visita", "title": "t'), k, F.lit('", "diagnosis": "DIAGNOSI_PLACEHOLDER", "confidence": '), (F.col("o_orderkey") % 150).cast("string"), F.lit("}"))
     two = F.concat(F.lit('{"event_date": null, "event_type": "esame", "description": "d'), k, F.lit('", "source_pages": [2, 3]}'))
@@ -88,8 +88,8 @@ def anomaly_event_refs(spark, sf_dir):
 
 
 def anomaly_context(spark, sf_dir):
-    pages = read(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("document_id"), F.col("doc_id").alias("page_number"), F.coalesce("text", F.lit("")).alias("ocr_text"))
-    wanted = pages.select((F.col("document_id") % 10).alias("key"), "document_id", "page_number").where(F.col("page_number") < 200)
+    pages = read(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 20).alias("document_id"), F.col("doc_id").alias("page_number"), F.coalesce("text", F.lit("")).alias("ocr_text"))
+    wanted = pages.select(F.floor(F.col("page_number") / 10).alias("key"), "document_id", "page_number")
     return records.ocr_context(wanted, pages).select("key", F.length("context").cast("long").alias("length"), F.md5(F.col("context").cast("binary")).alias("digest"))
 
 
@@ -119,7 +119,7 @@ def style_excerpts(spark, sf_dir):
     wanted = views.cases(spark, sf_dir).select("case_id", F.col("case_type").alias("kind"), F.when(F.col("case_id") % 2 == 0, "ctu").otherwise("ctp").alias("role"))
     offers = spark.createDataFrame([("ortopedica", "ctu", "o1"), ("rc_auto", "ctp", "r1"), ("oncologica", "ctu", "k1")], "kind string, role string, excerpt string")
     generic = spark.createDataFrame([("ctu", "g1")], "role string, _g string")
-    found = wanted.join(F.broadcast(offers), ["kind", "role"], "left").join(F.broadcast(generic), "role", "left")
+    found = wanted.join(F.broadcast(offers), ["kind", "role"], "left").join(F.broadcast(generic), "role", "left")  # tables of the code, a few rows
     return found.select("case_id", F.coalesce("excerpt", "_g").alias("excerpt"))
 
 
@@ -207,9 +207,9 @@ def _sql() -> dict[str, str]:
     bundle = with_views("cases", "case_documents") + ", b AS (SELECT c.case_id, c.user_id, c.case_type, coalesce(n, 0) AS documents, coalesce(p, 0) AS pages, coalesce(s, '') AS states FROM cases c LEFT JOIN (SELECT case_id, count(*) AS n, CAST(sum(pages) AS BIGINT) AS p, string_agg(DISTINCT status, ',' ORDER BY status) AS s FROM case_documents GROUP BY case_id) d USING (case_id)) "
     sourced = with_views("sparse") + ", t AS (SELECT *, list_extract(['cartella_clinica', 'esame_ematochimico', 'altro', 'ignota'], CAST(event_id % 4 AS INTEGER) + 1) AS source_type FROM sparse) "
     score = "CASE source_type WHEN 'cartella_clinica' THEN 100 WHEN 'esame_ematochimico' THEN 70 ELSE 50 END"
-    first = "SELECT o_orderkey AS id, 0 AS number, '2024-01-0' || (o_orderkey % 9 + 1) AS event_date, 'sconosciuta' AS date_precision, 'visita' AS event_type, 't' || o_orderkey AS title, '' AS description, 'altro' AS source_type, NULL AS diagnosis, NULL AS doctor, NULL AS facility, least(o_orderkey % 150, 100)::DOUBLE AS confidence, FALSE AS requires_verification, '' AS source_text, '1' AS source_pages FROM orders WHERE o_orderkey < 3000 AND o_orderkey % 5 IN (0, 1, 3)"
-    second = "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END, '1900-01-01', 'sconosciuta', 'esame', 'Evento clinico', 'd' || o_orderkey, 'altro', NULL, NULL, NULL, 70.0::DOUBLE, TRUE, '', '2,3' FROM orders WHERE o_orderkey < 3000 AND o_orderkey % 5 IN (0, 2)"
-    third = "SELECT o_orderkey, 1, '1900-01-01', 'sconosciuta', 'altro', 'cut o', '', 'altro', NULL, NULL, NULL, 70.0::DOUBLE, TRUE, '', '1' FROM orders WHERE o_orderkey < 3000 AND o_orderkey % 5 = 1"
+    first = "SELECT o_orderkey AS id, 0 AS number, '2024-01-0' || (o_orderkey % 9 + 1) AS event_date, 'sconosciuta' AS date_precision, 'visita' AS event_type, 't' || o_orderkey AS title, '' AS description, 'altro' AS source_type, NULL AS diagnosis, NULL AS doctor, NULL AS facility, least(o_orderkey % 150, 100)::DOUBLE AS confidence, FALSE AS requires_verification, '' AS source_text, '1' AS source_pages FROM orders WHERE o_orderkey % 5 IN (0, 1, 3)"
+    second = "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END, '1900-01-01', 'sconosciuta', 'esame', 'Evento clinico', 'd' || o_orderkey, 'altro', NULL, NULL, NULL, 70.0::DOUBLE, TRUE, '', '2,3' FROM orders WHERE o_orderkey % 5 IN (0, 2)"
+    third = "SELECT o_orderkey, 1, '1900-01-01', 'sconosciuta', 'altro', 'cut o', '', 'altro', NULL, NULL, NULL, 70.0::DOUBLE, TRUE, '', '1' FROM orders WHERE o_orderkey % 5 = 1"
     low = "regexp_replace(lower(text), '\\s+', ' ', 'g')"
     return {
         "best_events": with_views("dense") + "SELECT case_id, event_date, event_type, order_number, confidence FROM (SELECT *, event_id % 7 AS confidence, row_number() OVER (PARTITION BY case_id, event_date, event_type ORDER BY event_id % 7 DESC, order_number) AS k FROM dense) WHERE k = 1",

@@ -14,7 +14,8 @@ from caseweave.sources.views import _list, read
 def _drafts(spark, sf_dir):
     """Two model texts for each document: with marks, with a heading, or plain."""
     d = read(spark, sf_dir, "documents").where(F.length("text") > 400).select("doc_id", F.translate("text", "\n\r\t", "   ").alias("t"))
-    a, b, c = F.trim(F.substring("t", 1, 120)), F.trim(F.substring("t", 121, 130)), F.trim(F.substring("t", 251, 140))
+    third = F.floor(F.length("t") / 3).cast("int")
+    a, b, c = (F.trim(F.substring("t", third * k + 1, third if k < 2 else F.length("t"))) for k in range(3))
     k = F.col("doc_id") % 3
     summary = F.when(k == 0, F.concat(F.lit("<!-- SECTION:RIASSUNTO -->\n"), a, F.lit("\n<!-- END:RIASSUNTO -->\n<!-- SECTION:ELEMENTI -->\n"), b, F.lit("\n<!-- END:ELEMENTI -->"))).when(k == 1, F.concat(a, F.lit("\n## Elementi di rilievo\n"), b)).otherwise(F.concat(a, F.lit(" "), b))
     chronology = F.when(k == 0, F.concat(F.lit("<!-- SECTION:CRONOLOGIA -->\n"), c, F.lit("\n<!-- END:CRONOLOGIA -->"))).otherwise(c)
@@ -46,13 +47,13 @@ def guideline_ingest(spark, sf_dir):
 
 def vector_approximate(spark, sf_dir):
     chunks = read(spark, sf_dir, "embeddings")
-    query = chunks.where(F.col("vec_id") == 0).first()["embedding"]
-    return reports.approximate_nearest(chunks, query, "vec_id", "embedding")
+    queries = chunks.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    return reports.approximate_nearest(chunks, queries, "vec_id", "embedding")
 
 
 QUERIES = {f.__name__: f for f in (assembled_reports, numbered_reports, named_parts, rendered_reports, guideline_ingest, vector_approximate)}
 ORACLE_SQL = {
-    "assembled_reports": """WITH d AS (SELECT doc_id, translate(text, chr(10) || chr(13) || chr(9), '   ') AS t FROM documents WHERE length(text) > 400), p AS (SELECT doc_id, trim(substring(t, 1, 120)) AS a, trim(substring(t, 121, 130)) AS b, trim(substring(t, 251, 140)) AS c FROM d)
+    "assembled_reports": """WITH d AS (SELECT doc_id, translate(text, chr(10) || chr(13) || chr(9), '   ') AS t FROM documents WHERE length(text) > 400), p AS (SELECT doc_id, trim(substring(t, 1, length(t) // 3)) AS a, trim(substring(t, length(t) // 3 + 1, length(t) // 3)) AS b, trim(substring(t, length(t) // 3 * 2 + 1)) AS c FROM d)
         SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 AND length(a) > 50 AND length(b) > 50 AND length(c) > 50 THEN a || chr(10) || chr(10) || c || chr(10) || chr(10) || b
             WHEN doc_id % 3 = 1 AND length(a) > 100 THEN a || chr(10) || chr(10) || c || chr(10) || chr(10) || '## Elementi di rilievo' || chr(10) || b WHEN doc_id % 3 = 1 THEN a || chr(10) || '## Elementi di rilievo' || chr(10) || b || chr(10) || chr(10) || c
             ELSE a || ' ' || b || chr(10) || chr(10) || c END) AS digest FROM p""",

@@ -87,11 +87,11 @@ def docs_without_events(spark, sf_dir):
 
 def _image_parts(spark, sf_dir):
     e = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), (F.col("o_orderkey") % 100).alias("document_id"), F.array((F.col("o_orderkey") % 3).cast("int"), (F.col("o_custkey") % 5).cast("int")).alias("source_pages"))
-    p = read(spark, sf_dir, "part").where(F.col("p_partkey") < 300).select((F.col("p_partkey") % 100).alias("document_id"), F.floor(F.col("p_partkey") / 100).cast("int").alias("page_number"), F.concat(F.lit("a"), F.col("p_partkey").cast("string"), F.lit(";;b"), F.col("p_partkey").cast("string")).alias("image_path"))
+    p = read(spark, sf_dir, "part").select((F.col("p_partkey") % 100).alias("document_id"), F.floor(F.col("p_partkey") / 100).cast("int").alias("page_number"), F.concat(F.lit("a"), F.col("p_partkey").cast("string"), F.lit(";;b"), F.col("p_partkey").cast("string")).alias("image_path"))
     return e, p
 
 
-IMAGES = """WITH e AS (SELECT o_orderkey AS event_id, o_orderkey % 100 AS document_id, o_orderkey % 3 AS pa, o_custkey % 5 AS pb FROM orders), p AS (SELECT p_partkey % 100 AS document_id, p_partkey // 100 AS page_number, x AS image_path FROM part, unnest(['a' || p_partkey, 'b' || p_partkey]) u(x) WHERE p_partkey < 300),
+IMAGES = """WITH e AS (SELECT o_orderkey AS event_id, o_orderkey % 100 AS document_id, o_orderkey % 3 AS pa, o_custkey % 5 AS pb FROM orders), p AS (SELECT p_partkey % 100 AS document_id, p_partkey // 100 AS page_number, x AS image_path FROM part, unnest(['a' || p_partkey, 'b' || p_partkey]) u(x)),
     w AS (SELECT event_id, document_id, pa AS page_number FROM e UNION ALL SELECT event_id, document_id, pb FROM e), l AS (SELECT event_id, CAST(page_number AS INTEGER) AS page_number, image_path FROM w JOIN p USING (document_id, page_number)) """
 
 
@@ -211,10 +211,12 @@ def dedup_key(spark, sf_dir):
 
 
 def jaccard_pairs(spark, sf_dir):
-    p = read(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size", F.concat_ws(" ", "p_name", "p_type").alias("title")).where(F.col("p_size") <= 3)
-    a, b = p.alias("a"), p.alias("b")
-    both = a.join(b, (F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
-    return both.select(F.col("a.p_partkey").alias("one"), F.col("b.p_partkey").alias("two"), F.round(text.jaccard(F.col("a.title"), F.col("b.title")), 6).alias("similarity"))
+    """Titles of parts of one type and size that share a word, by their first part: copies of a title are one."""
+    p = read(spark, sf_dir, "part").groupBy("p_type", "p_size", F.concat_ws(" ", "p_name", "p_type").alias("title")).agg(F.min("p_partkey").alias("part"))
+    worded = p.withColumn("word", F.explode(F.array_distinct(text.long_words(F.col("title"), 3))))
+    a, b = worded.select("p_type", "p_size", "word", F.col("part").alias("one"), F.col("title").alias("ta")), worded.select("p_type", "p_size", "word", F.col("part").alias("two"), F.col("title").alias("tb"))
+    both = a.join(b, ["p_type", "p_size", "word"]).where(F.col("one") < F.col("two")).select("one", "two", "ta", "tb").distinct()
+    return both.select("one", "two", F.round(text.jaccard(F.col("ta"), F.col("tb")), 6).alias("similarity"))
 
 
 def retention_expired(spark, sf_dir):
@@ -265,17 +267,16 @@ def fk_orphans(spark, sf_dir):
 def vector_topk(spark, sf_dir):
     chunks = read(spark, sf_dir, "embeddings").where(F.col("label") % 5 != 0)
     queries = read(spark, sf_dir, "embeddings").where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
-    return vector.nearest(chunks.where(F.col("vec_id") % 50 != 0), queries, "vec_id", "embedding")
+    return vector.nearest(chunks, queries, "vec_id", "embedding")
 
 
 def vector_multi(spark, sf_dir):
     texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
-    found = vector_topk(spark, sf_dir).where(F.col("query") < 500)
-    return vector.merged(found, texts, "vec_id", "text").select("vec_id", "similarity")
+    return vector.merged(vector_topk(spark, sf_dir), texts, "vec_id", "text").select("vec_id", "similarity")
 
 
 def formats(spark, sf_dir):
-    rows = read(spark, sf_dir, "orders").where(F.col("o_orderkey") < 1000)
+    rows = read(spark, sf_dir, "orders")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     shown = F.when(F.col("o_orderkey") % 7 == 0, F.lit("")).when(F.col("o_orderkey") % 7 == 1, F.lit("1900-01-01")).when(F.col("o_orderkey") % 7 == 2, F.lit("marzo 2020")).otherwise(day)
     n = F.col("o_orderkey") * F.col("o_orderkey") * 37
@@ -340,7 +341,7 @@ def _all_sql():
             r AS (SELECT 2 AS place, 'report' AS kind, conv_id * 100 + turn AS id, regexp_replace(text, '<[^>]+>', '', 'g') AS t FROM conversations WHERE contains(lower(text), 'there') ORDER BY id LIMIT 10), b AS (SELECT *, instr(lower(t), 'there') AS pos FROM (SELECT * FROM d UNION ALL SELECT * FROM p UNION ALL SELECT * FROM r))
             SELECT kind, id, CASE WHEN pos > 0 THEN {excerpt} ELSE substring(t, 1, 160) || CASE WHEN length(t) > 160 THEN '...' ELSE '' END END AS excerpt, (SELECT count(*) FROM b) AS total FROM b ORDER BY place, id LIMIT 25""",
         "dedup_key": "SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY concat_ws(':', lang, substring(text, 1, 100)) ORDER BY doc_id) AS k FROM documents) WHERE k = 1",
-        "jaccard_pairs": f"WITH p AS (SELECT p_partkey, p_type, p_size, p_name || ' ' || p_type AS title FROM part WHERE p_size <= 3) SELECT a.p_partkey AS one, b.p_partkey AS two, round({jac('a.title', 'b.title')}, 6) AS similarity FROM p a JOIN p b ON a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey",
+        "jaccard_pairs": f"WITH p AS (SELECT min(p_partkey) AS part, p_type, p_size, p_name || ' ' || p_type AS title FROM part GROUP BY ALL), s AS (SELECT a.part AS one, b.part AS two, round({jac('a.title', 'b.title')}, 6) AS similarity FROM p a JOIN p b ON a.p_type = b.p_type AND a.p_size = b.p_size AND a.part < b.part WHERE len(list_intersect({uniq('a.title')}, {uniq('b.title')})) > 0) SELECT * FROM s",
         "retention_expired": archived + "SELECT * FROM expired",
         "cascade_remaining": archived + f", case_documents AS ({views.SQL['case_documents']}) SELECT status, count(*) AS documents, count(DISTINCT case_id) AS cases FROM case_documents WHERE case_id NOT IN (SELECT case_id FROM expired) GROUP BY status",
         "upsert_latest": "SELECT user_id, event_type, coalesce(max(value) FILTER (WHERE value >= 20), min(value)) AS value FROM events GROUP BY user_id, event_type",
@@ -350,8 +351,8 @@ def _all_sql():
         "confirmable": docs + "SELECT case_id, bool_and(status = 'in_coda') AS fine, count(*) AS n FROM case_documents GROUP BY case_id",
         "fk_orphans": "SELECT count(*) AS rows, count(*) FILTER (WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 50 <> 0)) AS orphans FROM lineitem",
         "vector_topk": VECTORS + "SELECT * FROM top",
-        "vector_multi": VECTORS + ", m AS (SELECT vec_id, max(similarity) AS similarity FROM top WHERE query < 500 GROUP BY vec_id), k AS (SELECT vec_id, similarity, row_number() OVER (PARTITION BY substring(text, 1, 100) ORDER BY similarity DESC, vec_id) AS k FROM m JOIN documents ON doc_id = vec_id) SELECT vec_id, similarity FROM k WHERE k = 1 ORDER BY similarity DESC, vec_id LIMIT 5",
-        "formats": """WITH r AS (SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN '' WHEN 1 THEN '1900-01-01' WHEN 2 THEN 'marzo 2020' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS d, o_orderkey * o_orderkey * 37 AS n FROM orders WHERE o_orderkey < 1000)
+        "vector_multi": VECTORS + ", m AS (SELECT vec_id, max(similarity) AS similarity FROM top GROUP BY vec_id), k AS (SELECT vec_id, similarity, row_number() OVER (PARTITION BY substring(text, 1, 100) ORDER BY similarity DESC, vec_id) AS k FROM m JOIN documents ON doc_id = vec_id) SELECT vec_id, similarity FROM k WHERE k = 1 ORDER BY similarity DESC, vec_id LIMIT 5",
+        "formats": """WITH r AS (SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN '' WHEN 1 THEN '1900-01-01' WHEN 2 THEN 'marzo 2020' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS d, o_orderkey * o_orderkey * 37 AS n FROM orders)
             SELECT o_orderkey, CASE WHEN d = '' THEN 'Data non disponibile' WHEN d = '1900-01-01' THEN 'Data non documentata' WHEN len(string_split(d, '-')) <> 3 THEN d ELSE string_split(d, '-')[3] || '/' || string_split(d, '-')[2] || '/' || string_split(d, '-')[1] END AS day,
             CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f', floor(n / 1024.0::DOUBLE * 10 + 0.5) / 10) || ' KB' ELSE printf('%.1f', floor(n / 1048576.0::DOUBLE * 10 + 0.5) / 10) || ' MB' END AS size, CASE WHEN o_orderkey % 101 >= 80 THEN 'alta' WHEN o_orderkey % 101 >= 50 THEN 'media' ELSE 'bassa' END AS label,
             CAST(floor(o_orderkey % 400 / 30.0 + 0.5) AS BIGINT) AS months, CASE WHEN o_orderkey * 7 < 60 THEN (o_orderkey * 7) || 's' ELSE (o_orderkey * 7 // 60) || 'm ' || (o_orderkey * 7 % 60) || 's' END AS lasted,
@@ -359,7 +360,7 @@ def _all_sql():
     }
 
 
-VECTORS = """WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS similarity FROM embeddings, q WHERE label % 5 <> 0 AND vec_id % 50 <> 0),
+VECTORS = """WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS similarity FROM embeddings, q WHERE label % 5 <> 0 AND vec_id <> query),
     top AS (SELECT query, vec_id, similarity, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) AS rank FROM s WHERE similarity > 0.3 QUALIFY rank <= 5) """
 
 QUERIES = {f.__name__: f for f in (

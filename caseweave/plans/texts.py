@@ -136,7 +136,7 @@ def chunk_ranges(spark, sf_dir):
 
 
 def page_windows(spark, sf_dir):
-    p = read(spark, sf_dir, "pages").select((F.col("page_id") % 40).alias("document_id"), F.col("page_id").alias("page_number"), F.coalesce("html", F.lit("")).alias("ocr_text"))
+    p = read(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 30).alias("document_id"), F.col("page_id").alias("page_number"), F.coalesce("html", F.lit("")).alias("ocr_text"))
     return texts.page_windows(p)
 
 
@@ -164,8 +164,8 @@ def demo_case(spark, sf_dir):
 
 def gate_timeout(spark, sf_dir):
     e = read(spark, sf_dir, "events")
-    asked = e.where(F.col("event_id") % 50 == 0).select(F.col("user_id").alias("case_id"), F.col("ts").alias("requested"))
-    answers = e.where(F.col("event_type") == "purchase").where(F.col("event_id") % 7 == 0).select(F.col("user_id").alias("case_id"), F.col("ts").alias("confirmed"))
+    asked = e.where(F.col("event_type") == "error").select(F.col("user_id").alias("case_id"), F.col("ts").alias("requested"))
+    answers = e.where(F.col("event_type") == "purchase").select(F.col("user_id").alias("case_id"), F.col("ts").alias("confirmed"))
     return gates.gate(asked, answers)
 
 
@@ -244,7 +244,7 @@ ORACLE_SQL = {
     "csv_rows": with_views("sparse") + """SELECT case_id, order_number, concat_ws(';', CAST(order_number AS VARCHAR), strftime(event_date, '%d/%m/%Y'), 'giorno', event_type, title, description, 'altro', coalesce(diagnosis, ''), '', CASE WHEN event_id % 9 = 0 THEN '"Clinica ""A""; B"' ELSE '' END, CAST(event_id % 101 AS VARCHAR), CASE WHEN event_id % 2 = 0 THEN 'Si' ELSE 'No' END) AS line FROM sparse""",
     "filing_xml": with_views("cases") + "SELECT case_id, '<deposito><oggetto>' || case_type || ' &amp; &lt;x&gt;</oggetto>' || CASE WHEN case_id % 3 <> 0 THEN '<stato>' || status || '</stato>' ELSE '' END || '</deposito>' AS xml FROM cases",
     "demo_case": "SELECT 'DEMO-001' AS code, 'M.R.' AS patient_initials, 'ortopedica' AS case_type, 'bozza' AS status WHERE NOT EXISTS (SELECT 1 FROM region WHERE starts_with('CASO-' || r_name, 'DEMO-'))",
-    "gate_timeout": "SELECT a.user_id AS case_id, a.ts AS requested, min(b.ts) AS confirmed FROM events a LEFT JOIN events b ON b.user_id = a.user_id AND b.event_type = 'purchase' AND b.event_id % 7 = 0 AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 7 DAY WHERE a.event_id % 50 = 0 GROUP BY a.user_id, a.ts",
+    "gate_timeout": "SELECT a.user_id AS case_id, a.ts AS requested, min(b.ts) AS confirmed FROM events a LEFT JOIN events b ON b.user_id = a.user_id AND b.event_type = 'purchase' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 7 DAY WHERE a.event_type = 'error' GROUP BY a.user_id, a.ts",
     "sliding_rate": "SELECT a.event_id, count(*) AS recent, count(*) <= 1 AS allowed FROM events a JOIN events b ON b.user_id = a.user_id AND b.ts <= a.ts AND epoch_us(b.ts) > epoch_us(a.ts) - 3600000000 GROUP BY a.event_id",
     "subscription_state": "SELECT user_id, arg_max(status, (ts, event_id)) AS status FROM (SELECT *, CASE CAST(event_id % 5 AS INTEGER) WHEN 0 THEN 'active' WHEN 1 THEN 'active' WHEN 2 THEN 'canceled' WHEN 3 THEN 'past_due' END AS status FROM events) WHERE status IS NOT NULL GROUP BY user_id",
 }

@@ -87,13 +87,101 @@ def test_merging_twice_changes_nothing(spark):
     assert sorted(map(tuple, intervals.merged(once).collect())) == sorted(map(tuple, once.collect()))
 
 
-def test_chunks_overlap_and_carry_their_heading():
+def test_chunks_overlap_and_carry_their_heading(spark):
     body = "\n".join("riga numero %04d" % k for k in range(200))
-    found = texts.cut_chunks("# Titolo\n" + body)
-    assert len(found) > 2 and all(c.startswith("[Titolo]\n") for _, c in found)
-    assert all(len(c) <= 1500 + len("[Titolo]\n") for _, c in found)
-    assert set(body.split("\n")) <= {line for _, c in found for line in c.split("\n")}
-    assert texts.cut_chunks(None) == [] and texts.cut_chunks("breve") == []
+    docs = [(1, "# Titolo\n" + body), (2, None), (3, "breve"), (4, "prima parte senza titolo, abbastanza lunga\n## Altra\ncorta\n### Terza  \n" + "x" * 4000)]
+    found = texts.chunks(spark.createDataFrame(docs, "id long, t string"), "id", "t").orderBy("id", "chunk").collect()
+    one = [r.content for r in found if r.id == 1]
+    assert len(one) > 2 and all(c.startswith("[Titolo]\n") and len(c) <= 1500 + len("[Titolo]\n") for c in one)
+    assert set(body.split("\n")) <= {line for c in one for line in c.split("\n")}
+    assert {r.id for r in found} == {1, 4}
+    four = [(r.chunk, r.title, len(r.content)) for r in found if r.id == 4]
+    assert four == [(0, None, 42), (1, "Terza", 1508), (2, "Terza", 1508), (3, "Terza", 1408)]
+    assert [r.tokens for r in found if r.id == 4] == [11, 377, 377, 352]
+
+
+def brute_windows(lengths, most, overlap=2):
+    """Runs of pages (first, last) in their order; a longer page by itself."""
+    out, held = [], []
+    for k, n in enumerate(lengths):
+        if n > most:
+            out += [(held[0], held[-1])] if held else []
+            out.append((k, k))
+            held = []
+            continue
+        if held and sum(lengths[j] for j in held) + n > most:
+            out.append((held[0], held[-1]))
+            held = held[-overlap:]
+        held.append(k)
+    return out + ([(held[0], held[-1])] if held else [])
+
+
+def test_page_windows_by_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    docs = {d: [rng.choice((10, 40, 90, 160, 1500)) for _ in range(rng.randint(1, 12))] for d in range(40)}
+    rows = [(d, k, "a" * n) for d, ns in docs.items() for k, n in enumerate(ns)]
+    found = texts.page_windows(spark.createDataFrame(rows, "document_id long, page_number int, ocr_text string"), most=200).collect()
+    for d, ns in docs.items():
+        got = sorted((r.chunk, r.first_page, r.last_page, r.start, r.stop) for r in found if r.document_id == d)
+        runs = list(dict.fromkeys((a, b) for _, a, b, *_ in got))
+        assert runs == brute_windows(ns, 200)
+        assert all((s is None) == (ns[a] <= 200) for _, a, _, s, _ in got)
+        for a, n in enumerate(ns):
+            if n > 200:
+                parts = [(s, e) for _, x, _, s, e in got if x == a and s is not None]
+                assert parts[0][0] == 0 and parts[-1][1] == n and all(e - s <= 200 for s, e in parts)
+
+
+def test_longest_common_subsequence_by_table():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(200):
+        q, w = [[rng.choice("abcdef") for _ in range(rng.randint(0, 14))] for _ in range(2)]
+        best, size = 0.0, min(3 * len(q), len(w))
+        for a in range(0, len(w) - size + 1, max(1, len(q) // 2)) if q and w else ():
+            table = [[0] * (size + 1) for _ in range(len(q) + 1)]
+            for i, x in enumerate(q):
+                for j, y in enumerate(w[a : a + size]):
+                    table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+            best = max(best, table[-1][-1] / len(q))
+            if best >= 0.8:
+                break
+        assert texts.window_ratio(q, w) == best
+
+
+def test_approximate_search_finds_most_of_the_exact(spark):
+    from caseweave.plans import registry
+
+    sf = "/root/testdata/sf0.01"
+    chunks = spark.read.parquet(f"{sf}/embeddings.parquet")
+    queries = chunks.where("vec_id % 50 = 0").selectExpr("vec_id AS query", "embedding AS vector")
+    from caseweave.operators import vector
+
+    exact = {(r.query, r.vec_id) for r in vector.nearest(chunks, queries, "vec_id", "embedding").collect()}
+    blocked = {(r.query, r.vec_id) for r in vector.nearest(chunks, queries, "vec_id", "embedding", block=3).collect()}
+    found = {(r.query, r.vec_id) for r in registry.QUERIES["vector_approximate"](spark, sf).collect()}
+    assert exact == blocked and len(exact) > 10 and len(exact & found) >= 0.9 * len(exact)
+
+
+def test_single_rows_and_the_audit_log(spark, tmp_path):
+    import pytest
+    from pyspark.errors import PySparkException
+
+    from caseweave.operators import details
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    assert details.single(rows, "k").count() == 2
+    for bad, how in ((rows.union(rows), {}), (spark.createDataFrame([(1, None)], "k int, v string"), {})):
+        with pytest.raises(PySparkException):
+            details.single(bad, "k", **how).collect()
+    assert details.single(spark.createDataFrame([(1, None)], "k int, v string"), "k", optional=True).count() == 1
+    log = spark.createDataFrame([(None, "login", 1), (2, "logout", 2)], "user_id int, action string, at int")
+    for _ in range(2):
+        details.append_audit(log, f"file://{tmp_path}/audit")
+    assert spark.read.parquet(f"file://{tmp_path}/audit").count() == 4
 
 
 def test_provenance_levels(spark):
