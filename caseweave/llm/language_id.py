@@ -51,13 +51,14 @@ def gram_counts(text: str | None, bits: int = 16, longest: int = 3) -> np.ndarra
 
 @dataclass
 class Model:
-    """labels in alphabetical order; idf of each feature; weights (feature, label) and bias; temperature of the scores."""
+    """labels in alphabetical order; idf of each feature; weights (feature, label) and bias; temperature of the scores; the least score of a sure prediction."""
 
     labels: list[str]
     idf: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
+    least: float = 0.0
 
     @property
     def bits(self) -> int:
@@ -128,6 +129,15 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
+def least_score(scores: np.ndarray, labels: int, quantile: float = 0.01, share: float = 0.28) -> float:
+    """From which score on a prediction is sure: `share` of the way from chance to the score that all but `quantile` of rows kept out of training reach for their own label.
+
+    Texts in a language that was not learnt, and letters without sense, score little above chance.
+    """
+    chance = 1 / max(1, labels)
+    return chance + share * (float(np.quantile(scores, quantile)) - chance) if len(scores) else 0.0
+
+
 def document_frequencies(docs: DataFrame, bits: int) -> tuple[np.ndarray, int]:
     """In how many rows of docs (text) each feature occurs, and how many rows have a letter. What reaches the driver is bounded by the number of features."""
 
@@ -207,13 +217,16 @@ def fit(docs: DataFrame, most_rows: int = 4000, bits: int = 16, passes: int = 3,
         whole = learner.weights(slice(None))
         model.weights, model.bias = whole[:-1].astype(np.float32), whole[-1]
         scores = np.array([x @ model.weights[at] + model.bias for at, x, _ in kept_out])
-        model.temperature = fit_temperature(scores.reshape(len(kept_out), -1), np.array([y for *_, y in kept_out], int))
+        scores, own = scores.reshape(len(kept_out), -1), np.array([y for *_, y in kept_out], int)
+        model.temperature = fit_temperature(scores, own)
+        if len(own):
+            model.least = least_score(softmax(scores / model.temperature)[np.arange(len(own)), own], len(labels))
     return model
 
 
 def predict(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
-    """docs (text and any more columns, of which `columns` are kept, or all; those with the name of a result give way) with lang_pred and score."""
-    names = [c for c in (columns or docs.columns) if c.lower() not in ("lang_pred", "score")]
+    """docs (text and any more columns, of which `columns` are kept, or all; those with the name of a result give way) with lang_pred, score and sure (whether the text has a letter and the score is not as low as that of no learnt language)."""
+    names = [c for c in (columns or docs.columns) if c.lower() not in ("lang_pred", "score", "sure")]
     whole = unused(docs, "_text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by features and labels
 
@@ -223,10 +236,10 @@ def predict(docs: DataFrame, model: Model, columns: list[str] | None = None) ->
         for batch in batches:
             found = [shared.value.predict(text.as_py()) for text in batch.column(whole)]
             out = batch.select(names)
-            yield out.append_column("lang_pred", pa.array([x[0] for x in found], pa.string())).append_column("score", pa.array([x[1] for x in found], pa.float64()))
+            yield out.append_column("lang_pred", pa.array([x[0] for x in found], pa.string())).append_column("score", pa.array([x[1] for x in found], pa.float64())).append_column("sure", pa.array([x[0] != UNKNOWN and x[1] >= shared.value.least for x in found], pa.bool_()))
 
     plain = docs.select(*names, F.col("text").cast("string").alias(whole))
-    return plain.mapInArrow(judge, docs.select(*names).schema.add("lang_pred", "string").add("score", "double"))
+    return plain.mapInArrow(judge, docs.select(*names).schema.add("lang_pred", "string").add("score", "double").add("sure", "boolean"))
 
 
 def held_out(doc_id: str) -> Column:
@@ -235,7 +248,7 @@ def held_out(doc_id: str) -> Column:
 
 
 def identify(docs: DataFrame, most_rows: int = 4000, columns: list[str] | None = None) -> DataFrame:
-    """Fit on the documents that are not held out and predict all: the chosen columns, held_out, lang_pred and score. Rows with a null id teach nothing.
+    """Fit on the documents that are not held out and predict all: the chosen columns, held_out, lang_pred, score and sure. Rows with a null id teach nothing.
 
     Columns of docs with the name of a result give way. Repeated rows are rows like any other, in learning too.
     """

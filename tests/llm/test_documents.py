@@ -368,7 +368,7 @@ def test_near_copies_are_not_lost_for_closer_pairs_that_fail(spark):
 
 def test_languages_of_held_out_documents(spark, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    clashing = docs.withColumns({c: F.lit("own") for c in ("score", "held_out", "lang_pred", "_text", "__text", "_salt", "feature")})
+    clashing = docs.withColumns({c: F.lit("own") for c in ("score", "held_out", "lang_pred", "sure", "_text", "__text", "_salt", "feature")})
     found = language_id.identify(clashing)
     assert sorted(found.columns) == sorted(clashing.columns)
     found = found.drop("lang").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
@@ -382,6 +382,23 @@ def test_languages_of_held_out_documents(spark, empty):
     assert {r.lang_pred for r in language_id.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_letters_without_sense_and_other_languages_are_not_sure(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(docs)
+    assert 0.25 < model.least < 0.6
+    junk = ["qwx zzkv jjq pfft brrt xkcd", "こんにちは世界これは日本語です", "Привет мир это русский текст", "asdf qwer zxcv uiop hjkl", "Witaj świecie to jest polski tekst i nie ma go tutaj", "12 34 !!", "", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(junk)], "doc_id long, text string")
+    assert not [r.text for r in language_id.predict(rows, model).collect() if r.sure]
+    sure = language_id.predict(docs, model).agg(F.avg(F.col("sure").cast("double"))).first()[0]
+    assert sure > 0.995
+
+
+def test_repeated_rows_are_rows_in_learning_too(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    found = language_id.identify(docs.unionByName(docs)).collect()
+    assert len(found) == 2 * docs.count() and len({(r.doc_id, r.lang_pred, r.score) for r in found}) == docs.count()
+
+
 def test_sparse_weights_and_calibrated_scores(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit(docs)
