@@ -51,14 +51,14 @@ def gram_counts(text: str | None, bits: int = 16, longest: int = 3) -> np.ndarra
 
 @dataclass
 class Model:
-    """labels in alphabetical order; idf of each feature; weights (feature, label) and bias; temperature of the scores; the least score of a sure prediction."""
+    """labels in alphabetical order; idf of each feature; weights (feature, label) and bias; temperature of the scores; the most rarity of a sure prediction."""
 
     labels: list[str]
     idf: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
-    least: float = 0.0
+    most_rarity: float = 0.0
 
     @property
     def bits(self) -> int:
@@ -74,14 +74,14 @@ class Model:
         at, x = self.vector(counts)
         return x @ self.weights[at] + self.bias
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The likeliest label and its calibrated probability; `und` and 0 for a null text, one without a letter, or a model without labels."""
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """The likeliest label, its calibrated probability, and whether the text is of a learnt kind; `und`, 0 and false for a null text, one without a letter, or a model without labels."""
         counts = gram_counts(text, self.bits) if self.labels else None
         if counts is None:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, False
         p = softmax(self.logits(counts).astype(np.float64) / self.temperature)
         k = int(p.argmax())
-        return self.labels[k], float(p[k])
+        return self.labels[k], float(p[k]), rarity(counts, self.idf) <= self.most_rarity
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -129,13 +129,18 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
-def least_score(scores: np.ndarray, labels: int, quantile: float = 0.01, share: float = 0.28) -> float:
-    """From which score on a prediction is sure: `share` of the way from chance to the score that all but `quantile` of rows kept out of training reach for their own label.
+def rarity(counts: np.ndarray, idf: np.ndarray) -> float:
+    """The mean inverse document frequency of a text's n-grams."""
+    return float(counts @ idf / counts.sum())
 
-    Texts in a language that was not learnt, and letters without sense, score little above chance.
+
+def most_rarity(found: list[float], quantile: float = 0.99, room: float = 1.2) -> float:
+    """Up to which rarity a text is of the learnt kind: `room` times what all but a hundredth of the rows kept out of training stay below.
+
+    Probabilities don't tell, as they compare the learnt languages alone: texts in another language or script, and
+    letters without sense, may get a high one, but their n-grams are rare in all labelled rows.
     """
-    chance = 1 / max(1, labels)
-    return chance + share * (float(np.quantile(scores, quantile)) - chance) if len(scores) else 0.0
+    return room * float(np.quantile(found, quantile)) if found else 0.0
 
 
 def document_frequencies(docs: DataFrame, bits: int) -> tuple[np.ndarray, int]:
@@ -202,11 +207,13 @@ def fit(docs: DataFrame, most_rows: int = 4000, bits: int = 16, passes: int = 3,
     labels = sorted({r[0] for r in sample})
     model = Model(labels, idf, np.zeros((1 << bits, len(labels)), np.float32), np.zeros(len(labels)))
     order = np.random.default_rng(seed).permutation(len(sample))
-    vectors = []
+    vectors, rare = [], []
     for lang, at, counts in sample:
         x = np.zeros(1 << bits, np.int64)
         x[np.frombuffer(at, "<u4")] = np.frombuffer(counts, "<u4")
         vectors.append((*model.vector(x), labels.index(lang)))
+        rare.append(rarity(x, idf))
+    model.most_rarity = most_rarity([rare[k] for k in order[::5]])
     kept_out = [vectors[k] for k in order[::5]]
     learner = Ftrl(1 << bits, len(labels))
     for _ in range(passes):
@@ -219,13 +226,11 @@ def fit(docs: DataFrame, most_rows: int = 4000, bits: int = 16, passes: int = 3,
         scores = np.array([x @ model.weights[at] + model.bias for at, x, _ in kept_out])
         scores, own = scores.reshape(len(kept_out), -1), np.array([y for *_, y in kept_out], int)
         model.temperature = fit_temperature(scores, own)
-        if len(own):
-            model.least = least_score(softmax(scores / model.temperature)[np.arange(len(own)), own], len(labels))
     return model
 
 
 def predict(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
-    """docs (text and any more columns, of which `columns` are kept, or all; those with the name of a result give way) with lang_pred, score and sure (whether the text has a letter and the score is not as low as that of no learnt language)."""
+    """docs (text and any more columns, of which `columns` are kept, or all; those with the name of a result give way) with lang_pred, score and sure (whether the text has a letter and n-grams as common as in the learnt languages)."""
     names = [c for c in (columns or docs.columns) if c.lower() not in ("lang_pred", "score", "sure")]
     whole = unused(docs, "_text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by features and labels
@@ -236,7 +241,7 @@ def predict(docs: DataFrame, model: Model, columns: list[str] | None = None) ->
         for batch in batches:
             found = [shared.value.predict(text.as_py()) for text in batch.column(whole)]
             out = batch.select(names)
-            yield out.append_column("lang_pred", pa.array([x[0] for x in found], pa.string())).append_column("score", pa.array([x[1] for x in found], pa.float64())).append_column("sure", pa.array([x[0] != UNKNOWN and x[1] >= shared.value.least for x in found], pa.bool_()))
+            yield out.append_column("lang_pred", pa.array([x[0] for x in found], pa.string())).append_column("score", pa.array([x[1] for x in found], pa.float64())).append_column("sure", pa.array([x[2] for x in found], pa.bool_()))
 
     plain = docs.select(*names, F.col("text").cast("string").alias(whole))
     return plain.mapInArrow(judge, docs.select(*names).schema.add("lang_pred", "string").add("score", "double").add("sure", "boolean"))
