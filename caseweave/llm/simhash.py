@@ -105,7 +105,7 @@ def components(edges: DataFrame) -> DataFrame:
     """node and label (the smallest node reachable) of every node of edges (a, b), by alternating large and small stars.
 
     Each round is written to the shared folder, and the one before is deleted; the number of rounds is logarithmic in
-    the size of a component. Hubs are joined by `join_hot`.
+    the size of a component. Hubs are left to Spark's skew join.
     """
     spark = edges.sparkSession
     kept: list[str] = []
@@ -113,23 +113,19 @@ def components(edges: DataFrame) -> DataFrame:
     def keep(df: DataFrame) -> DataFrame:
         kept.append(f"{shared_dir(spark)}/edges-{uuid.uuid4().hex}")
         found = stage_at(df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), kept[-1])
-        while len(kept) > 2:
+        if len(kept) > 1:
             remove(spark, kept.pop(0))
         return found
 
-    def lowest(df: DataFrame) -> DataFrame:
-        return df.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n"))
-
     edges = keep(edges.where(F.col("a") != F.col("b")))
     state = None
     while True:
-        hot = hot_rows(2 * edges.count())
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = lowest(both).select("a", F.least("a", "m").alias("m"), "_n")
-        large = join_hot(both, low, "a", F.col("_n"), hot).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
-        down = keep(large)
-        low = lowest(down)
-        small = join_hot(down, low, "a", F.col("_n"), hot).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
+        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        low = down.groupBy("a").agg(F.min("b").alias("m"))
+        small = down.join(low, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.withColumnRenamed("m", "b"))
         edges = keep(small)
         seen = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state == seen:
