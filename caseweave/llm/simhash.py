@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from itertools import combinations
-from math import comb
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -66,32 +65,45 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(shingled, "doc_id long, fp long")
 
 
-def links(nodes: DataFrame, radius: int = 4, most: int = 256, width: int | None = None) -> DataFrame:
+def position_triples() -> list[tuple[int, int, int]]:
+    """Triples of the eight byte positions such that any four positions contain one: within a third (3 + 3 + 2), or two of a third and one of the next."""
+    thirds = ((0, 1, 2), (3, 4, 5), (6, 7))
+    found = [t for t in thirds if len(t) == 3]
+    for k, own in enumerate(thirds):
+        found += [(a, b, c) for a, b in combinations(own, 2) for c in thirds[(k + 1) % 3]]
+    return found
+
+
+def position_sets(width: int) -> list[tuple[int, ...]]:
+    """Sets of `width` (3 or 4) byte positions such that any four positions contain one."""
+    return position_triples() if width == 3 else list(combinations(range(8), 4))
+
+
+def links(nodes: DataFrame, radius: int = 4, most: int = 4096, width: int | None = None) -> DataFrame:
     """Pairs (a, b), a < b, that connect the same fingerprints as all pairs at `radius` (4 or fewer) differing bits do.
 
-    nodes: distinct fingerprints (fp). Two that differ in r bits share 8 - r of their 8 bytes at least, at the same
-    positions. The index posts a fingerprint under each set of `width` (3; 4 from eight million fingerprints on, so that
-    keys stay few-membered) of its positional bytes; a pair is tallied once for every set it shares, and as 8 - r
-    positions hold comb(8 - r, width) sets, only pairs with so many are kept and verified by their differing bits.
-    Fingerprints under a key with more than `most` go another exact way, linear in their number: two of them are
-    linked through the values within 2 bits of both.
+    nodes: distinct fingerprints (fp). Two that differ in 4 bits share at least 4 of their 8 bytes at the same
+    positions, so they meet under one of 20 triples of positional bytes, or of 70 sets of four (`width`; four from
+    eight million fingerprints on, so that keys stay few-membered). The pairs that meet are tallied by shared
+    positional bytes, kept from 8 - radius on, and verified by their differing bits. Fingerprints under a
+    key with more than `most` go another exact way, linear in their number: two of them are linked through the
+    values within 2 bits of both.
     """
     if radius not in (0, 2, 4):
         raise ValueError("the radius is 0, 2 or 4")
     byte = [F.shiftrightunsigned("fp", 8 * k).bitwiseAND(F.lit(255)) for k in range(8)]
     width = width or (3 if nodes.count() < 1 << 23 else 4)
-    sets = list(combinations(range(8), width))
-    keys = F.array(*(sum((F.shiftleft(byte[p], 8 * j) for j, p in enumerate(places)), F.lit(k << 8 * width)) for k, places in enumerate(sets)))
+    keys = F.array(*(sum((F.shiftleft(byte[p], 8 * j) for j, p in enumerate(places)), F.lit(k << 8 * width)) for k, places in enumerate(position_sets(width))))
     posted = nodes.select("fp", F.explode(keys).alias("key"))
     counted = stage(posted.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > 1), "keys")
-    shared = stage(posted.join(counted, "key"), "postings")
-    crowded = stage(shared.where(F.col("_n") > most).select("fp").distinct(), "crowded")
-    few = shared.where(F.col("_n") <= most).select("key", "fp")
-    pairs = few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), "key").where(F.col("a") < F.col("b"))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("_shared"))  # two that share a crowded set too are both crowded, so linked below
+    shared_keys = stage(posted.join(counted, "key"), "postings")
+    few = shared_keys.where(F.col("_n") <= most).select("key", "fp")
     differ = F.col("a").bitwiseXOR(F.col("b"))
-    pairs = pairs.where(F.col("_shared") >= comb(8 - radius, width)).where(F.bit_count(differ) <= radius).select("a", "b")
+    shared = sum((F.shiftrightunsigned(differ, 8 * k).bitwiseAND(F.lit(255)) == 0).cast("int") for k in range(8))
+    pairs = few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), "key").where(F.col("a") < F.col("b"))
+    pairs = pairs.where(shared >= 8 - radius).where(F.bit_count(differ) <= radius).select("a", "b").distinct()
 
+    crowded = stage(shared_keys.where(F.col("_n") > most).select("fp").distinct(), "crowded")
     near = radius // 2
     inner = [sum(1 << b for b in bits) for r in range(near + 1) for bits in combinations(range(64), r)]
     signed = [m - (1 << 64) if m >> 63 else m for m in inner]
@@ -135,7 +147,7 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, most: int = 256, width: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, most: int = 4096, width: int | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id (the smallest doc_id reachable over links) of each row of docs (doc_id, text).
 
     Equal fingerprints are one node however many documents share them. Null ids are never the smallest; where
