@@ -113,36 +113,70 @@ def links(nodes: DataFrame, radius: int = 4, most: int = 4096, width: int | None
     return pairs.unionByName(stars)
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges (a, b) but the least of each component, and that least one."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    one, two = at[: len(a)], at[len(a) :]
+    least = np.arange(len(nodes))
+    while True:
+        x, y = least[one], least[two]
+        apart = x != y
+        if not apart.any():
+            break
+        np.minimum.at(least, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (least != least[least]).any():
+            least = least[least]
+    rest = least != np.arange(len(nodes))
+    return nodes[rest], nodes[least[rest]]
+
+
+def forests(edges: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """Fewer edges (a, b), a > b, that connect what edges do: each task joins about `most` of its own at a time, without a shuffle."""
+
+    def joined(batches):
+        import pyarrow as pa
+
+        held, size = [], 0
+        for batch in batches:
+            held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
+            size += batch.num_rows
+            if size >= most:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in forest(*map(np.concatenate, zip(*held, strict=True)))], names=["a", "b"])
+                held, size = [], 0
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in forest(*map(np.concatenate, zip(*held, strict=True)))], names=["a", "b"])
+
+    return edges.select("a", "b").mapInArrow(joined, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and label (the smallest node reachable) of every node of edges (a, b), by alternating large and small stars.
 
-    Each round is written to the shared folder, and the one before is deleted; the number of rounds is logarithmic in
-    the size of a component. Hubs are left to Spark's skew join.
+    Tasks first join what edges they have by themselves. Each round is written to the shared folder, and the one
+    before is deleted; the number of rounds is logarithmic in the size of a component. Hubs are left to Spark's skew
+    join. The search ends when no node is below one node and above another, or below two.
     """
     spark = edges.sparkSession
     kept: list[str] = []
 
     def keep(df: DataFrame) -> DataFrame:
         kept.append(f"{shared_dir(spark)}/edges-{uuid.uuid4().hex}")
-        found = stage_at(df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), kept[-1])
+        found = stage_at(df, kept[-1])
         if len(kept) > 1:
             remove(spark, kept.pop(0))
         return found
 
-    edges = keep(edges.where(F.col("a") != F.col("b")))
-    state = None
-    while True:
+    edges = keep(forests(edges.where(F.col("a") != F.col("b"))))
+    while not (
+        edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").isEmpty()
+        and edges.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("n")).where(F.col("m") < F.col("n")).isEmpty()
+    ):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        down = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
         low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.withColumnRenamed("m", "b"))
-        edges = keep(small)
-        seen = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if state == seen:
-            break
-        state = seen
+        small = down.join(low, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = keep(small.unionByName(low.withColumnRenamed("m", "b")).distinct())
     labels = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return labels.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()
 

@@ -316,6 +316,30 @@ def test_fingerprints_and_components_by_brute_force(spark, docs, most, width):
     assert blank == {min(r.doc_id for r in rows if r.doc_id is not None and not words_of(r.text))}
 
 
+def test_components_of_chains_hubs_and_random_edges(spark):
+    rng = random.Random(3)
+    edges = [(k, k + 1) for k in range(300)] + [(1000 + 7 * k, 1000 + 7 * k - 7) for k in range(200, 0, -1)]
+    edges += [(-5, 5000 + k) for k in range(500)] + [(rng.randrange(6000, 7000), rng.randrange(6000, 7000)) for _ in range(700)] + [(9, 9), (8000, 8000)]
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    df = spark.createDataFrame(edges, "a long, b long")
+    found = simhash.components(df.repartition(40)).collect()
+    assert sorted((r.node, r.label) for r in found) == sorted((x, root(x)) for x in list(parent))
+    assert simhash.components(df.limit(0)).count() == 0
+    few = simhash.forests(df.where("a != b").coalesce(1), 100)
+    assert few.where("a <= b").count() == 0 and few.count() < len(edges)
+    again = simhash.components(few).collect()
+    assert {(r.node, r.label) for r in again} == {(r.node, r.label) for r in found}
+
+
 def test_near_copies_of_planted_groups(spark):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
