@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseweave.llm import decontaminate, html_extract, language_id, media, packing, simhash, substring_dedup, token_counts, token_store, url_filter, whitening
+from caseweave.llm import conversations, decontaminate, html_extract, language_id, media, packing, simhash, substring_dedup, token_counts, token_store, url_filter, whitening
 from caseweave.llm.common import shared_dir
 from caseweave.shipping import importable
 
@@ -81,12 +81,18 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents")).select(*names)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage all conversations, then repair them by the cheapest edits."""
+    given = table(spark, sf_dir, "conversations")
+    return conversations.repairs(conversations.damage(given), given)
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 16 whitened components of all vectors."""
     return whitening.whiten(table(spark, sf_dir, "embeddings"), 16)
 
 
-QUERIES = {"op1_html_extraction": op1_html_extraction, "op2_token_counts": op2_token_counts, "op3_decontamination": op3_decontamination, "op4_substring_dedup": op4_substring_dedup, "op5_url_filter": op5_url_filter, "op6_best_fit_packing": op6_best_fit_packing, "op7_language_id": op7_language_id, "op8_simhash_near_dedup": op8_simhash_near_dedup, "op9_token_files": op9_token_files, "op10_media_columns": op10_media_columns, "op13_embedding_whitening": op13_embedding_whitening}
+QUERIES = {"op1_html_extraction": op1_html_extraction, "op2_token_counts": op2_token_counts, "op3_decontamination": op3_decontamination, "op4_substring_dedup": op4_substring_dedup, "op5_url_filter": op5_url_filter, "op6_best_fit_packing": op6_best_fit_packing, "op7_language_id": op7_language_id, "op8_simhash_near_dedup": op8_simhash_near_dedup, "op9_token_files": op9_token_files, "op10_media_columns": op10_media_columns, "op12_conversation_repair": op12_conversation_repair, "op13_embedding_whitening": op13_embedding_whitening}
 
 #: Words, windows of 20 of them, those that also start earlier, and what is left of each document.
 REPEATS_SQL = """WITH split AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents),
