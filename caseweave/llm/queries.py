@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseweave.llm import conversations, decontaminate, html_extract, language_id, media, packing, simhash, substring_dedup, token_counts, token_store, url_filter, whitening
+from caseweave.llm import conversations, decontaminate, html_extract, hyperminhash, language_id, media, packing, simhash, substring_dedup, token_counts, token_store, url_filter, whitening
 from caseweave.llm.common import shared_dir
 from caseweave.shipping import importable
 
@@ -81,6 +81,11 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents")).select(*names)
 
 
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The components of all documents whose sets of three-word shingles are 0.85 or more similar."""
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), 3, 85)
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damage all conversations, then repair them by the cheapest edits."""
     given = table(spark, sf_dir, "conversations")
@@ -92,7 +97,7 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), 16)
 
 
-QUERIES = {"op1_html_extraction": op1_html_extraction, "op2_token_counts": op2_token_counts, "op3_decontamination": op3_decontamination, "op4_substring_dedup": op4_substring_dedup, "op5_url_filter": op5_url_filter, "op6_best_fit_packing": op6_best_fit_packing, "op7_language_id": op7_language_id, "op8_simhash_near_dedup": op8_simhash_near_dedup, "op9_token_files": op9_token_files, "op10_media_columns": op10_media_columns, "op12_conversation_repair": op12_conversation_repair, "op13_embedding_whitening": op13_embedding_whitening}
+QUERIES = {"op1_html_extraction": op1_html_extraction, "op2_token_counts": op2_token_counts, "op3_decontamination": op3_decontamination, "op4_substring_dedup": op4_substring_dedup, "op5_url_filter": op5_url_filter, "op6_best_fit_packing": op6_best_fit_packing, "op7_language_id": op7_language_id, "op8_simhash_near_dedup": op8_simhash_near_dedup, "op9_token_files": op9_token_files, "op10_media_columns": op10_media_columns, "op11_minhash_near_dedup": op11_minhash_near_dedup, "op12_conversation_repair": op12_conversation_repair, "op13_embedding_whitening": op13_embedding_whitening}
 
 #: Words, windows of 20 of them, those that also start earlier, and what is left of each document.
 REPEATS_SQL = """WITH split AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents),
@@ -128,4 +133,14 @@ def _url_sql() -> str:
         SELECT page_id, host, path, {fits(lambda v, h, p: h + p)} AS rule, coalesce({fits(lambda v, h, p: v)}, CASE WHEN h_mean - sqrt(h_mean * (1 - h_mean) / (h_size + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM parts JOIN h USING (host)"""
 
 
-ORACLE_SQL: dict[str, str] = {"op4_substring_dedup": REPEATS_SQL, "op5_url_filter": _url_sql()}
+#: Sets of shingles, one node for each; links by what two sets share; the nodes that each node reaches.
+NEAR_SQL = f"""WITH RECURSIVE split AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+    sets AS (SELECT doc_id, list_sort(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END) AS s FROM split),
+    nodes AS (SELECT s, min(doc_id) AS node FROM sets WHERE len(s) > 0 GROUP BY s), items AS (SELECT node, len(s) AS n, unnest(s) AS x FROM nodes),
+    pairs AS (SELECT a.node AS a, b.node AS b FROM items a JOIN items b ON a.x = b.x AND a.node < b.node AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+    links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+    reach AS (SELECT node, node AS r FROM nodes UNION SELECT node, links.b FROM reach JOIN links ON links.a = r),
+    least_of AS (SELECT node, min(r) AS component_id FROM reach GROUP BY node)
+    SELECT doc_id, len(sets.s) AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept FROM sets LEFT JOIN nodes ON nodes.s = sets.s LEFT JOIN least_of USING (node)"""
+
+ORACLE_SQL: dict[str, str] = {"op11_minhash_near_dedup": NEAR_SQL, "op4_substring_dedup": REPEATS_SQL, "op5_url_filter": _url_sql()}
