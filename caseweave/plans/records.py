@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from caseweave.functions.text import RELIABILITY
-from caseweave.operators import links, records, rules, tables, timeline
+from caseweave.operators import links, records, rules, similar, tables, timeline
 from caseweave.sources import views
 from caseweave.sources.views import read, with_views
 
@@ -152,11 +152,22 @@ def first_dates(spark, sf_dir):
     return views.timeline_sparse(spark, sf_dir).where(~timeline.undated()).groupBy("case_id").agg(F.min("event_date").alias("first_date"), F.min_by("event_type", "order_number").alias("first_type"))
 
 
+def _scored(spark, sf_dir):
+    """Events of users' cases with titles of their type alone and a confidence."""
+    t = views.timeline_dense(spark, sf_dir)
+    return t.withColumns({"title": F.col("event_type"), "confidence": (F.col("event_id") % 7).cast("double")})
+
+
 def best_events(spark, sf_dir):
-    from caseweave.operators.texts import keep_better
+    """What is left of similar events of one document and date."""
+    kept = similar.kept_similar_events(_scored(spark, sf_dir), ["case_id", "document_id"], "event_date", "order_number")
+    return kept.select("case_id", "document_id", "event_date", "slot", "order_number", "confidence")
+
 
-    t = views.timeline_dense(spark, sf_dir).withColumns({"title": F.lit("Visita"), "confidence": F.col("event_id") % 7})
-    return keep_better(t).select("case_id", "event_date", "event_type", "order_number", "confidence")
+def kept_turns(spark, sf_dir):
+    """What is left of similar turns of a conversation: the longer ones, as none has a confidence."""
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("description"), F.lit("").alias("title"), F.lit(None).cast("double").alias("confidence"))
+    return similar.kept_similar_events(c, ["conv_id"], "role", "turn").select("conv_id", "role", "slot", "turn")
 
 
 def rag_query_text(spark, sf_dir):
@@ -189,7 +200,7 @@ def abbreviations(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    best_events, rag_query_text, reclassified, first_images, abbreviations, extracted_events, grounding_flags, page_marks, image_types, error_kinds, wizard_steps, servable_images, prompt_lines, report_splits, anomaly_event_refs, anomaly_context, resolutions, case_bundle, case_filled,
+    best_events, kept_turns, rag_query_text, reclassified, first_images, abbreviations, extracted_events, grounding_flags, page_marks, image_types, error_kinds, wizard_steps, servable_images, prompt_lines, report_splits, anomaly_event_refs, anomaly_context, resolutions, case_bundle, case_filled,
     stuck_documents, style_excerpts, source_groups, report_references, anomaly_status, discrepancy_notes, first_dates,
 )}
 
@@ -198,6 +209,22 @@ def _list(values) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
+def _fold_sql(src: str, keys: str, carried: str) -> str:
+    """A fold step by step: each event joins the kept ones of its group, in the place of the first similar one if it is better."""
+    words = "list_distinct(list_filter(string_split_regex(regexp_replace(lower(coalesce(title, '') || ' ' || coalesce(description, '')), '[^A-Za-z0-9_àèéìòù\\s]', '', 'g'), '\\s+'), lambda w: length(w) > 3))"
+    fields = ", ".join(f"'{c}': {c}" for c in carried.split(", "))
+    joined = " AND ".join(f"f.{k} IS NOT DISTINCT FROM o.{k}" for k in keys.split(", "))
+    own = ", ".join(f"f.{k}" for k in keys.split(", "))
+    shared = "len(list_intersect(x.w, new.w))"
+    alike = f"CASE WHEN len(x.w) = 0 AND len(new.w) = 0 THEN true WHEN len(x.w) = 0 OR len(new.w) = 0 THEN false ELSE {shared}::DOUBLE / (len(x.w) + len(new.w) - {shared}) > 0.6::DOUBLE END"
+    return f"""{src.replace("WITH", "WITH RECURSIVE", 1)}, o AS (SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY ord) AS rn, {{'w': {words}, 's': 10 * coalesce(confidence, 0) + length(coalesce(description, '')), {fields}}} AS new FROM src),
+        f AS (SELECT {keys}, rn, [new] AS kept FROM o WHERE rn = 1 UNION ALL
+            SELECT {keys}, rn, CASE WHEN pos IS NULL THEN list_append(kept, new) ELSE list_transform(kept, lambda x, i: CASE WHEN i = pos AND new.s > x.s THEN new ELSE x END) END FROM
+            (SELECT {own}, o.rn, kept, new, nullif(list_position(list_transform(kept, lambda x: {alike}), true), 0) AS pos FROM f JOIN o ON o.rn = f.rn + 1 AND {joined})),
+        whole AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY rn DESC) AS k FROM f), slots AS (SELECT {keys}, unnest(kept) AS e, generate_subscripts(kept, 1) AS i FROM whole WHERE k = 1)
+        SELECT {keys}, CAST(i - 1 AS INTEGER) AS slot, {", ".join(f"e.{c} AS {c}" for c in carried.split(", "))} FROM slots"""
+
+
 def _sql() -> dict[str, str]:
     from caseweave.plans.texts import REPORTS
     from caseweave.plans.timelines import gaps_sql
@@ -212,7 +239,8 @@ def _sql() -> dict[str, str]:
     third = "SELECT o_orderkey, 1, '1900-01-01', 'sconosciuta', 'altro', 'cut o', '', 'altro', NULL, NULL, NULL, 70.0::DOUBLE, TRUE, '', '1' FROM orders WHERE o_orderkey % 5 = 1"
     low = "regexp_replace(lower(text), '\\s+', ' ', 'g')"
     return {
-        "best_events": with_views("dense") + "SELECT case_id, event_date, event_type, order_number, confidence FROM (SELECT *, event_id % 7 AS confidence, row_number() OVER (PARTITION BY case_id, event_date, event_type ORDER BY event_id % 7 DESC, order_number) AS k FROM dense) WHERE k = 1",
+        "best_events": _fold_sql(with_views("dense") + ", src AS (SELECT case_id, document_id, event_date, order_number, order_number AS ord, CAST(event_id % 7 AS DOUBLE) AS confidence, event_type AS title, description FROM dense)", "case_id, document_id, event_date", "order_number, confidence"),
+        "kept_turns": _fold_sql("WITH src AS (SELECT conv_id, role, turn, turn AS ord, CAST(NULL AS DOUBLE) AS confidence, '' AS title, text AS description FROM conversations)", "conv_id, role", "turn"),
         "rag_query_text": with_views("sparse") + "SELECT case_id, string_agg(title || ': ' || substring(description, 1, 150), ' ' ORDER BY order_number) AS query FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY order_number) AS k FROM sparse WHERE event_type IN ('diagnosi', 'intervento', 'complicanza', 'terapia')) WHERE k <= 10 GROUP BY case_id",
         "reclassified": with_views("case_documents") + "SELECT d.document_id, CASE WHEN d.part % 2 = 0 AND a.part % 5 <> 0 AND a.part % 100 >= 50 THEN 'lettera' WHEN d.part % 2 = 0 THEN 'altro' ELSE 'referto' END AS kind FROM case_documents d LEFT JOIN case_documents a ON a.document_id = d.document_id AND a.part % 3 <> 0",
         "first_images": "SELECT p_partkey % 300 AS page, min(p_partkey) FILTER (WHERE p_partkey % 300 % 4 <> 0) AS image FROM part GROUP BY 1",
