@@ -1,11 +1,13 @@
-"""Gates: a request waits for its confirmation; commands, retention and subscriptions as streams."""
+"""Gates: a request waits for its confirmation; subscriptions and final stages."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def gate(requests: DataFrame, confirmations: DataFrame, days: int = 7) -> DataFrame:
@@ -15,22 +17,66 @@ def gate(requests: DataFrame, confirmations: DataFrame, days: int = 7) -> DataFr
     return a.join(b, within, "left").groupBy("case_id", "requested").agg(F.min("confirmed").alias("confirmed"))
 
 
-def gate_stream(requests: DataFrame, confirmations: DataFrame, days: int = 7) -> DataFrame:
-    """The same over two streams, a row for each confirmation or one with null: watermarks let state go once a gate can't be met."""
-    a = requests.select("case_id", "requested").withWatermark("requested", "1 day")
-    b = confirmations.select(F.col("case_id").alias("_case"), "confirmed").withWatermark("confirmed", "1 day")
-    within = (F.col("case_id") == F.col("_case")) & (F.col("confirmed") >= F.col("requested")) & (F.col("confirmed") <= F.col("requested") + F.expr(f"INTERVAL {days} DAYS"))
-    return a.join(b, within, "leftOuter").drop("_case")
+class Gate(StatefulProcessor):
+    """One case: its open requests, each with its first confirmation so far, and the confirmations that a request to come may still meet.
+
+    Times are microseconds. A request is answered once the watermark has passed its first confirmation, so no
+    earlier one can come, or its end; a confirmation goes once the watermark has passed it.
+    """
+
+    def __init__(self, days: int) -> None:
+        self.width = days * 86_400_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "requested long", "confirmed long")
+        self.seen = handle.getMapState("seen", "confirmed long", "there boolean")
+
+    def _wake(self, at: int) -> None:
+        self.handle.registerTimer(at // 1000 + 1)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            for asked, at in zip(frame["asked"].tolist(), frame["us"].tolist(), strict=True):
+                if not asked:
+                    self.seen.updateValue((at,), (True,))
+                    self._wake(at)
+                    for (requested,), (confirmed,) in list(self.waiting.iterator()):
+                        if requested <= at <= requested + self.width and (confirmed is None or at < confirmed):
+                            self.waiting.updateValue((requested,), (at,))
+                elif not self.waiting.containsKey((at,)):
+                    first = min((c for c in (k[0] for k in self.seen.keys()) if at <= c <= at + self.width), default=None)
+                    self.waiting.updateValue((at,), (first,))
+                    self._wake(at + self.width)
+        return iter(())
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, out = timerValues.getCurrentWatermarkInMs() * 1000, []
+        for (requested,), (confirmed,) in list(self.waiting.iterator()):
+            if (requested + self.width if confirmed is None else confirmed) < now:
+                out.append((None if pd.isna(key[0]) else key[0], requested, confirmed))
+                self.waiting.removeKey((requested,))
+        for (at,) in list(self.seen.keys()):
+            if at < now:
+                self.seen.removeKey((at,))
+        if out:
+            case, requested, confirmed = zip(*out, strict=True)
+            yield pd.DataFrame({"case_id": pd.array(case, "Int64"), "requested": pd.array(requested, "Int64"), "confirmed": pd.array(confirmed, "Int64")})
 
-def run_commands(commands: DataFrame, stages: Callable[[DataFrame], None], checkpoint: str):
-    """Run the stages on every batch of commands (case_id, action, at): the last command of a case counts, cancelled cases are left out."""
 
-    def batch(rows: DataFrame, number: int) -> None:
-        last = rows.groupBy("case_id").agg(F.max_by("action", "at").alias("action"))
-        stages(last.where(F.col("action") != "cancel").select("case_id"))
+def gate_stream(requests: DataFrame, confirmations: DataFrame, days: int = 7, late: str = "1 day") -> DataFrame:
+    """The same over two streams: exactly one row for each case and time of a request, with its first confirmation or null.
 
-    return commands.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    Rows may come in any order, the two streams by up to `late` behind each other; what comes later is left out. A
+    row goes out when the watermark has passed the confirmation or the end of the gate. Needs the RocksDB state store
+    (spark.sql.streaming.stateStore.providerClass).
+    """
+    a = requests.select("case_id", F.lit(True).alias("asked"), F.col("requested").cast("timestamp").alias("at"))
+    # null is no case, so nothing confirms it
+    b = confirmations.where(F.col("case_id").isNotNull()).select("case_id", F.lit(False).alias("asked"), F.col("confirmed").cast("timestamp").alias("at"))
+    both = a.unionByName(b).withWatermark("at", late).withColumn("us", F.unix_micros("at")).withColumn("case_id", F.col("case_id").cast("long"))
+    found = both.groupBy("case_id").transformWithStateInPandas(Gate(days), "case_id long, requested long, confirmed long", "Append", "EventTime")
+    return found.select("case_id", F.timestamp_micros("requested").alias("requested"), F.timestamp_micros("confirmed").alias("confirmed"))
 
 
 def subscriptions(events: DataFrame) -> DataFrame:

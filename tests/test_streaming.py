@@ -1,9 +1,9 @@
 """Streams against their batch twins."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from caseweave.operators.tables import latest
-from caseweave.streaming import gates, limits
+from caseweave.streaming import gates, ledger, limits
 
 
 def run(query_df, tmp_path, name, spark, mode="append"):
@@ -32,23 +32,143 @@ def test_sliding_windows(spark, tmp_path):
     assert [r.recent for r in found] == [1, 2, 3, 2, 2, 1]
 
 
-def test_gates_time_out(spark, tmp_path):
-    a = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-01"), (3, "2024-01-01")], "case_id long, t string").select("case_id", F.col("t").cast("timestamp").alias("requested"))
-    b = spark.createDataFrame([(1, "2024-01-03"), (1, "2024-01-05"), (2, "2024-01-09")], "case_id long, t string").select("case_id", F.col("t").cast("timestamp").alias("confirmed"))
-    assert {(r.case_id, str(r.confirmed)[:10]) for r in gates.gate(a, b).collect()} == {(1, "2024-01-03"), (2, "None"), (3, "None")}
-    a.coalesce(1).write.parquet(str(tmp_path / "a"))
-    b.coalesce(1).write.parquet(str(tmp_path / "b"))
-    stream = gates.gate_stream(spark.readStream.schema(a.schema).parquet(str(tmp_path / "a")), spark.readStream.schema(b.schema).parquet(str(tmp_path / "b")))
-    found = run(stream, tmp_path, "gate", spark)
-    assert {(r.case_id, str(r.confirmed)[:10]) for r in found.collect() if r.confirmed} == {(1, "2024-01-03"), (1, "2024-01-05")}
-
-
-def test_cancelled_commands_do_not_run(spark, tmp_path):
-    rows = [(1, "process", 1), (2, "process", 1), (2, "cancel", 2)]
-    df = spark.createDataFrame(rows, "case_id long, action string, at long")
-    df.coalesce(1).write.parquet(str(tmp_path / "c"))
-    done = []
-    q = gates.run_commands(spark.readStream.schema(df.schema).parquet(str(tmp_path / "c")), lambda cases: done.extend(r.case_id for r in cases.collect()), str(tmp_path / "ck"))
-    q.awaitTermination(60)
-    assert done == [1]
-    assert latest(df, ["case_id"], [F.col("at")]).where("action = 'cancel'").count() == 1
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@pytest.fixture
+def rocks(spark):
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    yield spark
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def times(spark, rows, name):
+    return spark.createDataFrame(rows, "case_id long, t string").select("case_id", F.col("t").cast("timestamp").alias(name))
+
+
+def outcomes(df):
+    return sorted((str(r.case_id), str(r.requested), str(r.confirmed)) for r in df.collect())
+
+
+def test_a_gate_has_one_outcome(rocks, tmp_path):
+    """Confirmations before their request has come, doubled, too late for the gate, too late for the stream; two requests of a case; nulls."""
+    a = [(1, "2024-01-01"), (2, "2024-01-01"), (3, "2024-01-01"), (4, "2024-01-02"), (4, "2024-01-04"), (4, "2024-01-04"), (None, "2024-01-01")]
+    b = [(1, "2024-01-05"), (1, "2024-01-03"), (1, "2024-01-03"), (2, "2024-01-08 00:00:01"), (3, "2024-01-08"), (4, "2024-01-06"), (None, "2024-01-02"), (7, "2024-01-02")]
+    end = [(99, "2024-02-01")]
+    want = outcomes(gates.gate(times(rocks, a, "requested"), times(rocks, b, "confirmed")))
+    assert len(want) == 6 and [w[2][:10] for w in want] == ["2024-01-03", "None", "2024-01-08", "2024-01-06", "2024-01-06", "None"]
+    streams = {}
+    for k, (name, column) in enumerate((("a", "requested"), ("b", "confirmed"))):
+        times(rocks, [], column).write.parquet(str(tmp_path / name))
+        streams[name] = rocks.readStream.schema(times(rocks, [], column).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+    found = gates.gate_stream(streams["a"], streams["b"])
+
+    def arrive(name, column, rows):
+        times(rocks, rows, column).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+
+    def go():
+        q = found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return q.lastProgress
+
+    arrive("b", "confirmed", b)  # all confirmations first, then the requests in two parts
+    arrive("a", "requested", a[:3])
+    arrive("a", "requested", a[3:])
+    go()
+    arrive("a", "requested", end)
+    progress = go()
+    assert sum(x["numRowsTotal"] for x in progress["stateOperators"]) <= 2  # that of the request that moved time on
+    arrive("b", "confirmed", [(2, "2024-01-02")])  # too late for the stream: nothing waits for it
+    go()
+    assert outcomes(rocks.read.parquet(str(tmp_path / "out"))) == want
+
+
+def commands(spark, rows):
+    return spark.createDataFrame(rows, "case_id long, action string, at string").withColumn("at", F.col("at").cast("timestamp"))
+
+
+class Done:
+    """Steps that note for which cases they were called; `bad` fails cases, `broken` the whole step, each so many times."""
+
+    def __init__(self):
+        self.calls, self.bad, self.broken = [], {}, {}
+
+    def step(self, name, needs="process"):
+        def work(due):
+            ids = sorted(r.case_id for r in due.collect())
+            if self.broken.get(name, 0):
+                self.broken[name] -= 1
+                raise RuntimeError("executor lost")
+            self.calls += [(name, i) for i in ids]
+            fails = [i for i in ids if self.bad.get((name, i), 0)]
+            for i in fails:
+                self.bad[name, i] -= 1
+            return due.select("case_id", (~F.col("case_id").isin(fails or [-1])).alias("ok"), F.lit(name).alias("value"))
+
+        return ledger.Step(name, work, needs)
+
+
+def follow(spark, tmp_path, book, rows):
+    """One batch of commands through the stream; whether it failed."""
+    commands(spark, rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    return resume(spark, tmp_path, book)
+
+
+def resume(spark, tmp_path, book):
+    q = book.start(spark.readStream.schema(commands(spark, []).schema).parquet(str(tmp_path / "in")), str(tmp_path / "ck"))
+    try:
+        q.awaitTermination(120)
+    except Exception:
+        return True
+    return False
+
+
+def stages(book, spark, number):
+    return {r.case_id: r.stage for r in book.state(spark, number).collect()}
+
+
+def test_a_batch_that_is_run_again_does_its_steps_once(spark, tmp_path):
+    done = Done()
+    book = ledger.Ledger(str(tmp_path / "book"), [done.step("ocr"), done.step("extract"), done.step("report")])
+    done.broken["extract"] = 1
+    assert follow(spark, tmp_path, book, [(1, "process", "2024-01-01"), (2, "process", "2024-01-01")])
+    assert done.calls == [("ocr", 1), ("ocr", 2)]
+    assert not resume(spark, tmp_path, book)
+    assert done.calls == [("ocr", 1), ("ocr", 2), ("extract", 1), ("extract", 2), ("report", 1), ("report", 2)]
+    assert stages(book, spark, 0) == {1: "completato", 2: "completato"}
+    # the whole batch again, as after a lost checkpoint
+    book.batch(commands(spark, [(1, "process", "2024-01-01"), (2, "process", "2024-01-01")]), 0)
+    assert len(done.calls) == 6 and book.results(spark).count() == 6
+
+
+def test_a_cancel_in_a_later_batch_stops_what_has_not_begun(spark, tmp_path):
+    done = Done()
+    steps = [done.step("ocr"), done.step("consolidate", "confirm"), done.step("report", "confirm")]
+    book = ledger.Ledger(str(tmp_path / "book"), steps)
+    follow(spark, tmp_path, book, [(1, "process", "2024-01-01"), (2, "process", "2024-01-01"), (3, "process", "2024-01-01"), (3, "cancel", "2024-01-02"), (4, "cancel", "2024-01-01")])
+    assert done.calls == [("ocr", 1), ("ocr", 2)]
+    assert sorted(map(tuple, ledger.waiting(book.state(spark, 0), steps).collect())) == [(1, "confirm"), (2, "confirm")]
+    follow(spark, tmp_path, book, [(2, "cancel", "2024-01-03"), (1, "confirm", "2024-01-03"), (2, "confirm", "2024-01-04")])
+    assert done.calls[2:] == [("consolidate", 1), ("report", 1)]
+    assert stages(book, spark, 1) == {1: "completato", 2: "idle", 3: "idle"}
+    # a new run of a cancelled case starts from the first step; a completed case keeps its stage
+    follow(spark, tmp_path, book, [(2, "process", "2024-01-05"), (1, "cancel", "2024-01-06")])
+    assert done.calls[4:] == [("ocr", 2)] and stages(book, spark, 2) == {1: "completato", 2: "elaborazione", 3: "idle"}
+
+
+def test_failed_cases_are_tried_again_and_then_given_up(spark, tmp_path):
+    done = Done()
+    done.bad = {("ocr", 1): 1, ("ocr", 2): 5}
+    book = ledger.Ledger(str(tmp_path / "book"), [done.step("ocr"), done.step("report")])
+    follow(spark, tmp_path, book, [(1, "process", "2024-01-01"), (2, "process", "2024-01-01"), (3, "process", "2024-01-01")])
+    assert stages(book, spark, 0) == {1: "elaborazione", 2: "elaborazione", 3: "completato"}
+    follow(spark, tmp_path, book, [(9, "process", "2024-01-02")])
+    assert stages(book, spark, 1) == {1: "completato", 2: "errore", 3: "completato", 9: "completato"}
+    follow(spark, tmp_path, book, [(9, "cancel", "2024-01-03")])
+    assert done.calls.count(("ocr", 2)) == 2
+
+
+def test_final_status_keeps_idle_and_completed(spark):
+    df = spark.createDataFrame([("idle",), ("completato",), ("elaborazione",)], "s string")
+    assert [r[0] for r in df.select(gates.final_status(F.col("s"), F.lit("errore"))).collect()] == ["idle", "completato", "errore"]
