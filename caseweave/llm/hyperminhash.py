@@ -234,76 +234,100 @@ def units(shared: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
     return dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).select(*UNIT)
 
 
+#: Pairs of nodes that are looked at together.
+PAIRS = 1 << 16
+
+
 def by_unit(dealt: DataFrame, work, schema: str, *more: str) -> DataFrame:
-    """What `work` (a function of the rows of one unit, by column) gives, as batches."""
+    """What `work` (a function of rows of whole units in their order, and where each unit begins) gives, as batches; small units go together."""
     names = [*UNIT, *more]
 
     def every(batches):
-        import pyarrow as pa
-
-        held: list[dict] = []
+        held, starts, pairs, unit = [], [], 0, None
         for batch in batches:
             for row in batch.to_pylist():
-                if held and (held[-1]["key"], held[-1]["low"], held[-1]["high"]) != (row["key"], row["low"], row["high"]):
-                    yield from work(held)
-                    held = []
+                own = row["key"], row["low"], row["high"]
+                if own != unit:
+                    if pairs > PAIRS:
+                        yield from work(held, starts)
+                        held, starts, pairs = [], [], 0
+                    unit = own
+                    starts.append(len(held))
+                pairs += len(held) - starts[-1]
                 held.append(row)
         if held:
-            yield from work(held)
+            yield from work(held, starts)
 
     spark = dealt.sparkSession
     return dealt.select(*names).repartition(partitions(spark), "key", "low", "high").sortWithinPartitions("key", "low", "high", "node").mapInArrow(every, schema)
 
 
-def open_pairs(rows: list[dict], least: float):
-    """For each row of a unit the later ones of another group that meet it first under this key and that the registers do not rule out, the likeliest first; `root` (a list of groups) may change meanwhile."""
+def _pairs(starts: np.ndarray, ends: np.ndarray):
+    """Numbers (x, y), x < y, of all pairs of rows of each unit, about PAIRS at a time."""
+    first = np.repeat(starts, ends - starts)
+    row = np.arange(len(first)) + (starts[0] if len(starts) else 0)
+    before = row - first  # a row meets those before it
+    ahead = np.cumsum(before)
+    at = 0
+    while at < len(row):
+        to = max(at + 1, int(np.searchsorted(ahead, (ahead[at - 1] if at else 0) + PAIRS, side="right")))
+        n = before[at:to]
+        y = np.repeat(row[at:to], n)
+        yield np.arange(len(y)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at:to], n), y
+        at = to
+
+
+def open_pairs(rows: list[dict], starts: list[int], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of rows of one unit, of two groups, that meet first under its key and that the registers do not rule out; and how many registers are equal."""
     regs, n = _matrix([r["registers"] for r in rows]), np.array([r["n"] for r in rows])
-    block = np.array([r["block"] for r in rows])
-    label = np.unique([r["label"] for r in rows], return_inverse=True)[1]
-    key, some = band_keys(regs[:1])
-    band = int(np.flatnonzero(some[0] & (key[0].view(np.int64) == rows[0]["key"]))[0])
-    apart = rows[0]["low"] != rows[0]["high"]
-    root = np.arange(label.max() + 1)
-    for x in range(len(rows) - 1):
-        groups = root[label]
-        others = x + 1 + np.flatnonzero((groups[x + 1 :] != groups[x]) & ((block[x + 1 :] != block[x]) | (not apart)))
-        if not len(others):
+    get = lambda c: np.array([r[c] for r in rows])
+    label, block, apart = get("label"), get("block"), get("low") != get("high")
+    begin, end = np.array(starts), np.array([*starts[1:], len(rows)])
+    keys, some = band_keys(regs[begin])
+    band = np.repeat((some & (keys.view(np.int64) == get("key")[begin, None])).argmax(axis=1), end - begin)
+    found = [np.zeros((3, 0), np.int64)]
+    for x, y in _pairs(begin, end):
+        good = (label[x] != label[y]) & ((block[x] != block[y]) | ~apart[x]) & (np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y]) - 1e-6)
+        x, y = x[good], y[good]
+        if not len(x):
             continue
-        filled = (regs[others] > 0) | (regs[x] > 0)
-        equal = regs[others] == regs[x]
+        filled, equal = (regs[x] > 0) | (regs[y] > 0), regs[x] == regs[y]
         same = (equal & filled).sum(axis=1)
-        good = may_link(same, filled.sum(axis=1), n[others], np.full(len(others), n[x]), least) & (first_bands(equal, filled) == band)
-        if good.any():
-            yield x, others[good][np.argsort(-same[good], kind="stable")], label, root
+        good = may_link(same, filled.sum(axis=1), n[x], n[y], least) & (first_bands(equal, filled) == band[x])
+        found.append(np.stack([x[good], y[good], same[good]]))
+    return tuple(np.concatenate(found, axis=1))
 
 
 def later_links(dealt: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) that join the groups of all nodes which the pairs of the units do."""
     least = percent / 100
 
-    def needing(rows: list[dict]):
+    def needing(rows: list[dict], starts: list[int]):
         import pyarrow as pa
 
-        need = np.zeros(len(rows), bool)
-        for x, others, _, _ in open_pairs(rows, least):
-            need[x] = True
-            need[others] = True
-        if need.any():
-            yield pa.RecordBatch.from_pylist([{c: r[c] for c in UNIT} for r, good in zip(rows, need.tolist(), strict=True) if good], pa.schema([(c, pa.binary() if c == "registers" else pa.int64()) for c in UNIT]))
+        x, y, _ = open_pairs(rows, starts, least)
+        if len(x):
+            yield pa.RecordBatch.from_pylist([{c: rows[k][c] for c in UNIT} for k in np.union1d(x, y).tolist()], pa.schema([(c, pa.binary() if c == "registers" else pa.int64()) for c in UNIT]))
 
-    def joining(rows: list[dict]):
+    def joining(rows: list[dict], starts: list[int]):
         import pyarrow as pa
 
+        x, y, same = open_pairs(rows, starts, least)
         sets, found = [np.frombuffer(r["hashes"], np.uint64) for r in rows], []
-        for x, others, label, root in open_pairs(rows, least):
-            while len(others):
-                part, others = others[:32], others[32:]
-                for y in part[linked(sets[x], [sets[k] for k in part.tolist()], percent)].tolist():
-                    one, two = root[label[x]], root[label[y]]
-                    if one != two:
-                        root[root == two] = one
-                        found.append((rows[x]["node"], rows[y]["node"]))
-                others = others[root[label[others]] != root[label[x]]]
+        # groups of one label in two units are apart here: they are joined where all links are
+        unit = np.repeat(np.arange(len(starts)), np.diff([*starts, len(rows)]))
+        group = np.unique(np.stack([unit, [r["label"] for r in rows]]), axis=1, return_inverse=True)[1].ravel()
+        root = np.arange(group.max() + 1)
+        order = np.argsort(-same, kind="stable")  # the likeliest first
+        x, y = x[order], y[order]
+        while len(x):
+            for p, q in zip(x[:256].tolist(), y[:256].tolist(), strict=True):
+                one, two = root[group[p]], root[group[q]]
+                if one != two and linked(sets[p], [sets[q]], percent)[0]:
+                    root[root == two] = one
+                    found.append((rows[p]["node"], rows[q]["node"]))
+            left = root[group[x[256:]]] != root[group[y[256:]]]
+            x, y = x[256:][left], y[256:][left]
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
