@@ -20,26 +20,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseweave.llm.common import join_hot, stage
-from caseweave.llm.html_scan import BLOCK, RAW, VOID, attributes, events
+from caseweave.llm.html_scan import BLOCK, VOID, attributes, events
 from caseweave.llm.url_filter import url_parts
 
 #: Elements that never hold article text (fixed values).
-NEVER = {"nav", "aside", "footer", "form", "button", "select", "datalist", "template", "iframe", "svg", "canvas", "object", "dialog", "menu", "head", "search", "video", "audio", "noscript", "script", "style", "textarea", "title", "label", "output", "map"}
+NEVER = {"nav", "aside", "footer", "form", "button", "select", "datalist", "template", "iframe", "svg", "canvas", "object", "dialog", "menu", "head", "search", "video", "audio", "noscript", "script", "style", "textarea", "title"}
 #: Elements that can be a slot (fixed values).
 CONTAINER = {"article", "body", "center", "dd", "details", "div", "fieldset", "figure", "main", "section", "table", "td", "tr", "tbody", "li", "ul", "ol", "span"}
-#: Words of class, id and role that may name what is no article (fixed values).
+#: Elements of text: what stands in the line of one is judged by no name, nor are headings (fixed values).
+HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
+LINE = HEADING | {"p", "li", "dt", "dd", "td", "th", "pre", "blockquote", "figcaption", "caption", "summary"}
+#: Words of class and role that may name what is no article (fixed values).
 BOILERPLATE = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "alert", "banner", "breadcrumb", "breadcrumbs",
-    "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "copyright", "dialog", "disclaimer", "discussion", "disqus",
+    "complementary", "consent", "contentinfo", "cookie", "cookies", "copyright", "dialog", "disclaimer", "discussion",
     "footer", "form", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices",
     "notification", "overlay", "pager", "pagination", "paywall", "popup", "privacy", "promo", "promoted", "promotion", "recommendations", "recommended",
     "related", "replies", "reply", "respond", "responses", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe",
     "subscription", "toolbar", "widget", "widgets",
 }
-#: Words that name what people wrote below an article; an element so named goes whatever its size (fixed values).
-READERS = {"comment", "comments", "discussion", "disqus", "replies", "reply", "respond", "responses"}
+#: Words that name what readers wrote below an article; an element so named goes whatever its size if it leaves text behind (fixed values).
+READERS = {"comment", "comments", "disqus"}
+#: Words that an id may have too, as they are seldom words of a title (fixed values).
+FRAME = {"breadcrumb", "breadcrumbs", "comments", "contentinfo", "cookies", "disqus", "footer", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "pagination", "popup", "respond", "sidebar", "toolbar"}
 #: Words that name an article where they come last in a name (fixed values).
 STORY = {"article", "entry", "post", "story"}
+#: Words for a part of a page, after which a name counts by its first word (fixed values).
+HOLDERS = {"area", "articles", "bar", "block", "body", "box", "button", "buttons", "container", "content", "group", "holder", "icons", "inner", "item", "items", "link", "links", "list", "news", "outer", "panel", "posts", "region", "row", "section", "slot", "stories", "text", "thread", "top", "bottom", "unit", "wrap", "wrapper", "zone"}
+#: Words before which a name tells a property, not a part (fixed values).
+PROPERTY = {"no", "not", "has", "have", "is", "with", "without", "show", "hide", "open", "closed", "enable", "disable"}
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 PARSED = "page_id long, url string, host string, content long, said boolean, size long, blocks array<struct<text:string,token:long>>, slots array<struct<token:long,n:int,size:long,depth:int,first:int,last:int>>"
@@ -53,27 +62,32 @@ def _hash(*parts) -> int:
     return xxhash.xxh3_64_intdigest("\x00".join(map(str, parts)).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def named(names: str) -> str:
-    """What class, id and role say of an element: "readers", "other" (what is no article either) or nothing.
+def named(names: str, known: set[str] = BOILERPLATE | READERS) -> str:
+    """What class and role say of an element: "readers", "other" (what is no article either) or nothing.
 
-    A name counts by its last word, or by its first where the last says nothing; one that ends in a word for
-    an article outweighs the others.
+    A name counts by its last word, or by its first if only words for parts of a page follow; one that begins with a word
+    for a property counts for nothing, and one that ends in a word for an article outweighs the others.
     """
     said = ""
     for name in names.split():
         words = [w.lower() for w in WORD.findall(name)]
-        if not words:
+        if not words or len(words) > 1 and words[0] in PROPERTY:
             continue
         if words[-1] in STORY:
             return ""
-        for w in (words[-1], words[0]):
-            if w in READERS:
-                said = "readers"
-            elif w in BOILERPLATE:
-                said = said or "other"
+        word = words[-1] if words[-1] in known else words[0] if HOLDERS.issuperset(words[1:]) else ""
+        if word in READERS and word in known:
+            said = "readers"
+        elif word in known:
+            said = said or "other"
     return said
 
 
+def slug(text: str) -> str:
+    """The letters and digits of a text, to tell whether an id was made of a title."""
+    return re.sub(r"[\W_]+", "", text.lower())
+
+
 class Page:
     """The blocks of a page that may be article text, read in time linear in its length.
 
@@ -86,7 +100,9 @@ class Page:
         #: Of each element: its parent, name, path, depth in containers, what its name says, whether it holds no article, and the element to ask for its texts.
         self.parent, self.name, self.path, self.depth, self.word, self.bad, self.asks = [-1], [""], [_hash("")], [0], [""], [False], [0]
         self.inner = [False]  # whether it is or is in an article or main element
+        self.line = [False]  # whether it is an element of text or in the line of one
         self.says = []  # (rank, node) of elements that hold the article
+        self.ids: list[tuple[int, str]] = []  # (node, id) of elements whose id may say something, or was made of a title
         found: list[tuple[str, int]] = []
         self._read(html or "", found)
         self._weigh(found)
@@ -110,9 +126,11 @@ class Page:
         self.own = self.slots[max(fit)[2]][3:] if fit else None
 
     def _read(self, html: str, found: list) -> None:
-        stack, text = [0], []
+        stack, text, begun = [0], [], False
 
         def flush():
+            nonlocal begun
+            begun = False
             line = " ".join("".join(text).split())
             text.clear()
             if line:
@@ -123,23 +141,25 @@ class Page:
                 k = self.asks[stack[-1]]
                 if not self.bad[k] or self.name[k] in BLOCK:
                     text.append(x[0])
+                    begun = begun or not x[0].isspace()
             elif kind == "raw":
                 continue
             elif x[0] == "br":
                 text.append(" ")
             elif kind == "start":
-                if x[0] in BLOCK or x[0] in RAW or x[0] in NEVER:
+                if x[0] in BLOCK:
                     flush()
                 if x[0] not in VOID:
-                    stack.append(self._open(stack[-1], x[0], x[1]))
+                    stack.append(self._open(stack[-1], x[0], x[1], begun))
             else:
-                if x[0] in BLOCK or x[0] in RAW or x[0] in NEVER:
+                if x[0] in BLOCK:
                     flush()
                 if len(stack) > 1:
                     stack.pop()
         flush()
 
-    def _open(self, up: int, name: str, raw: str) -> int:
+    def _open(self, up: int, name: str, raw: str, begun: bool) -> int:
+        """A new element in `up`; `begun` says whether its line has text already, of which it is a part then, whatever its name."""
         node = len(self.parent)
         given = attributes(raw) if raw.strip() else {}
         names = f"{given.get('class', '')} {given.get('id', '')} {given.get('role', '')}"
@@ -147,14 +167,18 @@ class Page:
         inner = self.inner[up]  # the header of an article is part of it
         role = given.get("role", "").lower()
         rank = 3 if name == "article" or given.get("itemprop", "").lower() == "articlebody" else 2 if role == "article" else 1 if name == "main" or role == "main" else 0
-        word = "" if name in ("html", "body", "main") or not names.strip() else named(names if not inner else re.sub("header", "", names, flags=re.I))
+        judged = f"{given.get('class', '')} {given.get('role', '')}"
+        quiet = name in ("html", "body", "main") or name in HEADING or name not in BLOCK and (begun or self.line[up])
+        word = "" if quiet or not judged.strip() else named(judged if not inner else re.sub("header", "", judged, flags=re.I))
+        if given.get("id") and name in BLOCK and not quiet:
+            self.ids.append((node, given["id"]))
         self.parent.append(up)
         self.name.append(name)
         self.path.append(_hash(self.path[up], name, re.sub(r"\d+", "0", names)) if name in CONTAINER else self.path[up])
         self.depth.append(self.depth[up] + (name in CONTAINER))
-        self.word.append("" if name in BLOCK else word)
-        self.bad.append(name in NEVER or name == "header" and not inner or hidden or word == "readers" or word == "other" and name not in BLOCK)
-        self.word[-1] = word if word == "other" and not self.bad[-1] else ""
+        self.word.append(word if name in BLOCK else "")
+        self.bad.append(name in NEVER or name == "header" and not inner or hidden or bool(word) and name not in BLOCK)
+        self.line.append(name in LINE or name not in BLOCK and self.line[up])
         self.inner.append(inner or name in ("article", "main"))
         self.asks.append(node if name in BLOCK or self.bad[-1] else self.asks[up])
         if rank:
@@ -162,33 +186,58 @@ class Page:
         return node
 
     def _weigh(self, found: list) -> None:
-        """The text under each element that is not under one without article text. Elements whose name alone speaks against them go, unless they hold over half of it."""
+        """The text under each element that is not under one without article text. Elements whose name alone speaks against them go, unless they hold over half of it; those for reader comments unless nothing but headings is left without them."""
         n = len(self.parent)
-        own = [0] * n
+        own, plain, title = [0] * n, [0] * n, [""] * n
         for text, node in found:
             own[node] += len(text)
+            if self.name[node] in HEADING:
+                title[node] = title[node] or text
+            else:
+                plain[node] += len(text)
+        self._judge_ids(title)
 
-        def sizes() -> list[int]:
+        def sizes(counted: list[int]) -> list[int]:
             out, gone = [0] * n, [False] * n
             for k in range(1, n):
                 gone[k] = gone[self.parent[k]] or self.bad[k]
             for k in range(n - 1, -1, -1):
                 if not gone[k]:
-                    out[k] += own[k]
+                    out[k] += counted[k]
                     if k:
                         out[self.parent[k]] += out[k]
             return out
 
-        self.size = sizes()
-        weak = [k for k in range(n) if self.word[k] and 2 * self.size[k] <= self.size[0]]
+        readers = [k for k in range(n) if self.word[k] == "readers"]
+        if readers:
+            before = list(self.bad)
+            for k in readers:
+                self.bad[k] = True
+            if not sizes(plain)[0]:
+                self.bad = before
+        self.size = sizes(own)
+        weak = [k for k in range(n) if self.word[k] == "other" and 2 * self.size[k] <= self.size[0]]
         for k in weak:
             self.bad[k] = True
         if weak:
-            self.size = sizes()
+            self.size = sizes(own)
         self.under = [False] * n  # whether it is in an element without article text
         for k in range(1, n):
             self.under[k] = self.under[self.parent[k]] or self.bad[k]
 
+    def _judge_ids(self, title: list[str]) -> None:
+        """Let ids of words for a page's frame count as names, unless two and more ids of the page were made of the titles in their elements."""
+        if not self.ids:
+            return
+        first = list(title)  # the first heading under each element
+        for k in range(len(first) - 1, 0, -1):
+            first[self.parent[k]] = first[k] or first[self.parent[k]]
+        made = {slug(x) for k, x in self.ids if first[k] and slug(x) == slug(first[k])}
+        if len(made) > 1:
+            return
+        for k, x in self.ids:
+            self.word[k] = self.word[k] or named(x, FRAME)
+
     def _roots(self) -> set[int]:
         """The elements that say they are the article; the page itself if there are none.
 
@@ -256,7 +305,7 @@ def parsed_pages(hosted: DataFrame) -> DataFrame:
 
 
 def _nested(batches):
-    """For each class on a page (its list of pos, token, cls, pages, root): the order of its tokens and the slots of the root (0) and of each class that may hold it, where it is in one."""
+    """For each class on a page (its list of pos, token, cls, pages, root): the order of its tokens and its slot in the root (0), where it is in one, and in the nearest class around it, if there is one."""
     import pyarrow as pa
 
     for batch in batches:
@@ -264,19 +313,20 @@ def _nested(batches):
         for host, marks in zip(batch.column("host").to_pylist(), batch.column("marks").to_pylist(), strict=True):
             places: dict[int, list[int]] = {}
             tokens: dict[int, list[int]] = {}
-            held: dict[int, int] = {}
             root = sorted(m["pos"] for m in marks if m["root"])
             for m in sorted(marks, key=lambda m: (m["pos"], m["token"])):
                 places.setdefault(m["cls"], []).append(m["pos"])
                 tokens.setdefault(m["cls"], []).append(m["token"])
-                held[m["cls"]] = m["pages"]
-            for c, at in places.items():
-                order = _hash(*tokens[c])
-                around = [(0, root), *((up, places[up]) for up, pages in held.items() if up != c and pages >= held[c])]
-                for up, bounds in around:
+            around: list[int] = []  # the classes that are open here, the innermost last
+            for c, at in sorted(places.items(), key=lambda x: (x[1][0], -x[1][-1])):
+                while around and places[around[-1]][-1] < at[0]:
+                    around.pop()
+                for up, bounds in ((0, root), *((k, places[k]) for k in around[-1:])):
                     a, b = bisect_left(bounds, at[0]), bisect_left(bounds, at[-1])
                     if a == b:
-                        rows.append((host, c, order, up, a))
+                        rows.append((host, c, _hash(*tokens[c]), up, a))
+                if not around or at[-1] < places[around[-1]][-1]:
+                    around.append(c)
         columns = zip(*rows, strict=True) if rows else ((),) * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), *[pa.int64()] * 3, pa.int32()), strict=True)], names=["host", "cls", "order", "up", "slot"])
 
@@ -284,8 +334,8 @@ def _nested(batches):
 def valid_classes(marks: DataFrame, classes: DataFrame) -> DataFrame:
     """host, cls, up (the class that holds it; 0 is the root) and slot of the valid classes, among classes (host, cls, pages), by the marks of distinct pages.
 
-    Valid: on all its pages its tokens have one order and lie in one slot of the root. Other classes that are on
-    all these pages may hold it too; the one on the fewest pages is the nearest.
+    Valid: on all its pages its tokens have one order and lie in one slot of the root. The nearest class around it on
+    all these pages may hold it too.
     """
     edges = marks.mapInArrow(_nested, "host string, cls long, order long, up long, slot int")
     edges = edges.groupBy("host", "cls", "up", "slot", "order").agg(F.count("*").alias("_seen"))

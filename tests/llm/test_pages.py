@@ -63,6 +63,55 @@ def test_long_main_beats_a_teaser_and_sibling_articles_stay_together():
     assert lines(f"<main><p>note</p><article>{story}</article></main>") == [story]
 
 
+LONG = "a long paragraph of the story " * 11 + "ends"
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ('<div class="content comments-open"><p>L</p></div>', ["L"]),
+        ('<div class="no-comments"><p>L</p></div>', ["L"]),
+        ('<article class="comments-open"><p>L</p></article>', ["L"]),
+        ('<main><div class="discussion"><p>L</p></div></main>', ["L"]),
+        ('<main><h1>T</h1><div class="comments"><p>L</p></div></main>', ["T", "L"]),
+        ('<main><p>L</p><section id="related-work"><h2>Related work</h2><p>x</p></section></main>', ["L", "Related work", "x"]),
+        ('<main><p>L</p><section id="form-validation"><p>x</p></section><section id="discussion"><p>y</p></section></main>', ["L", "x", "y"]),
+        ('<main><p>L</p><div id="responses-to-the-crisis"><p>x</p></div><p class="ad-hoc">y</p></main>', ["L", "x", "y"]),
+        ('<main><p>L</p><h2 id="search-algorithms" class="ad">Search</h2><p>x</p></main>', ["L", "Search", "x"]),
+        ('<main><section id="intro"><h2>Intro</h2><p>L</p></section><section id="comments"><h2>Comments</h2><p>x</p></section></main>', ["Intro", "L", "Comments", "x"]),
+        ("<p>The result is <output>42</output>, a <label>label</label>.</p>", ["The result is 42, a label."]),
+        ("<p>one two<script>x</script> three <noscript>n</noscript>four <svg><text>t</text></svg>five <button>b</button>six</p>", ["one two three four five six"]),
+        ('<div>one <span class="notice">two</span> three<p>L <i class="share-link">x</i></div>', ["one two three", "L x"]),
+    ],
+)
+def test_names_do_not_remove_articles_and_their_sections(html, want):
+    assert lines(f"<body>{html.replace('L', LONG)}</body>") == [x.replace("L", LONG) for x in want]
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<section class="comments"><h2>Comments</h2><p>R</p></section>', '<div id="comments"><h2>Comments</h2><p>R</p></div>', '<div class="comments-area">R</div>', '<ol class="comment-list"><li>R</ol>', '<div class="post-comments"><p>R</p></div>',
+        '<div class="ad">R</div>', '<div class="ad-slot"><p>R</p></div>', '<div class="widget-area">R</div>', '<div class="related-posts"><h3>More</h3><p>R</p></div>', '<div id="sidebar"><p>R</p></div>', '<p class="cookie-notice">R</p>', '<div class="notice">R</div>', '<div><span class="advert">R</span></div>', '<div class="comments"><article>R R R R R R</article></div>',
+    ],
+)
+def test_parts_that_are_no_article_go(part):
+    assert lines(f"<body><main><h1>T</h1><p>{LONG}</p>{part}</main></body>") == ["T", LONG]
+
+
+def test_a_page_of_very_many_classes_is_nested_in_linear_time():
+    import time
+
+    import pyarrow as pa
+
+    marks = [{"pos": 10 * k + j, "token": 10 * k + j, "cls": k, "pages": 5, "root": False} for k in range(1, 4001) for j in range(3)]
+    marks += [{"pos": 0, "token": 0, "cls": 0, "pages": 9, "root": True}, {"pos": 90000, "token": 1, "cls": 0, "pages": 9, "root": True}]
+    batch = pa.RecordBatch.from_pydict({"host": ["h"], "marks": [marks]})
+    start = time.time()
+    rows = sum(b.num_rows for b in html_extract._nested([batch]))
+    assert rows <= 3 * 4001 and time.time() - start < 2
+
+
 def site(k, words):
     return f'<html><body><div class="a{k}"><p>Fixed banner text</p><p>Fixed second line</p></div><div class="x"><div class="y"><p>{words} one</p><p>{words} two</p></div></div><div class="z">Fixed end</div></body></html>'
 
