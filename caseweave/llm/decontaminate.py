@@ -3,8 +3,8 @@
 A window as long as an item, in words, holds the item when the weighted similarity of their shingles (sum of
 the smaller over sum of the larger counts) is 0.8 or more. Every such window holds a sampled shingle of the item,
 at any place; so all windows around such a shingle are looked at that hold enough of the item's shingles to reach
-the similarity. Their SimHash fingerprints are matched to the items' through blocks of bits, of which one must be
-equal within the radius, and what remains is verified exactly.
+the similarity. Their SimHash fingerprints are matched to those of the items whose shingles they hold through blocks
+of bits, of which one must be equal within the radius, and what remains is verified exactly.
 """
 
 from __future__ import annotations
@@ -99,39 +99,35 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, least: float = 0
     hit = hit.withColumn("_all", shingles(F.col("_w"), F.col("width"))).drop("_w")
     hit = stage(hit, "regions").join(held(items.select("item_id", "n_words", "_item").distinct()), ["item_id", "n_words"])
     length = F.col("n_words") - F.col("width") + 1
-    around = F.transform("_hits", lambda h: F.sequence(F.greatest(h - length + 1, F.lit(0)), h))
-    starts = F.array_distinct(F.flatten(around))
     own = F.transform("_all", lambda h: F.array_contains("_item", h))
-    hit = stage(hit.select("doc_id", "_text", "n_words", "_all", own.alias("_own"), starts.alias("_starts"), F.size("_item").alias("_size"), length.alias("_length")), "regions")
-
-    def enough(at: Column) -> Column:
-        """Whether the window's shingles that are in the item, which are at least the common ones, reach the similarity."""
-        window = F.slice("_own", at + 1, F.col("_length"))
-        return F.size(F.filter(window, lambda y: y)) * (1 + least) >= least * (F.size(window) + F.col("_size")) - 1e-9
-
-    made = F.transform(F.filter("_starts", enough), lambda at: F.struct(at.alias("window_start"), F.slice("_all", at + 1, F.col("_length")).alias("_window")))
-    key = ["doc_id", "_text", "n_words", "window_start"]
-    windows = hit.select("doc_id", "_text", "n_words", F.explode(made).alias("_m")).select("doc_id", "_text", "n_words", "_m.*")
+    hit = stage(hit.select("doc_id", "_text", "item_id", "n_words", "_all", own.alias("_own"), F.array_sort("_hits").alias("_hits"), F.size("_item").alias("_size"), length.alias("_length")), "regions")
+    # starts are rows before windows are cut, each of the first hit behind it, so no row holds more than its text
+    ahead = hit.select("*", F.posexplode("_hits").alias("_k", "_hit")).withColumn("_last", F.coalesce(F.get("_hits", F.col("_k") - 1), F.lit(-1)))
+    ahead = ahead.select("*", F.explode(F.sequence(F.greatest(F.col("_hit") - F.col("_length") + 1, F.col("_last") + 1), F.col("_hit"))).alias("window_start"))
+    there = F.slice("_own", F.col("window_start") + 1, F.col("_length"))
+    # the window's shingles that are in the item are at least the common ones
+    enough = F.size(F.filter(there, lambda y: y)) * (1 + least) >= least * (F.size(there) + F.col("_size")) - 1e-9
+    key = ["doc_id", "_text", "item_id", "n_words", "window_start"]
+    windows = ahead.where(enough).select(*key, F.slice("_all", F.col("window_start") + 1, F.col("_length")).alias("_window"))
     windows = stage(windows.dropDuplicates(key).where(F.size("_window") > 0), "windows")
-    windows = windows.join(fingerprints(windows, "_window", *key), key).withColumnRenamed("print", "_print")
-    windows = windows.withColumn("_window", distinct_members(F.col("_window")))
     blocks = radius + 1
     edges = [64 * k // blocks for k in range(blocks + 1)]
 
-    def posted(df: DataFrame, value: str) -> DataFrame:
-        parts = [F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(value, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+    def posted(df: DataFrame) -> DataFrame:
+        parts = [F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("print", a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
         return df.withColumn("_p", F.explode(F.array(*parts))).select("*", "_p.block", "_p.bits").drop("_p")
 
-    own = items.join(fingerprints(items, "_item", "item_id", "n_words", "_print_of"), ["item_id", "n_words", "_print_of"])
-    own = stage(own.select("item_id", "n_words", distinct_members(F.col("_item")).alias("_item"), F.col("print").alias("_own")), "index")
-    index = posted(own, "_own")
+    # a window meets only the items of which it holds a shingle, under blocks of their fingerprints; the shingles follow for what is left
+    names = ["item_id", "n_words", "_print_of"]
+    index = posted(stage(fingerprints(items, "_item", *names), "index")).withColumnRenamed("print", "_theirs")
+    differ = F.col("print").bitwiseXOR(F.col("_theirs"))
     first_equal = F.lit(True)
-    differ = F.col("_print").bitwiseXOR(F.col("_own"))
     for k in range(blocks - 1):  # each pair once: at its first equal block
         equal = F.shiftrightunsigned(differ, edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1)) == 0
         first_equal = first_equal & ((F.col("block") <= k) | ~equal)
-    matched = posted(windows, "_print").join(held(index), ["n_words", "block", "bits"]).where(first_equal & (F.bit_count(differ) <= radius))
-    scored = matched.withColumn("similarity", similarity(F.col("_window"), F.col("_item"))).where(F.col("similarity") >= least)
+    matched = posted(fingerprints(windows, "_window", *key)).join(held(index), ["item_id", "n_words", "block", "bits"]).where(first_equal & (F.bit_count(differ) <= radius)).select(*key, "_print_of")
+    scored = matched.join(windows, key).join(held(items.select(*names, "_item")), names)
+    scored = scored.withColumn("similarity", similarity(distinct_members(F.col("_window")), distinct_members(F.col("_item")))).where(F.col("similarity") >= least)
     best = F.max_by(F.struct("window_start", "n_words", "similarity"), F.struct("similarity", (-F.col("window_start")).alias("_s")))
     return scored.groupBy("doc_id", "item_id").agg(best.alias("_b")).select("doc_id", "item_id", "_b.window_start", "_b.n_words", F.round("_b.similarity", 6).alias("similarity"))
 
