@@ -1,10 +1,4 @@
-"""Near-duplicates by HyperMinHash: registers of leading zeros and mantissa bits, bands of them, collision-corrected estimates, exact links.
-
-Documents of one set of shingles are one node. Nodes that share a band of registers are first linked to one of them, the
-one that shares the most bands, so a family of near copies takes as many comparisons as it has members. Where
-that leaves the nodes of a band in more than one group, the rest of their pairs is looked at within tasks: in blocks of
-a bounded size, each pair under the first band that it shares, and only found links come out.
-"""
+"""Near-duplicates by HyperMinHash: registers of leading zeros and mantissa bits, bands of them, collision-corrected estimates, exact links."""
 
 from __future__ import annotations
 
@@ -12,8 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseweave.llm.common import hot_rows, join_hot, mix, partitions, run_hashes, slices, stage, utf8, word_hashes, word_spans
-from caseweave.llm.simhash import components
+from caseweave.llm.common import hot_rows, join_hot, mix, slices, stage, utf8
+from caseweave.llm.near_links import Index, groups, hashed_texts, shared_postings, shingle_hashes
 
 #: 2**7 registers, each of the leading zeros of its least hash and the MANTISSA bits behind them.
 REGISTER_BITS, MANTISSA = 7, 10
@@ -21,37 +15,8 @@ REGISTER_BITS, MANTISSA = 7, 10
 BANDS, WIDTH = 25, 5
 #: Standard deviations by which an estimate may be too low.
 DEVIATIONS = 6
-#: Nodes and bytes of shingles in a block.
-BLOCK, BLOCK_BYTES = 1024, 32 << 20
-#: Seeds the names of bands, and of shingles of fewer words (fixed values).
-BAND_STEP, SHORT_STEP = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-
-
-def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the distinct shingles of each text (A-Z in lower case; all words where there are fewer), ascending, and where each text's begin (with one more entry for the end)."""
-    lower = data.copy()
-    lower[(data >= 65) & (data <= 90)] += 32
-    starts, ends, first = word_spans(lower, offsets)
-    words = word_hashes(lower, starts, ends)[0]
-    left = np.repeat(first[1:], np.diff(first)) - np.arange(len(words))
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    head = np.zeros(len(words), bool)
-    head[first[:-1][np.diff(first) > 0]] = True
-    held, whose = [], []
-    for width in range(1, size + 1):
-        at = np.flatnonzero(left >= size) if width == size else np.flatnonzero(head & (left == width))
-        if len(at):
-            found = run_hashes(words, width, 0)[at]
-            held.append(found if width == size else mix(found ^ np.uint64(SHORT_STEP * width & ((1 << 64) - 1))))
-            whose.append(owner[at])
-    if not held:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    hashes, whose = np.concatenate(held), np.concatenate(whose)
-    order = np.lexsort((hashes, whose))
-    hashes, whose = hashes[order], whose[order]
-    new = np.r_[True, (hashes[1:] != hashes[:-1]) | (whose[1:] != whose[:-1])]
-    hashes, whose = hashes[new], whose[new]
-    return hashes, np.searchsorted(whose, np.arange(len(offsets)))
+#: Seeds the names of bands (fixed value).
+BAND_STEP = 0x9E3779B97F4A7C15
 
 
 def registers(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -82,9 +47,9 @@ def chance_matches(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def may_link(equal: np.ndarray, filled: np.ndarray, n: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
-    """Whether a similarity of `least` is within DEVIATIONS of the estimate of pairs: by `equal` of `filled` registers, less what is equal by chance. Sizes alone may rule a pair out."""
+    """Whether a similarity of `least` is within DEVIATIONS of the estimate of pairs: by `equal` of `filled` registers, less what is equal by chance."""
     estimate = (equal - chance_matches(n, m) * (1 - equal / np.maximum(filled, 1))) / np.maximum(filled, 1)
-    return (np.minimum(n, m) >= least * np.maximum(n, m) - 1e-6) & (estimate >= least - DEVIATIONS * np.sqrt(least * (1 - least) / np.maximum(filled, 1)))
+    return estimate >= least - DEVIATIONS * np.sqrt(least * (1 - least) / np.maximum(filled, 1))
 
 
 def band_keys(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +68,24 @@ def first_bands(equal: np.ndarray, filled: np.ndarray) -> np.ndarray:
     return np.where(same.any(axis=1), same.argmax(axis=1), BANDS)
 
 
-SKETCH = "doc_id long, n_shingles long, name binary, t1 long, t2 long, registers binary"
+class Registers(Index):
+    """Marks are registers, keys bands of them."""
+
+    kind = np.uint16
+
+    def keys(self, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return band_keys(marks)
+
+    def first(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return first_bands(x == y, (x > 0) | (y > 0))
+
+    def likely(self, x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        filled = (x > 0) | (y > 0)
+        equal = ((x == y) & filled).sum(axis=1)
+        return may_link(equal, filled.sum(axis=1), n, m, self.percent / 100), equal
+
+
+SKETCH = "doc_id long, n_shingles long, name binary, t1 long, t2 long, marks binary"
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
@@ -123,235 +105,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 columns = [part.column("doc_id"), pa.array(np.diff(bounds)), pa.array(names, pa.binary()), part.column("t1"), part.column("t2"), pa.array([r.tobytes() for r in regs], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SKETCH.split(", ")])
 
-    return _texts(docs).mapInArrow(sketched, SKETCH)
-
-
-def _texts(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
-
-
-def posted(nodes: DataFrame) -> DataFrame:
-    """key and node of every band of nodes (node, registers) that is not empty."""
-
-    def post(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            if batch.num_rows:
-                keys, some = band_keys(_matrix(batch.column("registers").to_pylist()))
-                ids = np.broadcast_to(batch.column("node").to_numpy()[:, None], keys.shape)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(ids[some])], names=["key", "node"])
-
-    return nodes.select("node", "registers").mapInArrow(post, "key long, node long")
-
-
-def _matrix(regs: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(regs), np.uint16).reshape(len(regs), -1)
-
-
-def _needed(table: DataFrame, ids: DataFrame, most_broadcast: int) -> DataFrame:
-    """The rows of table whose node is in ids (node), picked by a broadcast if these are at most `most_broadcast`."""
-    return table.join(F.broadcast(ids) if ids.count() <= most_broadcast else ids, "node", "left_semi")
-
-
-def _both(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
-    """The pairs (a, b) with columns of both nodes, as a_x and b_x."""
-    for end in ("a", "b"):
-        pairs = pairs.join(table.select(F.col("node").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in columns)), end)
-    return pairs
-
-
-def estimated(pairs: DataFrame, nodes: DataFrame, least: float, most_broadcast: int = 1_000_000) -> DataFrame:
-    """The pairs (a, b) that their registers do not rule out."""
-
-    def estimate(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (_matrix(batch.column(c).to_pylist()) for c in ("a_registers", "b_registers"))
-                some = (x > 0) | (y > 0)
-                good = may_link(((x == y) & some).sum(axis=1), some.sum(axis=1), batch.column("a_n").to_numpy(), batch.column("b_n").to_numpy(), least)
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good))
-
-    ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
-    return _both(pairs, _needed(nodes.select("node", "n", "registers"), ids, most_broadcast), "n", "registers").mapInArrow(estimate, "a long, b long")
-
-
-def shingle_sets(docs: DataFrame, nodes: DataFrame, ids: DataFrame, size: int, most_broadcast: int = 1_000_000) -> DataFrame:
-    """node and hashes (its shingles, ascending, eight bytes each) of the nodes in ids (node), from one of their texts each."""
-    wanted = stage(_needed(nodes.select("node", "t1", "t2"), ids, most_broadcast), "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= most_broadcast else wanted
-    texts = _texts(docs).join(wanted, ["t1", "t2"]).dropDuplicates(["node"]).select("node", "text")
-
-    def hashed(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            for a, b in slices(offsets, 1 << 20):
-                hashes, bounds = shingle_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
-                sets = [hashes[x:y].tobytes() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array(sets, pa.binary())], names=["node", "hashes"])
-
-    return stage(texts.mapInArrow(hashed, "node long, hashes binary"), "sets")
-
-
-def linked(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
-    """Whether 100 times the shingles that `one` shares with each of the others is `percent` times those of either and more."""
-    sizes = np.array([len(x) for x in others])
-    every = np.concatenate(others)
-    at = np.minimum(np.searchsorted(one, every), len(one) - 1)
-    common = np.add.reduceat((one[at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
-    return 100 * common >= percent * (len(one) + sizes - common)
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar."""
-
-    def verify(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            good = [bool(linked(np.frombuffer(x, np.uint64), [np.frombuffer(y, np.uint64)], percent)[0]) for x, y in zip(batch.column("a_hashes").to_pylist(), batch.column("b_hashes").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return _both(pairs, sets, "hashes").mapInArrow(verify, "a long, b long")
-
-
-UNIT = ["key", "low", "high", "block", "node", "label", "n", "registers"]
-
-
-def units(shared: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The postings of the keys whose nodes are in more than one group, once for each pair of blocks (low, high) of the key that they are in."""
-    named = shared.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").withColumn("label", F.coalesce("label", "node"))
-    named = stage(named.select("key", "node", "label").join(nodes.select("node", "n", "registers"), "node"), "named")
-    load = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES))
-    # the one pair of a key of two nodes has been looked at
-    open_keys = stage(named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("c"), load.alias("blocks")).where((F.col("x") < F.col("y")) & (F.col("c") > 2)).select("key", "blocks"), "open")
-    dealt = named.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).select(*UNIT)
-
-
-#: Pairs of nodes that are looked at together.
-PAIRS = 1 << 16
-
-
-def by_unit(dealt: DataFrame, work, schema: str, *more: str) -> DataFrame:
-    """What `work` (a function of rows of whole units in their order, and where each unit begins) gives, as batches; small units go together."""
-    names = [*UNIT, *more]
-
-    def every(batches):
-        held, starts, pairs, unit = [], [], 0, None
-        for batch in batches:
-            for row in batch.to_pylist():
-                own = row["key"], row["low"], row["high"]
-                if own != unit:
-                    if pairs > PAIRS:
-                        yield from work(held, starts)
-                        held, starts, pairs = [], [], 0
-                    unit = own
-                    starts.append(len(held))
-                pairs += len(held) - starts[-1]
-                held.append(row)
-        if held:
-            yield from work(held, starts)
-
-    spark = dealt.sparkSession
-    return dealt.select(*names).repartition(partitions(spark), "key", "low", "high").sortWithinPartitions("key", "low", "high", "node").mapInArrow(every, schema)
-
-
-def _pairs(starts: np.ndarray, ends: np.ndarray):
-    """Numbers (x, y), x < y, of all pairs of rows of each unit, about PAIRS at a time."""
-    first = np.repeat(starts, ends - starts)
-    row = np.arange(len(first)) + (starts[0] if len(starts) else 0)
-    before = row - first  # a row meets those before it
-    ahead = np.cumsum(before)
-    at = 0
-    while at < len(row):
-        to = max(at + 1, int(np.searchsorted(ahead, (ahead[at - 1] if at else 0) + PAIRS, side="right")))
-        n = before[at:to]
-        y = np.repeat(row[at:to], n)
-        yield np.arange(len(y)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at:to], n), y
-        at = to
-
-
-def open_pairs(rows: list[dict], starts: list[int], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs of rows of one unit, of two groups, that meet first under its key and that the registers do not rule out; and how many registers are equal."""
-    regs, n = _matrix([r["registers"] for r in rows]), np.array([r["n"] for r in rows])
-    get = lambda c: np.array([r[c] for r in rows])
-    label, block, apart = get("label"), get("block"), get("low") != get("high")
-    begin, end = np.array(starts), np.array([*starts[1:], len(rows)])
-    keys, some = band_keys(regs[begin])
-    band = np.repeat((some & (keys.view(np.int64) == get("key")[begin, None])).argmax(axis=1), end - begin)
-    found = [np.zeros((3, 0), np.int64)]
-    for x, y in _pairs(begin, end):
-        good = (label[x] != label[y]) & ((block[x] != block[y]) | ~apart[x]) & (np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y]) - 1e-6)
-        x, y = x[good], y[good]
-        if not len(x):
-            continue
-        filled, equal = (regs[x] > 0) | (regs[y] > 0), regs[x] == regs[y]
-        same = (equal & filled).sum(axis=1)
-        good = may_link(same, filled.sum(axis=1), n[x], n[y], least) & (first_bands(equal, filled) == band[x])
-        found.append(np.stack([x[good], y[good], same[good]]))
-    return tuple(np.concatenate(found, axis=1))
-
-
-def later_links(dealt: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) that join the groups of all nodes which the pairs of the units do."""
-    least = percent / 100
-
-    def needing(rows: list[dict], starts: list[int]):
-        import pyarrow as pa
-
-        x, y, _ = open_pairs(rows, starts, least)
-        if len(x):
-            yield pa.RecordBatch.from_pylist([{c: rows[k][c] for c in UNIT} for k in np.union1d(x, y).tolist()], pa.schema([(c, pa.binary() if c == "registers" else pa.int64()) for c in UNIT]))
-
-    def joining(rows: list[dict], starts: list[int]):
-        import pyarrow as pa
-
-        x, y, same = open_pairs(rows, starts, least)
-        sets, found = [np.frombuffer(r["hashes"], np.uint64) for r in rows], []
-        # groups of one label in two units are apart here: they are joined where all links are
-        unit = np.repeat(np.arange(len(starts)), np.diff([*starts, len(rows)]))
-        group = np.unique(np.stack([unit, [r["label"] for r in rows]]), axis=1, return_inverse=True)[1].ravel()
-        root = np.arange(group.max() + 1)
-        order = np.argsort(-same, kind="stable")  # the likeliest first
-        x, y = x[order], y[order]
-        while len(x):
-            for p, q in zip(x[:256].tolist(), y[:256].tolist(), strict=True):
-                one, two = root[group[p]], root[group[q]]
-                if one != two and linked(sets[p], [sets[q]], percent)[0]:
-                    root[root == two] = one
-                    found.append((rows[p]["node"], rows[q]["node"]))
-            left = root[group[x[256:]]] != root[group[y[256:]]]
-            x, y = x[256:][left], y[256:][left]
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
-
-    need = stage(by_unit(dealt, needing, ", ".join(f"{c} {'binary' if c == 'registers' else 'long'}" for c in UNIT)), "needing")
-    ids = stage(need.select("node").distinct(), "needed")
-    return by_unit(need.join(shingle_sets(docs, nodes, ids, size), "node"), joining, "a long, b long", "hashes")
-
-
-def groups(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
-    """node and label (one of the nodes) of the nodes that links connect; others have no row."""
-    keyed = posted(nodes)
-    counted = stage(keyed.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > 1), "keys")
-    shared = stage(keyed.join(counted, "key"), "postings")
-    weight = shared.groupBy("node").agg(F.sum("_n").alias("weight"))
-    heads = shared.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("head")).select("key", (-F.col("head.minus")).alias("head"))
-    stars = shared.join(heads, "key").where(F.col("node") != F.col("head")).select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-    near = stage(estimated(stage(stars, "pairs"), nodes, percent / 100), "near")
-    ids = stage(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
-    links = stage(verified(near, shingle_sets(docs, nodes, ids, size), percent), "links")
-    labels = stage(components(links), "labels")
-    more = stage(later_links(units(shared, labels, nodes), docs, nodes, size, percent), "links")
-    if more.isEmpty():
-        return labels
-    return stage(components(more.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))), "labels")
+    return hashed_texts(docs).mapInArrow(sketched, SKETCH)
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
@@ -364,9 +118,10 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
     component_id, and such rows are not kept. Repeated rows are all kept. Other columns of docs are ignored.
     """
     prints = stage(sketches(docs, size), "sketches")
-    same = prints.where(F.col("n_shingles") > 0).groupBy("name").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"), F.min(F.struct("t1", "t2")).alias("t"), F.first("registers").alias("registers"))
-    nodes = stage(same.select(F.monotonically_increasing_id().alias("node"), "name", "first", "copies", "n", "t.t1", "t.t2", "registers"), "nodes")
-    labelled = nodes.join(groups(docs, nodes, size, percent), "node", "left").select("name", "first", "copies", F.coalesce("label", "node").alias("label"))
+    same = prints.where(F.col("n_shingles") > 0).groupBy("name").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"), F.min(F.struct("t1", "t2")).alias("t"), F.first("marks").alias("marks"))
+    nodes = stage(same.select(F.monotonically_increasing_id().alias("node"), "name", "first", "copies", "n", "t.t1", "t.t2", "marks"), "nodes")
+    index = Registers(size, percent)
+    labelled = nodes.join(groups(docs, nodes, shared_postings(nodes, index), index), "node", "left").select("name", "first", "copies", F.coalesce("label", "node").alias("label"))
     labelled = stage(labelled, "labelled")
     least = labelled.groupBy("label").agg(F.min("first").alias("component_id"), F.count("*").alias("members"))
     named = stage(join_hot(labelled, least, "label", F.col("members"), hot_rows(labelled.count())).select("name", "copies", "component_id"), "named")

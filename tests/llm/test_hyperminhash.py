@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from caseweave.llm import hyperminhash, queries
+from caseweave.llm import hyperminhash, near_links, queries
 from caseweave.llm.common import utf8
 
 SF = "/root/testdata/sf0.001"
@@ -72,7 +72,7 @@ def test_query_equals_all_pairs_and_its_sql(spark):
 @pytest.mark.parametrize("seed, block", [(1, 1024), (2, 16)])
 def test_families_around_the_threshold(spark, monkeypatch, seed, block):
     """Families whose copies are linked with some of the others only, in one block and in many."""
-    monkeypatch.setattr(hyperminhash, "BLOCK", block)
+    monkeypatch.setattr(near_links, "BLOCK", block)
     rng = random.Random(seed)
     rows = family(rng, 200, 120, 0.08, 0) + family(rng, 40, 60, 0.1, 1000) + family(rng, 22, 200, 0.1, 2000) + family(rng, 3000, 40, 0.06, 3000)
     rng.shuffle(rows)
