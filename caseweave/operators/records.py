@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseweave.functions.dates import half_up, shown_date
+from caseweave.functions.json_repair import repaired_json
 from caseweave.functions.text import SPACE, reliability
 
 #: Patterns of placeholder values, critical event types, image keywords, error messages in order.
@@ -23,11 +24,11 @@ KEYS = ["events", "Events", "eventi", "EVENTS"]
 
 
 def answer_events(raw: Column) -> Column:
-    """The array of events in a model's answer: parsed whole; else with what is open closed; else up to the last whole object of its events; empty if nothing helps."""
+    """The array of events in a model's answer: parsed whole; else repaired; else up to the last whole object of its events; empty if nothing helps."""
     start = F.regexp_instr(raw, F.lit(r'"events"\s*:\s*\['))
     tail = F.substring(raw, start, F.length(raw))
     upto = F.length(tail) - F.instr(F.reverse(tail), "}") + 1
-    attempts = [raw, F.concat(raw, F.lit("}")), F.concat(raw, F.lit("]}")), F.concat(raw, F.lit("}]}")), F.concat(raw, F.lit('"}]}')), F.when(start > 0, F.concat(F.lit("{"), F.substring(tail, F.lit(1), upto), F.lit("]}")))]
+    attempts = [repaired_json(raw), F.when(start > 0, F.concat(F.lit("{"), F.substring(tail, F.lit(1), upto), F.lit("]}")))]
     fine = F.coalesce(*(F.when(F.try_parse_json(a).isNotNull(), a) for a in attempts))
     return F.coalesce(*(F.from_json(F.get_json_object(fine, f"$.{k}"), f"array<{EVENT}>") for k in KEYS), F.array().cast(f"array<{EVENT}>"))
 
