@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseweave.sources.shared import fresh_folder
+
+#: Rows that are multiplied with the queries at a time.
+ROWS = 2048
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -16,24 +23,103 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+def matrix(lists) -> np.ndarray:
+    """An Arrow list column of equal lengths, without nulls, as rows of a matrix."""
+    return np.asarray(lists.flatten(), np.float64).reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
+
+
+def usable(rows: DataFrame, key: str, vector: str, name: str = "key") -> DataFrame:
+    """name (a long) and v (doubles) of the rows whose vector is there and has no null entry."""
+    typed = rows.select(F.col(key).cast("long").alias(name), F.col(vector).cast("array<double>").alias("v"))
+    return typed.where(F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; rows of zeros stay."""
+    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(size > 0, size, 1)
+
+
+class Best:
+    """The best few of what came so far for each of some queries: by similarity, then by key."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.held, self.size = most, [], 0
+
+    def add(self, query: np.ndarray, key: np.ndarray, similarity: np.ndarray) -> None:
+        self.held.append((query, key, similarity))
+        self.size += len(query)
+        if self.size > 1 << 20:
+            self.held = [self.rows()]
+            self.size = len(self.held[0][0])
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        query, key, similarity = map(np.concatenate, zip(*self.held, strict=True))
+        order = np.lexsort((key, -similarity, query))
+        query, key, similarity = query[order], key[order], similarity[order]
+        first = np.r_[True, query[1:] != query[:-1]][: len(query)]
+        place = np.arange(len(query)) - np.maximum.accumulate(np.where(first, np.arange(len(query)), 0))
+        good = place < self.most
+        return query[good], key[good], similarity[good]
+
+
 def nearest(chunks: DataFrame, queries: DataFrame, key: str, vector: str, least: float = 0.3, most: int = 5, block: int = 20_000) -> DataFrame:
     """query, key, similarity and rank of the `most` chunks over `least` similar to each query (query, vector); a chunk with the query's own key is left out.
 
-    The queries go over the chunks in blocks of about `block`, each small enough to be broadcast; every task keeps
-    the best of its own chunks of each query before the shuffle.
+    Queries come as matrices of about `block` rows, one at a time, which tasks multiply with the vectors of an Arrow batch;
+    each task hands on the best of its own chunks for each query. Beyond one block the answers of each are written to
+    the shared folder. Vectors that are null or hold a null or no number match nothing, nor do those of another length than the query.
     """
-    asked = queries.select("query", F.col("vector").alias("_q"), F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("_len"))
+    asked = usable(queries, "query", "vector", "query")
     blocks = max(1, -(-asked.count() // block))
-    normed = chunks.withColumn("_own", F.sqrt(dot(F.col(vector), F.col(vector))))
-    by = Window.partitionBy("query").orderBy(F.desc("similarity"), key)
+    stored = usable(chunks, key, vector)
+    spark = chunks.sparkSession
 
     def one(part: DataFrame) -> DataFrame:
-        similarity = F.round(dot(F.col(vector), F.col("_q")) / (F.col("_own") * F.col("_len")), 6)
-        scored = normed.join(F.broadcast(part), F.col(key) != F.col("query")).withColumn("similarity", similarity).where(F.col("similarity") > least)
-        return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= most).select("query", key, "similarity", "rank")
+        rows = part.select("query", "v").toArrow()  # one block
+        sizes = np.asarray(rows.column("v").combine_chunks().value_lengths())
+        ids, lists = rows.column("query").to_numpy(), rows.column("v").combine_chunks()
+        held = {int(k): (ids[sizes == k], unit(matrix(lists.filter(sizes == k)))) for k in np.unique(sizes)}
+        shared = spark.sparkContext.broadcast(held)
+
+        def score(batches: Iterator):
+            import pyarrow as pa
+
+            best = Best(most)
+            for batch in batches:
+                sizes = np.asarray(batch.column("v").value_lengths())
+                for k in np.unique(sizes).tolist():
+                    if k not in shared.value:
+                        continue
+                    ids, q = shared.value[k]
+                    own = batch.filter(pa.array(sizes == k))
+                    keys, x = own.column("key").to_numpy(), unit(matrix(own.column("v")))
+                    for at in range(0, len(keys), ROWS):
+                        s = np.where(keys[at : at + ROWS, None] == ids, -2, np.round(x[at : at + ROWS] @ q.T, 6))
+                        row, col = np.nonzero(s > least)
+                        if len(row) > most * len(ids):  # only what can be among the best of this part
+                            floor = np.partition(s, max(len(s) - most - 1, 0), axis=0)[max(len(s) - most - 1, 0)]
+                            good = s[row, col] >= floor[col]
+                            row, col = row[good], col[good]
+                        best.add(ids[col], keys[at + row], s[row, col])
+            query, found, similarity = best.rows()
+            yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(found), pa.array(similarity)], names=["query", "key", "similarity"])
+
+        scored = stored.mapInArrow(score, "query long, key long, similarity double")
+        by = Window.partitionBy("query").orderBy(F.desc("similarity"), "key")
+        ranked = scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= most)
+        return ranked.select("query", F.col("key").alias(key), "similarity", "rank")
 
-    parts = [asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k) for k in range(blocks)] if blocks > 1 else [asked]
-    return reduce(DataFrame.unionByName, map(one, parts))
+    if blocks == 1:
+        return one(asked)
+    folder, parts = fresh_folder(spark, "nearest"), []
+    for k in range(blocks):
+        found = one(asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k))
+        found.write.parquet(f"{folder}/block={k}")
+        parts.append(spark.read.schema(found.schema).parquet(f"{folder}/block={k}"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def merged(found: DataFrame, texts: DataFrame, key: str, text: str, most: int = 5) -> DataFrame:

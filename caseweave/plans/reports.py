@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caseweave.operators import reports
+from caseweave.operators import reports, vector_index
 from caseweave.plans.texts import HEADINGS, REPORTS
 from caseweave.plans.texts import reports as built
 from caseweave.sources import views
+from caseweave.sources.shared import fresh_folder
 from caseweave.sources.views import _list, read
 
 
@@ -51,7 +52,15 @@ def vector_approximate(spark, sf_dir):
     return reports.approximate_nearest(chunks, queries, "vec_id", "embedding")
 
 
-QUERIES = {f.__name__: f for f in (assembled_reports, numbered_reports, named_parts, rendered_reports, guideline_ingest, vector_approximate)}
+def vector_inverted(spark, sf_dir):
+    """The same by an inverted file over all vectors, written to the shared folder and read again."""
+    chunks, folder = read(spark, sf_dir, "embeddings"), fresh_folder(spark, "inverted")
+    vector_index.build(chunks, "vec_id", "embedding", folder)
+    queries = chunks.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    return vector_index.search(spark, folder, queries, chunks, "vec_id", "embedding")
+
+
+QUERIES = {f.__name__: f for f in (assembled_reports, numbered_reports, named_parts, rendered_reports, guideline_ingest, vector_approximate, vector_inverted)}
 ORACLE_SQL = {
     "assembled_reports": """WITH d AS (SELECT doc_id, translate(text, chr(10) || chr(13) || chr(9), '   ') AS t FROM documents WHERE length(text) > 400), p AS (SELECT doc_id, trim(substring(t, 1, length(t) // 3)) AS a, trim(substring(t, length(t) // 3 + 1, length(t) // 3)) AS b, trim(substring(t, length(t) // 3 * 2 + 1)) AS c FROM d)
         SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 AND length(a) > 50 AND length(b) > 50 AND length(c) > 50 THEN a || chr(10) || chr(10) || c || chr(10) || chr(10) || b

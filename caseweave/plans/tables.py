@@ -265,7 +265,7 @@ def fk_orphans(spark, sf_dir):
 
 
 def vector_topk(spark, sf_dir):
-    chunks = read(spark, sf_dir, "embeddings").where(F.col("label") % 5 != 0)
+    chunks = read(spark, sf_dir, "embeddings")
     queries = read(spark, sf_dir, "embeddings").where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
     return vector.nearest(chunks, queries, "vec_id", "embedding")
 
@@ -360,7 +360,7 @@ def _all_sql():
     }
 
 
-VECTORS = """WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS similarity FROM embeddings, q WHERE label % 5 <> 0 AND vec_id <> query),
+VECTORS = """WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS similarity FROM embeddings, q WHERE vec_id <> query),
     top AS (SELECT query, vec_id, similarity, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) AS rank FROM s WHERE similarity > 0.3 QUALIFY rank <= 5) """
 
 QUERIES = {f.__name__: f for f in (

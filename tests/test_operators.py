@@ -166,6 +166,41 @@ def test_approximate_search_finds_most_of_the_exact(spark):
     assert exact == blocked and len(exact) > 10 and len(exact & found) >= 0.9 * len(exact)
 
 
+def test_inverted_file_is_written_once_and_finds_most_of_the_exact(spark, tmp_path):
+    from caseweave.operators import vector, vector_index
+
+    chunks = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    queries = chunks.where("vec_id % 50 = 0").selectExpr("vec_id AS query", "embedding AS vector")
+    vector_index.build(chunks, "vec_id", "embedding", str(tmp_path / "index"))
+    written = {p: p.stat().st_mtime_ns for p in (tmp_path / "index").rglob("*.parquet")}
+    df = vector_index.search(spark, str(tmp_path / "index"), queries, chunks, "vec_id", "embedding")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    found = {(r.query, r.vec_id): r.similarity for r in df.collect()}
+    exact = {(r.query, r.vec_id): r.similarity for r in vector.nearest(chunks, queries, "vec_id", "embedding").collect()}
+    common = set(exact) & set(found)
+    assert len(exact) == 5 * queries.count() and len(common) >= 0.9 * len(exact)
+    assert all(abs(found[k] - exact[k]) < 2e-6 for k in common)
+    again = vector_index.search(spark, str(tmp_path / "index"), queries, chunks, "vec_id", "embedding")
+    assert {(r.query, r.vec_id) for r in again.collect()} == set(found)
+    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "index").rglob("*.parquet")} == written
+    # every row is in the index, one with many copies in several packs
+    assert spark.read.parquet(str(tmp_path / "index/lists")).agg({"n": "sum"}).first()[0] == chunks.count()
+
+
+def test_inverted_file_of_odd_vectors(spark, tmp_path):
+    from caseweave.operators import vector, vector_index
+
+    rows = [(k, [1.0, 0.0]) for k in range(300)] + [(400, None), (401, [None, 1.0]), (402, [0.0, 0.0]), (403, [0.6, 0.8]), (None, [1.0, 0.0]), (404, [float("nan"), 1.0])]
+    chunks = spark.createDataFrame(rows, "id long, v array<double>")
+    asked = spark.createDataFrame([(403, [0.6, 0.8]), (7, [1.0, 0.0]), (1000, None), (1001, [1.0])], "query long, vector array<double>")
+    vector_index.build(chunks.where("id IS NOT NULL"), "id", "v", str(tmp_path / "a"))
+    got = vector_index.search(spark, str(tmp_path / "a"), asked, chunks, "id", "v", probes=99).collect()
+    want = vector.nearest(chunks.where("id IS NOT NULL"), asked, "id", "v").collect()
+    assert {(r.query, r.rank, r.similarity) for r in got} == {(r.query, r.rank, r.similarity) for r in want} and len(got) == len(want) == 10
+    assert {r.id for r in want if r.query == 7} == {0, 1, 2, 3, 4}
+
+
 def test_single_rows_and_the_audit_log(spark, tmp_path):
     import pytest
     from pyspark.errors import PySparkException
