@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from caseweave.sources.shared import fresh_folder
 from caseweave.sources.views import read
-from caseweave.streaming import gates, ledger
+from caseweave.streaming import gates, ledger, limits
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -64,11 +64,18 @@ def case_runs(spark, sf_dir):
     return book.state(spark, last).select("case_id", "run", "stage", F.size("done").alias("steps"))
 
 
-QUERIES = {f.__name__: f for f in (gate_outcomes, case_runs)}
+def sliding_outcomes(spark, sf_dir):
+    """Requests judged by a sliding window as they stream by: those that are settled a minute before the last."""
+    return finished(limits.sliding_stream(stream(spark, sf_dir, "events"), 86400, 3), "sliding")
+
+
+QUERIES = {f.__name__: f for f in (gate_outcomes, case_runs, sliding_outcomes)}
 ORACLE_SQL = {
     "gate_outcomes": """WITH e AS (SELECT user_id, ts, event_type FROM events WHERE event_type IN ('error', 'purchase')), mark AS (SELECT max(epoch_us(ts)) // 1000 * 1000 - 86400000000 AS m FROM e),
         g AS (SELECT a.user_id AS case_id, a.ts AS requested, min(b.ts) AS confirmed FROM e a LEFT JOIN e b ON b.user_id = a.user_id AND b.event_type = 'purchase' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 7 DAY WHERE a.event_type = 'error' GROUP BY a.user_id, a.ts)
         SELECT case_id, requested, confirmed FROM g, mark WHERE epoch_us(coalesce(confirmed, requested + INTERVAL 7 DAY)) < m""",
+    "sliding_outcomes": """WITH mark AS (SELECT max(epoch_us(ts)) // 1000 * 1000 - 60000000 AS m FROM events), t AS (SELECT user_id, ts, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS recent FROM events)
+        SELECT user_id, ts, recent, recent <= 3 AS allowed FROM t, mark WHERE epoch_us(ts) < m""",
     "case_runs": """WITH runs AS (SELECT user_id AS case_id, max(ts) AS run FROM events WHERE event_type = 'signup' GROUP BY user_id),
         told AS (SELECT case_id, run, coalesce(bool_or(event_type = 'error'), false) AS over, coalesce(bool_or(event_type = 'purchase'), false) AS sure FROM runs LEFT JOIN events ON user_id = case_id AND ts >= run GROUP BY case_id, run)
         SELECT case_id, run, CASE WHEN over THEN 'idle' WHEN sure THEN 'completato' ELSE 'elaborazione' END AS stage, CAST(CASE WHEN over THEN 0 WHEN sure THEN 2 ELSE 1 END AS INTEGER) AS steps FROM told""",

@@ -246,5 +246,9 @@ ORACLE_SQL = {
     "demo_case": "SELECT 'DEMO-001' AS code, 'M.R.' AS patient_initials, 'ortopedica' AS case_type, 'bozza' AS status WHERE NOT EXISTS (SELECT 1 FROM region WHERE starts_with('CASO-' || r_name, 'DEMO-'))",
     "gate_timeout": "SELECT a.user_id AS case_id, a.ts AS requested, min(b.ts) AS confirmed FROM events a LEFT JOIN events b ON b.user_id = a.user_id AND b.event_type = 'purchase' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 7 DAY WHERE a.event_type = 'error' GROUP BY a.user_id, a.ts",
     "sliding_rate": "SELECT a.event_id, count(*) AS recent, count(*) <= 1 AS allowed FROM events a JOIN events b ON b.user_id = a.user_id AND b.ts <= a.ts AND epoch_us(b.ts) > epoch_us(a.ts) - 3600000000 GROUP BY a.event_id",
+    "fixed_rate": """WITH RECURSIVE r AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events),
+        w AS (SELECT user_id, k, t AS opened, 1::BIGINT AS used, 1::BIGINT AS allowed, 0::BIGINT AS refused FROM r WHERE k = 1 UNION ALL SELECT user_id, k, CASE WHEN fresh THEN t ELSE opened END, CASE WHEN fresh THEN 1 ELSE used END, allowed + CASE WHEN fresh THEN 1 ELSE 0 END, refused + CASE WHEN fresh THEN 0 ELSE 1 END
+            FROM (SELECT w.user_id, r.k, r.t, opened, used, allowed, refused, r.t - opened >= 7200000000 AS fresh FROM w JOIN r ON r.user_id = w.user_id AND r.k = w.k + 1))
+        SELECT user_id, allowed, refused FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k DESC) AS l FROM w) WHERE l = 1""",
     "subscription_state": "SELECT user_id, arg_max(status, (ts, event_id)) AS status FROM (SELECT *, CASE CAST(event_id % 5 AS INTEGER) WHEN 0 THEN 'active' WHEN 1 THEN 'active' WHEN 2 THEN 'canceled' WHEN 3 THEN 'past_due' END AS status FROM events) WHERE status IS NOT NULL GROUP BY user_id",
 }

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def sliding(requests: DataFrame, seconds: int, most: int) -> DataFrame:
@@ -15,21 +16,102 @@ def sliding(requests: DataFrame, seconds: int, most: int) -> DataFrame:
     return requests.withColumn("recent", F.count("*").over(by)).withColumn("allowed", F.col("recent") <= most)
 
 
+class Sliding(StatefulProcessor):
+    """One user: the numbers of its requests at each time, in microseconds, that are in a window still or wait for the watermark.
+
+    A request is judged once the watermark has passed its time, so all that count before it are there whatever their order.
+    """
+
+    def __init__(self, seconds: int, most: int) -> None:
+        self.width, self.most = seconds * 1_000_000, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getMapState("times", "at long", "n int, judged boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new: dict[int, int] = {}
+        for frame in rows:
+            for at in frame["us"].tolist():
+                new[at] = new.get(at, 0) + 1
+        for at, n in new.items():
+            held = self.times.getValue((at,)) if self.times.containsKey((at,)) else (0, False)
+            self.times.updateValue((at,), (held[0] + n, held[1]))
+            self.handle.registerTimer(at // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted((at, n, judged) for (at,), (n, judged) in self.times.iterator())
+        first, recent, out = 0, 0, []
+        for at, n, judged in held:
+            recent += n
+            while held[first][0] <= at - self.width:
+                recent -= held[first][1]
+                first += 1
+            if not judged and at < now:
+                out += [(at, recent)] * n
+                self.times.updateValue((at,), (n, True))
+        for at, _, _ in held:
+            if at < now - self.width:  # no request to come is within reach
+                self.times.removeKey((at,))
+            else:
+                self.handle.registerTimer((at + self.width) // 1000 + 1)
+        if out:
+            times, counts = zip(*out, strict=True)
+            yield pd.DataFrame({"user_id": key[0], "us": times, "recent": counts})
+
+
+def sliding_stream(requests: DataFrame, seconds: int, most: int, late: str = "1 minute") -> DataFrame:
+    """`sliding` over a stream: user_id, ts, recent and allowed of each request, once the watermark (`late` behind the last) has passed it.
+
+    Requests may come in any order within the watermark. State is the times of one window a user, and goes with it. Needs
+    the RocksDB state store. Requests of no user are left out.
+    """
+    timed = requests.where(F.col("user_id").isNotNull()).select(F.col("user_id").cast("long").alias("user_id"), F.col("ts").cast("timestamp").alias("ts"))
+    timed = timed.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
+    found = timed.groupBy("user_id").transformWithStateInPandas(Sliding(seconds, most), "user_id long, us long, recent long", "Append", "EventTime")
+    return found.select("user_id", F.timestamp_micros("us").alias("ts"), "recent", (F.col("recent") <= most).alias("allowed"))
+
+
 def fixed(requests: DataFrame, seconds: int, most: int) -> DataFrame:
-    """user_id and how many of its requests are allowed and refused, as a fold over their times: a window opens at a request when the last one is over."""
+    """user_id and how many of its requests are allowed and refused, walking over its times in order: a window opens at a request when the last one is over.
+
+    Requests pass a task sorted by user and time, with the open window as all that is held, so no user's requests are gathered.
+    """
     width = seconds * 1_000_000
-    times = F.array_sort(F.collect_list(F.unix_micros(F.col("ts").cast("timestamp"))))
-    grouped = requests.groupBy("user_id").agg(times.alias("_t"))
-    state = "struct<opened:bigint,n:int,allowed:bigint,refused:bigint>"
-    start = F.struct(F.lit(None).cast("bigint").alias("opened"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("allowed"), F.lit(0).cast("bigint").alias("refused")).cast(state)
-
-    def step(s, t):
-        fresh = s["opened"].isNull() | (t - s["opened"] >= width)
-        fine = fresh | (s["n"] < most)
-        return F.struct(F.when(fresh, t).otherwise(s["opened"]).alias("opened"), F.when(fresh, 1).otherwise(s["n"] + fine.cast("int")).alias("n"), (s["allowed"] + fine.cast("int")).alias("allowed"), (s["refused"] + (~fine).cast("int")).alias("refused")).cast(state)
-
-    found = grouped.withColumn("_s", F.aggregate("_t", start, step))
-    return found.select("user_id", "_s.allowed", "_s.refused")
+
+    def walk(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        user, opened, used, allowed, refused, done = None, None, 0, 0, 0, []
+
+        def out(rows: list):
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["user_id", "allowed", "refused"])
+
+        some = False
+        for batch in batches:
+            for who, at in zip(batch.column("user_id").to_pylist(), batch.column("us").to_pylist(), strict=True):
+                if not some or who != user:
+                    if some:
+                        done.append((user, allowed, refused))
+                    some, user, opened, used, allowed, refused = True, who, None, 0, 0, 0
+                if opened is None or at - opened >= width:
+                    opened, used = at, 0
+                fine = used < most
+                used += fine
+                allowed += fine
+                refused += not fine
+            if len(done) > 4096:
+                yield out(done)
+                done = []
+        if some:
+            done.append((user, allowed, refused))
+        yield out(done)
+
+    timed = requests.select(F.col("user_id").cast("long").alias("user_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).where(F.col("us").isNotNull())
+    dealt = timed.repartition(int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")), "user_id").sortWithinPartitions("user_id", "us")
+    return dealt.mapInArrow(walk, "user_id long, allowed long, refused long")
 
 
 def fixed_stream(requests: DataFrame, seconds: int, most: int) -> DataFrame:

@@ -1,5 +1,7 @@
 """Streams against their batch twins."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +86,32 @@ def test_a_gate_has_one_outcome(rocks, tmp_path):
     assert outcomes(rocks.read.parquet(str(tmp_path / "out"))) == want
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_sliding_stream_equals_its_twin_in_any_order(rocks, tmp_path, seed):
+    """Requests in three batches, shuffled within the watermark, some at one time, one too late."""
+    rng = random.Random(seed)
+    times_ = sorted(rng.choice([rng.randrange(0, 7_200), rng.randrange(0, 7_200) // 60 * 60]) for _ in range(150))
+    rows = [(rng.randrange(1, 4), f"2024-01-01 {10 + t // 3600}:{t // 60 % 60:02d}:{t % 60:02d}", t) for t in times_] + [(None, "2024-01-01 10:00:00", 0)]
+    frame = lambda part: rocks.createDataFrame([r[:2] for r in part], "user_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    folder = str(tmp_path / "in")
+    frame([]).write.parquet(folder)
+    stream = limits.sliding_stream(rocks.readStream.schema(frame([]).schema).parquet(folder), 600, 3, "30 minutes")
+    parts = [[r for r in rows if r[2] // 2400 == k] for k in range(3)] + [[(99, "2024-01-02 10:00:00", 0)], [(1, "2024-01-01 10:00:00", 0)]]
+    for k, (a, b) in enumerate(zip(parts, parts[1:3], strict=False)):  # some of each come with the next
+        move = [r for r in a if r[2] // 2400 == k and r[2] % 2400 > 1200 and rng.random() < 0.5]
+        a[:] = [r for r in a if r not in move]
+        b += move
+    for part in parts:
+        rng.shuffle(part)
+        frame(part).coalesce(1).write.mode("append").parquet(folder)
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    want = limits.sliding(frame([r for r in rows if r[0]]), 600, 3).collect()
+    got = rocks.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.user_id, r.ts, r.recent, r.allowed) for r in got) == sorted((r.user_id, r.ts, r.recent, r.allowed) for r in want)
+    assert sum(x["numRowsTotal"] for x in q.lastProgress["stateOperators"]) <= 3
+
+
 def commands(spark, rows):
     return spark.createDataFrame(rows, "case_id long, action string, at string").withColumn("at", F.col("at").cast("timestamp"))
 
