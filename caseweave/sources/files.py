@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseweave.functions.dates import shown_date
@@ -56,9 +56,12 @@ def subject_access(profiles: DataFrame, parts: dict[str, DataFrame], most_audit:
     """user_id and the JSON of all that is stored of a user: the profile and, for each part (with user_id, at), its rows, the last `most_audit` of the part "audit"."""
     out = profiles.select("user_id", F.to_json(F.struct(*[c for c in profiles.columns if c != "user_id"])).alias("profile"))
     for name, rows in parts.items():
-        listed = F.sort_array(F.collect_list(F.struct("at", F.to_json(F.struct(*[c for c in rows.columns if c not in ("user_id", "at")])).alias("row"))), asc=False)
-        texts = F.transform(F.slice(listed, 1, most_audit) if name == "audit" else listed, lambda x: x["row"])
-        grouped = rows.groupBy("user_id").agg(F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]")).alias(name))
+        said = rows.select("user_id", "at", F.to_json(F.struct(*[c for c in rows.columns if c not in ("user_id", "at")])).alias("row"))
+        if name == "audit":  # cut before the rows of a user are gathered
+            last = Window.partitionBy("user_id").orderBy(F.desc("at"), F.desc("row"))
+            said = said.withColumn("_k", F.row_number().over(last)).where(F.col("_k") <= most_audit)
+        texts = F.transform(F.sort_array(F.collect_list(F.struct("at", "row")), asc=False), lambda x: x["row"])
+        grouped = said.groupBy("user_id").agg(F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]")).alias(name))
         out = out.join(grouped, "user_id", "left").withColumn(name, F.coalesce(name, F.lit("[]")))
     pairs = [x for n in ["profile", *parts] for x in (F.lit(f'"{n}":'), F.col(n), F.lit(","))][:-1]
     return out.select("user_id", F.concat(F.lit("{"), *pairs, F.lit("}")).alias("json"))
