@@ -125,6 +125,6 @@ def ocr_confidence(text: Column) -> Column:
 
 def folded(value: Column, valid: list[str], aliases: dict[str, str], default: str = "altro") -> Column:
     """A declared value as it is; else the one its normal form (lower case, runs of spaces, - and _ as one _) is an alias of, or `default`."""
-    pairs = [F.lit(x) for name, known in aliases.items() for alias in known.split() for x in (alias, name)]
+    pairs = [F.lit(x) for pair in aliases.items() for x in pair]
     normal = F.regexp_replace(F.lower(value), r"[\s_-]+", "_")
     return F.when(value.isin(valid), value).otherwise(F.coalesce(F.create_map(*pairs)[normal], F.lit(default)))

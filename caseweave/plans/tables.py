@@ -291,7 +291,7 @@ def formats(spark, sf_dir):
 
 def _all_sql():
     archived = with_views("cases", "profiles") + f", expired AS (SELECT case_id, user_id, updated_on FROM cases JOIN profiles USING (user_id) WHERE status = 'archiviato' AND retention_days IS NOT NULL AND updated_on < CAST('{AS_OF}' AS DATE) - CAST(retention_days AS INTEGER)) "
-    aliases = ", ".join(f"('{a}', '{k}')" for k, v in packs.EVENT_ALIASES.items() for a in v.split())
+    aliases = ", ".join(f"('{a}', '{k}')" for a, k in packs.EVENT_ALIASES.items())
     types = "(" + ", ".join(f"'{x}'" for x in packs.EVENT_TYPES) + ")"
     from caseweave.plans.timelines import _RANK, anomalies_sql
 
