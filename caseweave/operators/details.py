@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caseweave.functions.dates import shown_date
 from caseweave.functions.text import SPACE, reliability, same_event
 from caseweave.operators.links import not_yet_known
-from caseweave.operators.timeline import appended, in_order
+from caseweave.operators.timeline import in_order
 
 
 def to_verify() -> Column:
@@ -160,7 +160,18 @@ def cross_notes(t: DataFrame) -> DataFrame:
 
 
 def consolidated(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """The events of a case after new ones came: those like an existing one go, the others are numbered after the last number; `place` is the order by date, type and title in the whole case."""
-    added = appended(existing, not_yet_known(new, existing)).select(existing.columns)
+    """The events of a case after new ones came: those like an existing one go, the others are numbered after the last number; `place` is the order by date, type and title in the whole case.
+
+    New events are put in order by date (none first), type, title and event_id, and marked where documents among them disagree (`note`, if they
+    have source_type and doctor), before any goes: a mark stays though the event it speaks of was known already.
+    """
+    by_title = Window.partitionBy("case_id").orderBy("event_date", "event_type", "title", "event_id")
+    fresh = new.withColumn("order_number", F.row_number().over(by_title))
+    if {"source_type", "doctor"} <= set(new.columns):
+        fresh = fresh.join(cross_notes(fresh), ["case_id", "order_number"], "left")
+    most = existing.groupBy("case_id").agg(F.max("order_number").alias("_most"))
+    left = not_yet_known(fresh, existing).join(most, "case_id", "left")
+    added = left.withColumn("order_number", F.coalesce("_most", F.lit(0)) + F.row_number().over(in_order())).drop("_most")
+    both = existing.withColumn("added", F.lit(False)).unionByName(added.withColumn("added", F.lit(True)), allowMissingColumns=True)
     by = Window.partitionBy("case_id").orderBy("event_date", "event_type", "title", "order_number")
-    return existing.withColumn("added", F.lit(False)).unionByName(added.withColumn("added", F.lit(True))).withColumn("place", F.row_number().over(by))
+    return both.withColumn("place", F.row_number().over(by))

@@ -190,7 +190,7 @@ def _sql() -> dict[str, str]:
         "checked_values": f"WITH r AS (SELECT o_orderkey, {date} AS d, (o_orderkey % 160 - 20)::DOUBLE AS c FROM orders), f AS (SELECT *, coalesce(regexp_full_match(d, '\\d{{4}}-\\d{{2}}-\\d{{2}}'), FALSE) AND try_cast(d AS DATE) IS NOT NULL AS fine FROM r) SELECT o_orderkey AS event_id, CASE WHEN NOT fine THEN 'invalid_date' END AS issue, greatest(0.0::DOUBLE, least(100.0::DOUBLE, c)) AS confidence, c < 0 OR c > 100 AS clamped, NOT fine AS requires_verification FROM f",
         "consolidation_notes": with_views("dense") + notes,
         "consolidated_events": with_views("dense") + f""", old AS (SELECT * EXCLUDE (order_number), row_number() OVER (PARTITION BY case_id ORDER BY event_date, type_rank, event_id) AS order_number FROM dense WHERE event_id % 2 = 0), most AS (SELECT case_id, max(order_number) AS m FROM old GROUP BY 1),
-            fresh AS (SELECT n.* EXCLUDE (order_number), coalesce(m, 0) + row_number() OVER (PARTITION BY n.case_id ORDER BY n.event_date, n.type_rank, n.event_id) AS order_number FROM dense n LEFT JOIN most ON most.case_id = n.case_id WHERE event_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM old o WHERE o.case_id = n.case_id AND o.event_date = n.event_date AND o.event_type = n.event_type AND {like('n', 'o')})),
+            fresh AS (SELECT n.* EXCLUDE (order_number), coalesce(m, 0) + row_number() OVER (PARTITION BY n.case_id ORDER BY n.event_date, n.event_type, n.title, n.event_id) AS order_number FROM dense n LEFT JOIN most ON most.case_id = n.case_id WHERE event_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM old o WHERE o.case_id = n.case_id AND o.event_date = n.event_date AND o.event_type = n.event_type AND {like('n', 'o')})),
             whole AS (SELECT case_id, event_id, order_number, event_date, event_type, title, FALSE AS added FROM old UNION ALL SELECT case_id, event_id, order_number, event_date, event_type, title, TRUE FROM fresh) SELECT case_id, event_id, order_number, added, row_number() OVER (PARTITION BY case_id ORDER BY event_date, event_type, title, order_number) AS place FROM whole""",
         "replaced_sections": f"""WITH {_PARTS}, k AS (SELECT *, {_section_sql('title')} AS section_id FROM secs), g AS (SELECT case_id, bool_or(section_id = 'danno_biologico') AS has, string_agg('## ' || title || chr(10) || chr(10) || CASE WHEN section_id = 'danno_biologico' THEN 'nuovo testo ' || case_id ELSE content END, chr(10) || chr(10) ORDER BY place) AS whole FROM k GROUP BY 1)
             SELECT r.case_id, md5(CASE WHEN has THEN {clean('whole')} ELSE r.synthesis || chr(10) || chr(10) || ' nuovo testo ' || r.case_id || chr(10) END) AS digest FROM reports r LEFT JOIN g USING (case_id)""",

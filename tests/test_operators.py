@@ -166,6 +166,28 @@ def test_approximate_search_finds_most_of_the_exact(spark):
     assert exact == blocked and len(exact) > 10 and len(exact & found) >= 0.9 * len(exact)
 
 
+def test_new_events_are_ordered_by_title_and_marked_before_known_ones_go(spark):
+    import datetime
+
+    from caseweave.operators.details import consolidated
+
+    kind = "case_id long, event_id long, document_id long, event_date date, event_type string, title string, description string, diagnosis string, doctor string, source_type string"
+    day = datetime.date(2024, 1, 2)
+    old = [(1, 1, 1, day, "visita", "controllo ortopedico femore", "", "frattura", "Rossi", "altro")]
+    new = [
+        (1, 10, 2, day, "visita", "zeta valutazione", "", None, None, "altro"),
+        (1, 11, 2, day, "visita", "alfa valutazione", "", "frattura", "Bianchi", "cartella_clinica"),
+        (1, 12, 3, day, "visita", "alfa valutazione", "", "distorsione", "Bianchi", "altro"),
+        (1, 13, 2, None, "esame", "esame", "", None, None, None),
+        (1, 14, 4, day, "visita", "controllo ortopedico femore", "", None, None, None),
+        (2, 15, 5, day, "visita", "altro caso", "", None, None, None),
+    ]
+    existing = spark.createDataFrame(old, kind).selectExpr("*", "7 AS order_number")
+    got = {r.event_id: r for r in consolidated(existing, spark.createDataFrame(new, kind)).collect()}
+    assert {k: (r.order_number, r.place, r.added) for k, r in got.items()} == {1: (7, 4, False), 13: (8, 1, True), 11: (9, 2, True), 12: (10, 3, True), 10: (11, 5, True), 15: (1, 1, True)}
+    assert got[11].note == got[12].note == "diagnosi discordante: cartella_clinica (100)" and got[10].note is None and got[1].note is None
+
+
 def test_inverted_file_is_written_once_and_finds_most_of_the_exact(spark, tmp_path):
     from caseweave.operators import vector, vector_index
 
