@@ -1,7 +1,7 @@
 """Links between similar texts that share a key of an index, whatever the index: each group is first linked to one of its members, what that leaves apart is looked at within tasks.
 
-Nodes are sets of shingles. Those that share a key are linked to the one of them that shares the most keys, so a family
-of near copies takes as many comparisons as it has members. Where the nodes of a key are in more than one group after
+Nodes are sets of shingles. The head of a key is the node of it that shares the most keys; every node is compared with the head that it
+shares the most keys with, so a family of near copies takes as many comparisons as it has members. Where the nodes of a key are in more than one group after
 that, the rest of their pairs is looked at in blocks of a bounded size, each pair under the first key that it shares; only links come out.
 """
 
@@ -203,8 +203,7 @@ def units(shared: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
     named = shared.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").withColumn("label", F.coalesce("label", "node"))
     named = stage(named.select("key", "node", "label").join(nodes.select("node", "n"), "node"), "named")
     load = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES))
-    # the one pair of a key of two nodes has been looked at
-    open_keys = stage(named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("c"), load.alias("blocks")).where((F.col("x") < F.col("y")) & (F.col("c") > 2)).select("key", "blocks"), "open")
+    open_keys = stage(named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), load.alias("blocks")).where(F.col("x") < F.col("y")).select("key", "blocks"), "open")
     dealt = named.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).join(nodes.select("node", "marks"), "node").select(*UNIT)
 
@@ -316,7 +315,9 @@ def groups(docs: DataFrame, nodes: DataFrame, shared: DataFrame, index: Index) -
     """
     weight = shared.groupBy("node").agg(F.sum("_n").alias("weight"))
     heads = shared.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("head")).select("key", (-F.col("head.minus")).alias("head"))
-    stars = shared.join(heads, "key").where(F.col("node") != F.col("head")).select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+    tally = shared.join(heads, "key").where(F.col("node") != F.col("head")).groupBy("node", "head").agg(F.count("*").alias("tally"))
+    best = tally.groupBy("node").agg(F.max(F.struct("tally", (-F.col("head")).alias("minus"))).alias("_b")).select("node", (-F.col("_b.minus")).alias("head"))
+    stars = best.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
     near = stage(estimated(stage(stars, "pairs"), nodes, index), "near")
     ids = stage(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
     links = stage(verified(near, shingle_sets(docs, nodes, ids, index.size), index.percent), "links")

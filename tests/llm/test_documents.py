@@ -378,8 +378,8 @@ def grouped(sets, least=0.8):
     return {root(k) for k in range(len(sets))}
 
 
-@pytest.mark.parametrize("width", [3, 4])
-def test_near_copies_of_families_around_the_threshold(spark, width):
+@pytest.mark.parametrize("bits", [24, 29])
+def test_near_copies_of_families_around_the_threshold(spark, bits):
     """Families whose copies are similar to some of the others only, against all pairs at 0.8."""
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
@@ -393,7 +393,7 @@ def test_near_copies_of_families_around_the_threshold(spark, width):
             texts.append(" ".join(edited))
     sets = [{tuple(t.split()[k : k + 5]) for k in range(116)} for t in texts]
     want = grouped(sets)
-    kept = {r.doc_id for r in near_copies.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), width=width).collect()}
+    kept = {r.doc_id for r in near_copies.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bits=bits).collect()}
     assert want <= kept and len(want) > 3 and len(kept - want) <= 0.1 * (len(texts) - len(want))
 
 
