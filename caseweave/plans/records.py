@@ -245,6 +245,9 @@ def _sql() -> dict[str, str]:
         "reclassified": with_views("case_documents") + "SELECT d.document_id, CASE WHEN d.part % 2 = 0 AND a.part % 5 <> 0 AND a.part % 100 >= 50 THEN 'lettera' WHEN d.part % 2 = 0 THEN 'altro' ELSE 'referto' END AS kind FROM case_documents d LEFT JOIN case_documents a ON a.document_id = d.document_id AND a.part % 3 <> 0",
         "first_images": "SELECT p_partkey % 300 AS page, min(p_partkey) FILTER (WHERE p_partkey % 300 % 4 <> 0) AS image FROM part GROUP BY 1",
         "abbreviations": "SELECT lower(p_brand) AS key, arg_min(CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE p_brand END, p_partkey) AS short FROM part GROUP BY 1",
+        "anomaly_context": """WITH RECURSIVE p AS (SELECT doc_id // 10 AS key, doc_id // 20 AS d, doc_id AS n, coalesce(text, '') AS t FROM documents), o AS (SELECT *, chr(10) || '--- Pagina ' || d || ':' || n || ' ---' || chr(10) AS h, row_number() OVER (PARTITION BY key ORDER BY d, n, t) AS k FROM p),
+            c AS (SELECT key, k, h || substring(t, 1, 5000) AS all_ FROM o WHERE k = 1 UNION ALL SELECT o.key, o.k, CASE WHEN length(all_) >= 5000 THEN all_ ELSE all_ || h || substring(t, 1, 5000 - length(all_)) END FROM c JOIN o ON o.key = c.key AND o.k = c.k + 1)
+            SELECT key, length(trim(all_)) AS length, md5(trim(all_)) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY k DESC) AS l FROM c) WHERE l = 1""",
         "extracted_events": f"{first} UNION ALL {second} UNION ALL {third}",
         "grounding_flags": f"""WITH q AS (SELECT doc_id, {low} AS t, CASE doc_id % 4 WHEN 0 THEN substring(text, 11, 100) WHEN 1 THEN replace(substring(text, 1, 50), ' ', '  ') WHEN 2 THEN 'breve' ELSE 'una frase che non sta nel testo' END AS quote, doc_id % 3 = 0 AS c FROM documents), s AS (SELECT *, trim(regexp_replace(lower(substring(quote, 1, 60)), '\\s+', ' ', 'g')) AS b FROM q),
             f AS (SELECT doc_id, c, CASE WHEN length(quote) < 10 THEN 'short' WHEN length(b) >= 10 AND NOT contains(t, b) THEN 'absent' ELSE 'fine' END AS f FROM s) SELECT doc_id, 0 AS quote_id, CASE WHEN f <> 'fine' AND c THEN 'critical_' || f ELSE f END AS flag FROM f""",

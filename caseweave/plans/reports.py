@@ -14,7 +14,7 @@ from caseweave.sources.views import _list, read
 
 def _drafts(spark, sf_dir):
     """Two model texts for each document: with marks, with a heading, or plain."""
-    d = read(spark, sf_dir, "documents").where(F.length("text") > 400).select("doc_id", F.translate("text", "\n\r\t", "   ").alias("t"))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.translate(F.coalesce("text", F.lit("")), "\n\r\t", "   ").alias("t"))
     third = F.floor(F.length("t") / 3).cast("int")
     a, b, c = (F.trim(F.substring("t", third * k + 1, third if k < 2 else F.length("t"))) for k in range(3))
     k = F.col("doc_id") % 3
@@ -62,10 +62,12 @@ def vector_inverted(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (assembled_reports, numbered_reports, named_parts, rendered_reports, guideline_ingest, vector_approximate, vector_inverted)}
 ORACLE_SQL = {
-    "assembled_reports": """WITH d AS (SELECT doc_id, translate(text, chr(10) || chr(13) || chr(9), '   ') AS t FROM documents WHERE length(text) > 400), p AS (SELECT doc_id, trim(substring(t, 1, length(t) // 3)) AS a, trim(substring(t, length(t) // 3 + 1, length(t) // 3)) AS b, trim(substring(t, length(t) // 3 * 2 + 1)) AS c FROM d)
-        SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 AND length(a) > 50 AND length(b) > 50 AND length(c) > 50 THEN a || chr(10) || chr(10) || c || chr(10) || chr(10) || b
-            WHEN doc_id % 3 = 1 AND length(a) > 100 THEN a || chr(10) || chr(10) || c || chr(10) || chr(10) || '## Elementi di rilievo' || chr(10) || b WHEN doc_id % 3 = 1 THEN a || chr(10) || '## Elementi di rilievo' || chr(10) || b || chr(10) || chr(10) || c
-            ELSE a || ' ' || b || chr(10) || chr(10) || c END) AS digest FROM p""",
+    "assembled_reports": """WITH d AS (SELECT doc_id, translate(coalesce(text, ''), chr(10) || chr(13) || chr(9), '   ') AS t FROM documents), p AS (SELECT doc_id, trim(substring(t, 1, length(t) // 3)) AS a, trim(substring(t, length(t) // 3 + 1, length(t) // 3)) AS b, trim(substring(t, length(t) // 3 * 2 + 1)) AS c FROM d),
+        h AS (SELECT *, chr(10) AS n, chr(10) || chr(10) AS nn, '## Elementi di rilievo' || chr(10) || b AS e FROM p)
+        SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 AND length(a) > 50 AND length(b) > 50 AND length(c) > 50 THEN a || nn || c || nn || b
+            WHEN doc_id % 3 = 0 THEN '<!-- SECTION:RIASSUNTO -->' || n || a || n || '<!-- END:RIASSUNTO -->' || n || '<!-- SECTION:ELEMENTI -->' || n || b || n || '<!-- END:ELEMENTI -->' || nn || '<!-- SECTION:CRONOLOGIA -->' || n || c || n || '<!-- END:CRONOLOGIA -->'
+            WHEN doc_id % 3 = 1 AND length(a) > 100 AND length(trim(e, ' ' || n)) > 100 THEN a || nn || c || nn || e WHEN doc_id % 3 = 1 THEN trim(a || n || e, ' ' || n) || nn || c
+            ELSE trim(a || ' ' || b) || nn || c END) AS digest FROM h""",
     "numbered_reports": f"""WITH c AS (SELECT DISTINCT conv_id AS case_id, turn, list_extract({_list(HEADINGS)}, CAST((turn // 2) % 5 AS INTEGER) + 1) AS title FROM conversations WHERE role = 'assistant' AND turn % 4 <> 3), n AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY turn) AS n FROM c)
         SELECT case_id, '# Indice' || chr(10) || chr(10) || string_agg(n || '. ' || title, chr(10) ORDER BY n) || chr(10) || chr(10) || string_agg('## ' || n || '. ' || title || chr(10) || chr(10) || 'testo ' || turn, chr(10) || chr(10) ORDER BY n) AS report FROM n GROUP BY case_id""",
     "named_parts": f"WITH {REPORTS} SELECT * FROM (SELECT case_id, trim(regexp_extract(string_split(chr(10) || synthesis, chr(10) || '## Danno biologico' || chr(10))[2], '(?s)^(.*?)(?:\\n## |$)', 1)) AS part FROM reports WHERE contains(synthesis, '## Danno biologico')) WHERE part <> ''",

@@ -250,5 +250,12 @@ ORACLE_SQL = {
         w AS (SELECT user_id, k, t AS opened, 1::BIGINT AS used, 1::BIGINT AS allowed, 0::BIGINT AS refused FROM r WHERE k = 1 UNION ALL SELECT user_id, k, CASE WHEN fresh THEN t ELSE opened END, CASE WHEN fresh THEN 1 ELSE used END, allowed + CASE WHEN fresh THEN 1 ELSE 0 END, refused + CASE WHEN fresh THEN 0 ELSE 1 END
             FROM (SELECT w.user_id, r.k, r.t, opened, used, allowed, refused, r.t - opened >= 7200000000 AS fresh FROM w JOIN r ON r.user_id = w.user_id AND r.k = w.k + 1))
         SELECT user_id, allowed, refused FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k DESC) AS l FROM w) WHERE l = 1""",
+    "greedy_spans": f"""{f"WITH {SPANS}".replace("WITH", "WITH RECURSIVE", 1)}, o AS (SELECT doc_id, s, e, row_number() OVER (PARTITION BY doc_id ORDER BY s, e DESC) AS k FROM spans),
+        g AS (SELECT doc_id, k, e AS last, 1::BIGINT AS kept, CAST(e - s AS BIGINT) AS length FROM o WHERE k = 1 UNION ALL
+            SELECT g.doc_id, o.k, CASE WHEN o.s >= last THEN o.e ELSE last END, kept + CASE WHEN o.s >= last THEN 1 ELSE 0 END, length + CASE WHEN o.s >= last THEN o.e - o.s ELSE 0 END FROM g JOIN o ON o.doc_id = g.doc_id AND o.k = g.k + 1)
+        SELECT doc_id, kept, length FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) AS l FROM g) WHERE l = 1""",
+    "subject_access": with_views("cases", "profiles") + """, c AS (SELECT user_id, updated_on AS day, '{"case_id":' || case_id || coalesce(',"status":"' || status || '"', '') || '}' AS r, '{"case_id":' || case_id || '}' AS q FROM cases), listed AS (SELECT user_id, string_agg(r, ',' ORDER BY day DESC, r DESC) AS cases FROM c GROUP BY user_id),
+        last AS (SELECT user_id, string_agg(q, ',' ORDER BY day DESC, q DESC) AS audit FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day DESC, q DESC) AS k FROM c) WHERE k <= 500 GROUP BY user_id)
+        SELECT p.user_id, '{"profile":{' || coalesce('"plan":"' || plan || '"', '') || '},"cases":[' || coalesce(cases, '') || '],"audit":[' || coalesce(audit, '') || ']}' AS json FROM profiles p LEFT JOIN listed USING (user_id) LEFT JOIN last USING (user_id)""",
     "subscription_state": "SELECT user_id, arg_max(status, (ts, event_id)) AS status FROM (SELECT *, CASE CAST(event_id % 5 AS INTEGER) WHEN 0 THEN 'active' WHEN 1 THEN 'active' WHEN 2 THEN 'canceled' WHEN 3 THEN 'past_due' END AS status FROM events) WHERE status IS NOT NULL GROUP BY user_id",
 }
