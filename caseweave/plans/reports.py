@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from caseweave.operators import reports, vector_index
 from caseweave.plans.texts import HEADINGS, REPORTS
 from caseweave.plans.texts import reports as built
-from caseweave.sources import views
+from caseweave.sources import batches, views
 from caseweave.sources.shared import fresh_folder
 from caseweave.sources.views import _list, read
 
@@ -46,6 +46,13 @@ def guideline_ingest(spark, sf_dir):
     return reports.ingested(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def guideline_store(spark, sf_dir):
+    """The same, inserted into a store in batches of 50 and read back."""
+    rows, folder = guideline_ingest(spark, sf_dir), fresh_folder(spark, "guidelines")
+    batches.insert(rows, folder)
+    return batches.inserted(spark, folder, rows.schema)
+
+
 def vector_approximate(spark, sf_dir):
     chunks = read(spark, sf_dir, "embeddings")
     queries = chunks.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
@@ -60,7 +67,7 @@ def vector_inverted(spark, sf_dir):
     return vector_index.search(spark, folder, queries, chunks, "vec_id", "embedding")
 
 
-QUERIES = {f.__name__: f for f in (assembled_reports, numbered_reports, named_parts, rendered_reports, guideline_ingest, vector_approximate, vector_inverted)}
+QUERIES = {f.__name__: f for f in (assembled_reports, numbered_reports, named_parts, rendered_reports, guideline_ingest, guideline_store, vector_approximate, vector_inverted)}
 ORACLE_SQL = {
     "assembled_reports": """WITH d AS (SELECT doc_id, translate(coalesce(text, ''), chr(10) || chr(13) || chr(9), '   ') AS t FROM documents), p AS (SELECT doc_id, trim(substring(t, 1, length(t) // 3)) AS a, trim(substring(t, length(t) // 3 + 1, length(t) // 3)) AS b, trim(substring(t, length(t) // 3 * 2 + 1)) AS c FROM d),
         h AS (SELECT *, chr(10) AS n, chr(10) || chr(10) AS nn, '## Elementi di rilievo' || chr(10) || b AS e FROM p)
