@@ -81,6 +81,17 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents")).select(*names)
 
 
+def page_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as ordered texts and media: the document of a page's number stands below its title as a figure, referred to by digest and joined from the store."""
+    store = media.store_texts(table(spark, sf_dir, "documents"))
+    owned = store.groupBy(F.col("doc_id").alias("page_id")).agg(F.min("digest").alias("_d"))
+    figure = F.concat(F.lit('</h1><figure><img src="sha256:'), "_d", F.lit('" alt="scan"><figcaption>Document '), F.col("page_id").cast("string"), F.lit("</figcaption></figure>"))
+    pages = table(spark, sf_dir, "pages").join(owned, "page_id", "left")
+    html = F.when(F.col("_d").isNotNull(), F.replace(F.col("html"), F.lit("</h1>"), figure)).otherwise(F.col("html"))
+    found = media.resolve(media.interleave(pages.select("page_id", html.alias("html"))), media.store_facts(store), pages.count())
+    return found.select("page_id", "position", "kind", "text", "ref", "caption", "payload_bytes", "payload_sha256", "feature")
+
+
 def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The components of all documents whose sets of three-word shingles are 0.85 or more similar."""
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), 3, 85)
@@ -97,7 +108,7 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), 16)
 
 
-QUERIES = {"op1_html_extraction": op1_html_extraction, "op2_token_counts": op2_token_counts, "op3_decontamination": op3_decontamination, "op4_substring_dedup": op4_substring_dedup, "op5_url_filter": op5_url_filter, "op6_best_fit_packing": op6_best_fit_packing, "op7_language_id": op7_language_id, "op8_simhash_near_dedup": op8_simhash_near_dedup, "op9_token_files": op9_token_files, "op10_media_columns": op10_media_columns, "op11_minhash_near_dedup": op11_minhash_near_dedup, "op12_conversation_repair": op12_conversation_repair, "op13_embedding_whitening": op13_embedding_whitening}
+QUERIES = {"op1_html_extraction": op1_html_extraction, "op2_token_counts": op2_token_counts, "op3_decontamination": op3_decontamination, "op4_substring_dedup": op4_substring_dedup, "op5_url_filter": op5_url_filter, "op6_best_fit_packing": op6_best_fit_packing, "op7_language_id": op7_language_id, "op8_simhash_near_dedup": op8_simhash_near_dedup, "op9_token_files": op9_token_files, "op10_media_columns": op10_media_columns, "page_media": page_media, "op11_minhash_near_dedup": op11_minhash_near_dedup, "op12_conversation_repair": op12_conversation_repair, "op13_embedding_whitening": op13_embedding_whitening}
 
 #: Words, windows of 20 of them, those that also start earlier, and what is left of each document.
 REPEATS_SQL = """WITH split AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents),

@@ -340,6 +340,22 @@ def test_components_of_chains_hubs_and_random_edges(spark):
     assert {(r.node, r.label) for r in again} == {(r.node, r.label) for r in found}
 
 
+def test_page_media_by_brute_force(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    want = set()
+    for p in pages:
+        html, payload = p.html, media.padded(texts[p.page_id]) if p.page_id in texts else None
+        if payload is not None:
+            digest = hashlib.sha256(payload).hexdigest()
+            html = html.replace("</h1>", f'</h1><figure><img src="sha256:{digest}" alt="scan"><figcaption>Document {p.page_id}</figcaption></figure>')
+        for e in media.page_elements(html):
+            known = e["kind"] == "media" and (e["ref"] or "").startswith("sha256:")
+            want.add((p.page_id, e["position"], e["kind"], e["text"], e["ref"], e["caption"], *((len(payload), digest, media.feature(payload)) if known else (None, None, None))))
+    got = [tuple(r) for r in queries.page_media(spark, SF).collect()]
+    assert set(got) == want and len(got) == len(want) and sum(r[7] is not None for r in got) >= 20
+
+
 def test_near_copies_of_planted_groups(spark):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
