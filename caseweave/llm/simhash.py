@@ -84,8 +84,9 @@ def links(nodes: DataFrame, radius: int = 4, most: int = 4096, width: int | None
 
     nodes: distinct fingerprints (fp). Two that differ in 4 bits share at least 4 of their 8 bytes at the same
     positions, so they meet under one of 20 triples of positional bytes, or of 70 sets of four (`width`; four from
-    eight million fingerprints on, so that keys stay few-membered). The pairs that meet are tallied by shared
-    positional bytes, kept from 8 - radius on, and verified by their differing bits. Fingerprints under a
+    eight million fingerprints on, so that keys stay few-membered): these sets stand for the count, as lists of single bytes
+    would pair a 32nd of all fingerprints with each. For pairs that meet, the shared positional bytes are counted, pairs kept from 8 - radius on, and verified by
+    their differing bits, which imply the count. Fingerprints under a
     key with more than `most` go another exact way, linear in their number: two of them are linked through the
     values within 2 bits of both.
     """

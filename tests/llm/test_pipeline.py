@@ -56,6 +56,9 @@ CONTRACT = {
     "op8_": "doc_id:bigint fingerprint:string component_id:bigint",
     "op9_": "doc_id:bigint start:bigint n_tokens:bigint ids_crc32:bigint",
     "op10_": "doc_id:bigint n_bytes:bigint payload_bytes:bigint payload_sha256:string tail_crc32:bigint media_bytes:bigint media_sha256:string feature:string",
+    "op11_": "doc_id:bigint n_shingles:bigint component_id:bigint kept:boolean",
+    "op12_": "conv_id:bigint gaps:bigint blank:bigint duplicate:bigint truncated:bigint illegal:bigint cost:bigint audit:string repaired_sha256:string",
+    "op13_": "vec_id:bigint component:int n:bigint deviation:bigint whitened:double explained:double identity_error:double",
 }
 
 
@@ -68,5 +71,9 @@ def test_queries_return_the_columns_asked_for(spark, prefix):
         field, kind = column.split(":")
         assert kinds[field] == kind
     table = "pages" if prefix in ("op1_", "op5_") else "documents"
-    if prefix != "op6_":
+    if prefix == "op12_":
+        assert df.count() == spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id").distinct().count()
+    elif prefix == "op13_":
+        assert df.count() == 16 * spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    elif prefix != "op6_":
         assert df.count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
