@@ -7,8 +7,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caseweave.sources.files import blobs
 from caseweave.sources.shared import fresh_folder
-from caseweave.sources.views import read
+from caseweave.sources.views import _list, pick, read
 from caseweave.streaming import gates, ledger, limits
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -69,11 +70,27 @@ def sliding_outcomes(spark, sf_dir):
     return finished(limits.sliding_stream(stream(spark, sf_dir, "events"), 86400, 3), "sliding")
 
 
-QUERIES = {f.__name__: f for f in (gate_outcomes, case_runs, sliding_outcomes)}
+STAGES = ["completato", "idle", "elaborazione", "revisione_anomalie", "errore"]
+
+
+def failure_stages(spark, sf_dir):
+    """Customers by the stage of their case after its run has failed."""
+    stage = gates.final_status(pick(STAGES, F.col("c_custkey")), F.lit("errore"))
+    return read(spark, sf_dir, "customer").groupBy(stage.alias("stage")).agg(F.count("*").alias("n"))
+
+
+def stored_blobs(spark, sf_dir):
+    """The files of a table as blobs: how many bytes each has, and that they are what is stored."""
+    found = blobs(spark, f"{sf_dir}/part.parquet")
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", (F.octet_length("content") == F.col("length")).alias("whole"), F.md5("content").alias("digest"))
+
+
+QUERIES = {f.__name__: f for f in (gate_outcomes, case_runs, sliding_outcomes, failure_stages, stored_blobs)}
 ORACLE_SQL = {
     "gate_outcomes": """WITH e AS (SELECT user_id, ts, event_type FROM events WHERE event_type IN ('error', 'purchase')), mark AS (SELECT max(epoch_us(ts)) // 1000 * 1000 - 86400000000 AS m FROM e),
         g AS (SELECT a.user_id AS case_id, a.ts AS requested, min(b.ts) AS confirmed FROM e a LEFT JOIN e b ON b.user_id = a.user_id AND b.event_type = 'purchase' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 7 DAY WHERE a.event_type = 'error' GROUP BY a.user_id, a.ts)
         SELECT case_id, requested, confirmed FROM g, mark WHERE epoch_us(coalesce(confirmed, requested + INTERVAL 7 DAY)) < m""",
+    "failure_stages": f"SELECT CASE WHEN s IN ('idle', 'completato') THEN s ELSE 'errore' END AS stage, count(*) AS n FROM (SELECT list_extract({_list(STAGES)}, CAST(c_custkey % 5 AS INTEGER) + 1) AS s FROM customer) GROUP BY 1",
     "sliding_outcomes": """WITH mark AS (SELECT max(epoch_us(ts)) // 1000 * 1000 - 60000000 AS m FROM events), t AS (SELECT user_id, ts, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS recent FROM events)
         SELECT user_id, ts, recent, recent <= 3 AS allowed FROM t, mark WHERE epoch_us(ts) < m""",
     "case_runs": """WITH runs AS (SELECT user_id AS case_id, max(ts) AS run FROM events WHERE event_type = 'signup' GROUP BY user_id),
