@@ -72,6 +72,12 @@ def section_context(t: DataFrame, most: int = 30) -> DataFrame:
     return joined.select("case_id", "events", F.concat("lines", rest).alias("context"))
 
 
+def report_excerpt(text: Column, most: int = 4000) -> Column:
+    """What a rewrite sees of the whole report: its first `most` characters, and a mark if it goes on. The limit is the feature's."""
+    held = F.coalesce(text, F.lit(""))
+    return F.concat(F.substring(held, 1, most), F.when(F.length(held) > most, "\n...(troncato)").otherwise(""))
+
+
 def question_lines(t: DataFrame) -> DataFrame:
     """case_id and a line for each event in order: number, date, type, title, the first 200 characters of the description and the diagnosis."""
     diagnosis = F.when(F.coalesce(F.col("diagnosis"), F.lit("")) != "", F.concat(F.lit(" | Diagnosi: "), "diagnosis")).otherwise("")

@@ -189,3 +189,11 @@ def gravest(found: DataFrame, most: int = 10) -> DataFrame:
     """Of each case the `most` gravest findings, earlier events first among equals, with their rank."""
     by = Window.partitionBy("case_id").orderBy(severity_rank(F.col("severity")), "order_a", "anomaly_type", "order_b", "days")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= most)
+
+
+def surgeries_without_consent(t: DataFrame, most: int = 3) -> DataFrame:
+    """case_id, surgeries and listed (the numbers of the first `most`, in order) of cases with surgery and no consent: what the finding of a missing consent tells."""
+    surgery = t.where(F.col("event_type") == "intervento")
+    counted = t.groupBy("case_id").agg(F.count_if(F.col("event_type") == "consenso").alias("_c"), F.count_if(F.col("event_type") == "intervento").alias("surgeries")).where((F.col("_c") == 0) & (F.col("surgeries") > 0))
+    first = surgery.withColumn("_k", F.row_number().over(in_order())).where(F.col("_k") <= most).groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("order_number")), lambda n: n.cast("string")), ",").alias("listed"))
+    return counted.join(first, "case_id").select("case_id", "surgeries", "listed")

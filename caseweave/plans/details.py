@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from caseweave import packs
-from caseweave.operators import details, texts, timeline
+from caseweave.operators import details, rules, texts, timeline
 from caseweave.plans.texts import _PARTS, REPORTS, _section_sql
 from caseweave.plans.texts import reports as built
 from caseweave.sources import files, views
@@ -58,6 +58,15 @@ def section_contexts(spark, sf_dir):
     return details.section_context(views.timeline_dense(spark, sf_dir))
 
 
+def report_excerpts(spark, sf_dir):
+    r = built(spark, sf_dir)
+    return r.select("case_id", F.md5(details.report_excerpt(F.col("synthesis")).cast("binary")).alias("digest"))
+
+
+def surgeries_without_consent(spark, sf_dir):
+    return rules.surgeries_without_consent(views.timeline_sparse(spark, sf_dir))
+
+
 def question_contexts(spark, sf_dir):
     return details.question_lines(views.timeline_sparse(spark, sf_dir))
 
@@ -143,7 +152,7 @@ def ocr_pages(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    shown_events, fresh_uploads, similar_turns, image_placeholders, classifier_inputs, section_contexts, question_contexts, case_progress, provisional_numbers, single_reports, combined_sections,
+    shown_events, fresh_uploads, similar_turns, image_placeholders, classifier_inputs, section_contexts, report_excerpts, surgeries_without_consent, question_contexts, case_progress, provisional_numbers, single_reports, combined_sections,
     report_numbers, checked_values, consolidation_notes, consolidated_events, replaced_sections, ocr_pages,
 )}
 
@@ -178,6 +187,8 @@ def _sql() -> dict[str, str]:
         "image_placeholders": f"WITH t AS (SELECT p_partkey AS case_id, {told} AS text FROM part), x AS (SELECT case_id, unnest(regexp_extract_all(text, '\\(ocr-image:([^)]+)\\)', 1)) AS p, generate_subscripts(regexp_extract_all(text, '\\(ocr-image:([^)]+)\\)', 1), 1) AS k FROM t), f AS (SELECT case_id, p, min(k) AS k FROM x GROUP BY 1, 2), g AS (SELECT case_id, string_agg(p, ',' ORDER BY k) AS paths FROM f GROUP BY 1) SELECT t.case_id, coalesce(paths, '') AS paths, regexp_replace(text, '!\\[([^\\]]*)\\]\\(ocr-image:([^/)]+)/pagina ([^)]+)\\)', '![\\1](/api/cases/' || t.case_id || '/images?path=\\2%2Fpagina%20\\3)', 'g') AS shown FROM t LEFT JOIN g USING (case_id)",
         "classifier_inputs": "SELECT doc_id, md5('Nome file: ' || substring('atto ' || source || '.pdf', 1, 100) || chr(10) || chr(10) || 'Testo documento (prime ' || length(substring(coalesce(text, ''), 1, 3000)) || ' caratteri):' || chr(10) || substring(coalesce(text, ''), 1, 3000)) AS digest FROM documents",
         "section_contexts": with_views("dense") + ", r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY order_number) AS k, count(*) OVER (PARTITION BY case_id) AS n FROM dense) SELECT case_id, n AS events, string_agg(strftime(event_date, '%d/%m/%Y') || ' | ' || event_type || ': ' || title || ' — ' || substring(description, 1, CASE WHEN n > 30 THEN 200 ELSE 300 END), chr(10) ORDER BY k) || CASE WHEN n > 30 THEN chr(10) || '... (' || (n - 30) || ' altri eventi)' ELSE '' END AS context FROM r WHERE k <= 30 GROUP BY 1, 2",
+        "report_excerpts": f"WITH {REPORTS} SELECT case_id, md5(substring(synthesis, 1, 4000) || CASE WHEN length(synthesis) > 4000 THEN chr(10) || '...(troncato)' ELSE '' END) AS digest FROM reports",
+        "surgeries_without_consent": with_views("sparse") + "SELECT case_id, count(*) AS surgeries, array_to_string(list_sort(list(order_number))[1:3], ',') AS listed FROM sparse WHERE event_type = 'intervento' AND case_id NOT IN (SELECT case_id FROM sparse WHERE event_type = 'consenso') GROUP BY case_id",
         "question_contexts": with_views("sparse") + "SELECT case_id, string_agg('#' || order_number || ' ' || strftime(event_date, '%Y-%m-%d') || ' [' || event_type || '] ' || title || ': ' || substring(description, 1, 200) || coalesce(' | Diagnosi: ' || diagnosis, ''), chr(10) ORDER BY order_number) AS lines FROM sparse GROUP BY case_id",
         "case_progress": with_views("case_documents") + f"SELECT case_id, min(updated_on) FILTER (WHERE status <> 'in_coda') AS started, CAST(min(list_position({_list(STEPS)}, status) - 1) AS BIGINT) AS step FROM case_documents GROUP BY case_id",
         "provisional_numbers": with_views("case_documents") + "SELECT document_id, CAST(c * 1000 + k + 1 AS BIGINT) AS number FROM case_documents, LATERAL unnest(generate_series(0, CAST(ceil(pages / 10.0) AS BIGINT) - 1)) u(c), (VALUES (0), (1), (2)) v(k) WHERE pages > 0",
