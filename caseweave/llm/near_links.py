@@ -16,6 +16,8 @@ from caseweave.llm.simhash import components
 
 #: Nodes and bytes of shingles in a block.
 BLOCK, BLOCK_BYTES = 1024, 32 << 20
+#: Rows that are posted, or unpacked, at a time.
+POSTED = 512
 #: Seeds the names of shingles of fewer words (fixed value).
 SHORT_STEP = 0xC2B2AE3D27D4EB4F
 
@@ -86,8 +88,8 @@ def posted(nodes: DataFrame, index: Index) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, POSTED):
+                part = batch.slice(at, POSTED)
                 keys, some = index.keys(index.matrix(part.column("marks").to_pylist()))
                 ids = np.broadcast_to(part.column("node").to_numpy()[:, None], keys.shape)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(ids[some])], names=["key", "node"])
@@ -189,7 +191,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            good = [bool(linked(np.frombuffer(x, np.uint64), [np.frombuffer(y, np.uint64)], percent)[0]) for x, y in zip(batch.column("a_hashes").to_pylist(), batch.column("b_hashes").to_pylist(), strict=True)]
+            sets = (map(lambda x: np.frombuffer(x.as_buffer(), np.uint64), batch.column(c)) for c in ("a_hashes", "b_hashes"))  # no copies
+            good = [bool(linked(x, [y], percent)[0]) for x, y in zip(*sets, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return _both(pairs, sets, "hashes").mapInArrow(verify, "a long, b long")
@@ -209,7 +212,7 @@ def units(shared: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 #: Pairs of nodes that are looked at together.
-PAIRS = 1 << 16
+PAIRS = 1 << 14
 
 
 def by_unit(dealt: DataFrame, work, schema: str, *more: str) -> DataFrame:
@@ -219,7 +222,7 @@ def by_unit(dealt: DataFrame, work, schema: str, *more: str) -> DataFrame:
     def every(batches):
         held, starts, pairs, unit = [], [], 0, None
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for a in range(0, batch.num_rows, POSTED) for r in batch.slice(a, POSTED).to_pylist()):
                 own = row["key"], row["low"], row["high"]
                 if own != unit:
                     if pairs > PAIRS:
