@@ -13,13 +13,13 @@ from caseweave.sources.views import read, with_views
 
 
 def stored_upserts(spark, sf_dir):
-    """Low values of users' events as a stored table, in which high ones are put, marked ones patched and those of errors deleted: four versions."""
+    """Low values of users' events as a stored table, in which high ones are put, those of users with a high view patched and those of users with a high error deleted: four versions."""
     e = read(spark, sf_dir, "events").select("user_id", "event_type", "value")
     table = VersionedTable(spark, fresh_folder(spark, "stored"), "user_id", 16)
     table.create(e.where(F.col("value") < 20).groupBy("user_id", "event_type").agg(F.min("value").alias("value")))
     table.upsert(e.where(F.col("value") >= 20), ["user_id", "event_type"])
-    table.patch(table.read().where(F.col("event_type") == "view").groupBy("user_id").agg(F.lit(-1.0).alias("value")), "user_id")
-    table.delete(table.read().where(F.col("event_type") == "error").select("user_id"), "user_id")
+    table.patch(table.read().where((F.col("event_type") == "view") & (F.col("value") > 150)).groupBy("user_id").agg(F.lit(-1.0).alias("value")), "user_id")
+    table.delete(table.read().where((F.col("event_type") == "error") & (F.col("value") > 150)).select("user_id"), "user_id")
     return table.read()
 
 
@@ -76,8 +76,9 @@ def _contract_sql() -> str:
 
 QUERIES = {f.__name__: f for f in (stored_upserts, reprocessed_documents, contract_report, label_sets)}
 ORACLE_SQL = {
-    "stored_upserts": """WITH e AS (SELECT user_id, event_type, CASE WHEN value >= 20 THEN 1 ELSE 0 END AS new, value FROM events), u AS (SELECT user_id, event_type, CASE WHEN max(new) = 1 THEN max(value) ELSE min(value) END AS value FROM e GROUP BY user_id, event_type)
-        SELECT user_id, event_type, CASE WHEN user_id IN (SELECT user_id FROM u WHERE event_type = 'view') THEN -1.0::DOUBLE ELSE value END AS value FROM u WHERE user_id NOT IN (SELECT user_id FROM u WHERE event_type = 'error')""",
+    "stored_upserts": """WITH e AS (SELECT user_id, event_type, CASE WHEN value >= 20 THEN 1 ELSE 0 END AS new, value FROM events), u AS (SELECT user_id, event_type, CASE WHEN max(new) = 1 THEN max(value) ELSE min(value) END AS value FROM e GROUP BY user_id, event_type),
+        p AS (SELECT user_id, event_type, CASE WHEN user_id IN (SELECT user_id FROM u WHERE event_type = 'view' AND value > 150) THEN -1.0::DOUBLE ELSE value END AS value FROM u)
+        SELECT * FROM p WHERE user_id NOT IN (SELECT user_id FROM p WHERE event_type = 'error' AND value > 150)""",
     "reprocessed_documents": with_views("cases", "case_documents") + """, b AS (SELECT case_id FROM cases WHERE status = 'bozza') SELECT case_id, document_id, CASE WHEN case_id IN (SELECT case_id FROM b) THEN 'rielaborato' ELSE status END AS status, CAST(pages AS DOUBLE) AS pages
         FROM case_documents WHERE case_id NOT IN (SELECT case_id FROM b) OR pages > 10""",
     "contract_report": _contract_sql(),
