@@ -23,10 +23,11 @@ def duration(seconds: Column) -> Column:
     return F.when(whole < 60, F.concat(whole.cast("string"), F.lit("s"))).otherwise(F.concat(F.floor(whole / 60).cast("string"), F.lit("m "), (whole % 60).cast("string"), F.lit("s")))
 
 
-def time_ago(at: Column, now: Column) -> Column:
-    """How long ago, in the largest whole unit of seconds, minutes, hours or days."""
-    s = F.unix_seconds(now) - F.unix_seconds(at)
-    text = F.when(s < 60, F.concat(s.cast("string"), F.lit("s"))).when(s < 3600, F.concat(F.floor(s / 60).cast("string"), F.lit("m"))).when(s < 86400, F.concat(F.floor(s / 3600).cast("string"), F.lit("h"))).otherwise(F.concat(F.floor(s / 86400).cast("string"), F.lit("g")))
+def time_ago(seconds: Column) -> Column:
+    """How long ago a number of whole seconds is, in the largest whole unit of seconds, minutes, hours or days; it may be longer than timestamps reach back."""
+    s = seconds.cast("long")
+    whole = lambda unit, name: F.concat(F.call_function("div", s, F.lit(unit)).cast("string"), F.lit(name))
+    text = F.when(s < 60, F.concat(s.cast("string"), F.lit("s"))).when(s < 3600, whole(60, "m")).when(s < 86400, whole(3600, "h")).otherwise(whole(86400, "g"))
     return F.concat(text, F.lit(" fa"))
 
 
