@@ -4,6 +4,8 @@ import duckdb
 from pyspark.sql import functions as F
 
 from caseweave.plans import registry
+from caseweave.plans.streams import rocks
+from caseweave.streaming import limits
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,3 +24,22 @@ def test_formats_with_keys_of_large_tables(spark, tmp_path):
     names = [d[0] for d in found.description]
     want = sorted(tuple(row[names.index(c)] for c in sorted(names)) for row in found.fetchall())
     assert rows_of(registry.QUERIES["formats"](spark, str(tmp_path))) == want
+
+
+def held_rows(spark, tmp_path, found, given):
+    """The rows of state after one batch of `given`, and what came out."""
+    given.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    with rocks(spark):
+        q = found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    return sum(x["numRowsTotal"] for x in q.lastProgress["stateOperators"]), spark.read.schema(found.schema).parquet(str(tmp_path / "out"))
+
+
+def test_sliding_state_is_a_value_and_a_timer_for_many_requests(spark, tmp_path):
+    given = spark.range(400).select(F.lit(7).cast("long").alias("user_id"), F.timestamp_seconds(F.col("id") * 10 + 1_700_000_000).alias("ts"))
+    given.limit(0).coalesce(1).write.parquet(str(tmp_path / "in"))
+    found = limits.sliding_stream(spark.readStream.schema(given.schema).parquet(str(tmp_path / "in")), 6000, 3)
+    n, out = held_rows(spark, tmp_path, found, given)
+    assert n <= 3
+    last = given.agg(F.max("ts")).first()[0].timestamp() - 60
+    assert rows_of(out) == [r for r in rows_of(limits.sliding(given, 6000, 3)) if r[2].timestamp() < last]
