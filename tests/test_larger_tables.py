@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from caseweave.plans import registry
 from caseweave.plans.streams import rocks
-from caseweave.streaming import limits
+from caseweave.streaming import gates, limits
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +43,13 @@ def test_sliding_state_is_a_value_and_a_timer_for_many_requests(spark, tmp_path)
     assert n <= 3
     last = given.agg(F.max("ts")).first()[0].timestamp() - 60
     assert rows_of(out) == [r for r in rows_of(limits.sliding(given, 6000, 3)) if r[2].timestamp() < last]
+
+
+def test_gate_state_is_a_value_and_a_timer_for_many_requests(spark, tmp_path):
+    given = spark.range(400).select(F.lit(7).cast("long").alias("case_id"), F.timestamp_seconds(F.col("id") * 600 + 1_700_000_000).alias("at"), (F.col("id") % 50 == 49).alias("answer"))
+    given.limit(0).coalesce(1).write.parquet(str(tmp_path / "in"))
+    split = lambda d: (d.where("NOT answer").select("case_id", F.col("at").alias("requested")), d.where("answer").select("case_id", F.col("at").alias("confirmed")))
+    n, out = held_rows(spark, tmp_path, gates.gate_stream(*split(spark.readStream.schema(given.schema).parquet(str(tmp_path / "in")))), given)
+    assert n <= 3
+    last = given.agg(F.max("at")).first()[0].timestamp() - 86400
+    assert rows_of(out) == [r for r in rows_of(gates.gate(*split(given))) if r[1] and r[1].timestamp() < last]
