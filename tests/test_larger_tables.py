@@ -1,8 +1,10 @@
 """Queries on tables larger than those given: high keys, many and large groups."""
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
+from caseweave.operators import vector
 from caseweave.plans import registry
 from caseweave.plans.streams import rocks
 from caseweave.streaming import gates, limits
@@ -53,3 +55,34 @@ def test_gate_state_is_a_value_and_a_timer_for_many_requests(spark, tmp_path):
     assert n <= 3
     last = given.agg(F.max("at")).first()[0].timestamp() - 86400
     assert rows_of(out) == [r for r in rows_of(gates.gate(*split(given))) if r[1] and r[1].timestamp() < last]
+
+
+def vectors(spark, n, size=8):
+    rng = np.random.default_rng(3)
+    return spark.createDataFrame([(k, rng.normal(size=size).round(2).tolist()) for k in range(n)], "id long, v array<double>")
+
+
+def asked(rows, every):
+    return rows.where(F.col("id") % every == 0).select(F.col("id").alias("query"), F.col("v").alias("vector"))
+
+
+def test_exact_search_holds_few_products_at_a_time(spark, monkeypatch):
+    """Rows at a time fall as queries rise; what is over the best so far alone is kept."""
+    rows = vectors(spark, 500).repartition(2)
+    want = rows_of(vector.nearest(rows, asked(rows, 5), "id", "v"))
+    monkeypatch.setattr(vector, "CELLS", 700)
+    assert rows_of(vector.nearest(rows, asked(rows, 5), "id", "v")) == want and len(want) == 500
+
+
+def test_best_sorts_out_and_tells_what_is_needed():
+    best, rng = vector.Best(3, 50), np.random.default_rng(1)
+    parts = [(rng.integers(0, 9, 40), np.arange(40 * k, 40 * k + 40), rng.random(40).round(1)) for k in range(9)]
+    seen = []
+    for q, k, s in parts:
+        seen += zip(q.tolist(), (-s).tolist(), k.tolist(), strict=True)
+        if best.add(q, k, s):
+            for x, floor in enumerate(best.floors(np.arange(9)).tolist()):
+                mine = sorted(r[1:] for r in seen if r[0] == x)
+                assert floor == (-mine[2][0] if len(mine) >= 3 else -np.inf)
+    want = [r for x in range(9) for r in sorted(r for r in seen if r[0] == x)[:3]]
+    assert [(q, -s, k) for q, k, s in zip(*(c.tolist() for c in best.rows()), strict=True)] == want
