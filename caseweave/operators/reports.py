@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from caseweave.functions.text import trimmed
 from caseweave.operators.texts import chunks
+from caseweave.operators.vector import nearest, usable
 
 #: Headings that open the part on relevant elements, in order (fixed patterns).
 ELEMENTS = [r"^#{1,3}\s*(?:\d+[.)]\s*)?(?:SEZIONE\s*\d*\s*[—–-]\s*)?ELEMENTI\s+DI\s+RILIEVO", r"^#{1,3}\s*ASPETTI\s+(?:CRITICI|RILEVANTI)\s+MEDICO", r"^#{1,3}\s*ANALISI\s+MEDICO[—–\s-]*LEGALE", r"^#{1,3}\s*OSSERVAZIONI\s+MEDICO", r"^#{1,3}\s*CRITICITÀ"]
@@ -139,19 +140,24 @@ def ingested(docs: DataFrame, key: str, text: str, embed: Callable[[list[str]],
 def approximate_nearest(chunks: DataFrame, queries: DataFrame, key: str, vector: str, most: int = 5, bucket: float = 0.5, tables: int = 8, radius: float = 1.18) -> DataFrame:
     """query, key, similarity and rank of the `most` chunks near each query (query, vector), its own row left out, by an index of locality-sensitive hashes of unit vectors.
 
-    The index takes every chunk; pairs that share a bucket in one of `tables` are compared, those within `radius` of each
-    other kept (1.18: a cosine of 0.3). An approximate way beside the exact one: wider buckets or more tables find more.
+    The index takes every chunk; of pairs within `radius` of each other (1.18: a cosine of 0.3) those that share a bucket in one of
+    `tables` are kept. Wide buckets hold much of all rows, so their pairs are neither joined nor shuffled: tasks meet the queries
+    in blocks, and hand on the best of each. An approximate way beside the exact one: wider buckets or more tables find more.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    def unit(rows: DataFrame, name: str, values: str) -> DataFrame:
-        typed = rows.select(F.col(name).alias("_key"), array_to_vector(F.col(values).cast("array<double>")).alias("_v"))
-        return Normalizer(inputCol="_v", outputCol="_unit").transform(typed).drop("_v")
-
-    own = unit(chunks, key, vector)
-    model = BucketedRandomProjectionLSH(inputCol="_unit", outputCol="_hash", bucketLength=bucket, numHashTables=tables, seed=1).fit(own)
-    pairs = model.approxSimilarityJoin(unit(queries, "query", "vector"), own, radius, distCol="_d")
-    found = pairs.select(F.col("datasetA._key").alias("query"), F.col("datasetB._key").alias(key), F.round(1 - F.col("_d") * F.col("_d") / 2, 6).alias("similarity")).where(F.col("query") != F.col(key))
-    by = Window.partitionBy("query").orderBy(F.desc("similarity"), key)
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= most)
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    def unit(rows: DataFrame) -> DataFrame:
+        return Normalizer(inputCol="_v", outputCol="_unit").transform(rows.withColumn("_v", array_to_vector("v")))
+
+    some = usable(chunks, key, vector)
+    if not (first := some.select(F.size("v").alias("n")).head(1)):
+        return nearest(chunks, queries, key, vector, 1 - radius * radius / 2, most)
+    width = F.size("v") == first[0]["n"]
+    model = BucketedRandomProjectionLSH(inputCol="_unit", outputCol="_hash", bucketLength=bucket, numHashTables=tables, seed=1).fit(unit(some.where(width)))
+
+    def hashes(rows: DataFrame) -> DataFrame:
+        own = F.array(*(vector_to_array(F.col("_hash")[k])[0].cast("int") for k in range(tables)))
+        return model.transform(unit(rows.where(width))).select(*rows.columns, own.alias("h"))
+
+    return nearest(chunks, queries, key, vector, 1 - radius * radius / 2, most, hashes=hashes)

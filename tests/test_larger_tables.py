@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from caseweave.operators import vector
+from caseweave.operators import reports, vector
 from caseweave.plans import registry
 from caseweave.plans.streams import rocks
 from caseweave.streaming import gates, limits
@@ -66,6 +66,17 @@ def asked(rows, every):
     return rows.where(F.col("id") % every == 0).select(F.col("id").alias("query"), F.col("v").alias("vector"))
 
 
+def test_approximate_search_joins_no_pairs(spark):
+    """Pairs that share a bucket are most of all pairs, so they must not pass a shuffle."""
+    rows = vectors(spark, 600)
+    found = reports.approximate_nearest(rows, asked(rows, 20), "id", "v")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    exact = {(r["query"], r["id"]): r["rank"] for r in vector.nearest(rows, asked(rows, 20), "id", "v", 0.3038).collect()}
+    got = {(r["query"], r["id"]) for r in found.collect()}
+    assert len(got & set(exact)) >= 0.9 * len(exact) and len(got) == len({(q, k) for q, k in got})
+
+
 def test_exact_search_holds_few_products_at_a_time(spark, monkeypatch):
     """Rows at a time fall as queries rise; what is over the best so far alone is kept."""
     rows = vectors(spark, 500).repartition(2)
