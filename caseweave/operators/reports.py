@@ -6,6 +6,7 @@ import hashlib
 import html
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -112,13 +113,20 @@ def rendered(reports: DataFrame, key: str, text: str) -> DataFrame:
     return reports.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(render, "key long, html string").withColumnRenamed("key", key)
 
 
+@lru_cache(1 << 16)
+def _place(word: str) -> tuple[int, int]:
+    """Four bytes of a word's hash, and its sign."""
+    digest = hashlib.blake2b(word.encode(), digest_size=8).digest()
+    return int.from_bytes(digest[:4], "little"), 1 if digest[4] & 1 else -1
+
+
 def hash_vectors(texts: list[str], size: int = 64) -> np.ndarray:
     """Unit vectors of texts by hashed words: a stand-in for an embedding service."""
     out = np.zeros((len(texts), size))
     for k, text in enumerate(texts):
-        for word in text.lower().split():
-            digest = hashlib.blake2b(word.encode(), digest_size=8).digest()
-            out[k, int.from_bytes(digest[:4], "little") % size] += 1 if digest[4] & 1 else -1
+        if found := [_place(w) for w in text.lower().split()]:
+            place, sign = np.array(found, np.int64).T
+            out[k] = np.bincount(place % size, sign, size)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
@@ -130,9 +138,12 @@ def ingested(docs: DataFrame, key: str, text: str, embed: Callable[[list[str]],
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch.column("content").to_pylist()
-            vectors = [v.astype("f4").tolist() for a in range(0, len(texts), each) for v in embed(texts[a : a + each])]
-            yield batch.append_column("embedding", pa.array(vectors, pa.list_(pa.float32())))
+            for at in range(0, batch.num_rows, 64 * each):
+                part = batch.slice(at, 64 * each)
+                texts = part.column("content").to_pylist()
+                vectors = np.concatenate([np.asarray(embed(texts[a : a + each]), "f4") for a in range(0, len(texts), each)])
+                offsets = pa.array(np.arange(0, vectors.size + 1, vectors.shape[1], dtype=np.int32))
+                yield part.append_column("embedding", pa.ListArray.from_arrays(offsets, pa.array(vectors.ravel())))
 
     return cut.mapInArrow(add, "key long, chunk int, content string, tokens long, embedding array<float>").withColumnRenamed("key", key)
 

@@ -4,7 +4,8 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from caseweave.operators import reports, vector
+from caseweave.functions.text import SPACE, SPACES
+from caseweave.operators import reports, texts, vector
 from caseweave.plans import registry
 from caseweave.plans.streams import rocks
 from caseweave.streaming import gates, limits
@@ -97,3 +98,30 @@ def test_best_sorts_out_and_tells_what_is_needed():
                 assert floor == (-mine[2][0] if len(mine) >= 3 else -np.inf)
     want = [r for x in range(9) for r in sorted(r for r in seen if r[0] == x)[:3]]
     assert [(q, -s, k) for q, k, s in zip(*(c.tolist() for c in best.rows()), strict=True)] == want
+
+
+def test_cuts_in_a_text_at_hand_are_those_of_columns(spark):
+    """Long texts with few and many line feeds, among them characters of two and four bytes."""
+    rng = np.random.default_rng(4)
+    made = ["".join(rng.choice(list("abà 😀\n"), 4000, p=[0.4, 0.3, 0.1, 0.1 - p, 0.1, p])) for p in (0.0, 0.002, 0.02, 0.09)] + ["x" * 1500, "x" * 1501, "", "ab\n\n" * 700]
+    rows = spark.createDataFrame([(t,) for t in made], "t string").select("t", texts.cut_points(F.col("t"), 1500, 200, 300).alias("c"))
+    assert [[tuple(c) for c in r.c] for r in rows.collect()] == [texts.cuts(t, 1500, 200, 300) for t in made]
+
+
+def test_chunks_count_no_characters_from_the_start_of_a_text(spark):
+    """A fold over columns reads a text again for every cut: quadratic in its length."""
+    plan = registry.QUERIES["text_chunks"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and "MapInArrow" in plan
+    assert spark.range(1).where(F.regexp_replace(F.lit(SPACES), SPACE, "") == "").count() == 1 and len(set(SPACES)) == 25
+
+
+def test_word_vectors_are_sums_of_hashed_words():
+    import hashlib
+
+    want = np.zeros((3, 64))
+    for k, t in enumerate(made := ["uno due due", "", "Tre uno"]):
+        for w in t.lower().split():
+            d = hashlib.blake2b(w.encode(), digest_size=8).digest()
+            want[k, int.from_bytes(d[:4], "little") % 64] += 1 if d[4] & 1 else -1
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-12)
+    assert (reports.hash_vectors(made) == want).all()
