@@ -4,8 +4,9 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
+from caseweave import packs
 from caseweave.functions.text import SPACE, SPACES
-from caseweave.operators import reports, texts, vector
+from caseweave.operators import reports, rules, texts, vector
 from caseweave.plans import registry
 from caseweave.plans.streams import rocks
 from caseweave.streaming import gates, limits
@@ -136,3 +137,14 @@ def test_texts_are_derived_once_for_all_their_quotes(spark):
     assert plan.count("Join") == 1 and "array<string>" not in plan
     assert rows_of(found) == [(1, "exact", 0), (1, "lcs", 4), (1, "normalized", 1), (1, "unverified", 2), (1, "unverified", 3), (2, "unverified", 0), (3, "unverified", 0)]
     assert {(r.doc_id, r.quote_id, r.start, r.end) for r in texts.located(quotes, docs).collect()} == {(1, 0, 0, 10), (1, 1, 16, 35)}
+
+
+def test_stems_leave_no_clinical_value_out(spark, monkeypatch):
+    """Every alternative of every pattern, in any case; and texts without any are not matched with patterns."""
+    heads = "PA pressione Press.Art. press art sistolica fc Freq.Card. freq card frequenzacardiaca battiti SpO2 sao2 saturazione sat.o2 Sat O2 glicemia GLUCOSIO glyc inr hb Emoglobina hgb temperatura temp. TC t.corp. T\u00a0corp creatinina creat. nulla".replace("press art", "press_art").replace("freq card", "freq_card").replace("Sat O2", "Sat_O2").split(" ")
+    made = [(1, k, f"x {h.replace('_', ' ')}: {v} y") for k, (h, v) in enumerate((h, v) for h in heads for v in ("30/20", "290/150", "300", "20", "55,5", "99.9", "0,1"))]
+    t = spark.createDataFrame(made, "case_id long, order_number int, title string").withColumns({"description": F.lit("fine"), "event_date": F.lit("2020-01-01").cast("date") + F.col("order_number")})
+    got = rows_of(rules.clinical_values(t))
+    assert set(packs.CLINICAL_STEMS) == {c[0] for c in packs.CLINICAL} == {r[2] for r in got}
+    monkeypatch.setattr(packs, "CLINICAL_STEMS", {})
+    assert rows_of(rules.clinical_values(t)) == got and len(got) > 50
