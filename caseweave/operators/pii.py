@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caseweave.functions.arrays import let, sums_before
 from caseweave.operators.intervals import greedy
+from caseweave.sources.shared import fresh_folder
 
 #: Passes in order (category, pattern, group of the find). Words end at ASCII letters.
 PASSES = [
@@ -79,7 +80,10 @@ def pseudonyms(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def masked(found: DataFrame, key: str = "doc_id", text: str = "text", categories: list[str] | None = None) -> DataFrame:
-    """key, masked text and how many finds were replaced. One row a key."""
+    """key, masked text and how many finds were replaced. One row a key. Finds are needed twice, so they are written to the shared folder first."""
+    folder = fresh_folder(found.sparkSession, "finds")
+    found.select(key, text, "finds", "kept").write.parquet(folder)
+    found = found.sparkSession.read.schema(found.select(key, text, "finds", "kept").schema).parquet(folder)
     names = pseudonyms(found, key).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("find", "placeholder"))).alias("_names"))
     chosen = F.filter("kept", lambda x: x["category"].isin(categories or list(LABELS)))
     joined = found.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t"), chosen.alias("_kept")).join(names, key, "left")

@@ -148,3 +148,9 @@ def test_stems_leave_no_clinical_value_out(spark, monkeypatch):
     assert set(packs.CLINICAL_STEMS) == {c[0] for c in packs.CLINICAL} == {r[2] for r in got}
     monkeypatch.setattr(packs, "CLINICAL_STEMS", {})
     assert rows_of(rules.clinical_values(t)) == got and len(got) > 50
+
+
+def test_personal_data_is_detected_once(spark):
+    """Both for the pseudonyms and for the masked texts."""
+    plan = registry.QUERIES["pii_mask"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
