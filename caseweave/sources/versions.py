@@ -69,7 +69,7 @@ class VersionedTable:
         """A version in which the touched buckets have these rows instead of theirs."""
         data = f"{self.folder}/data/{uuid.uuid4().hex}"
         dealt = rows.withColumn(BUCKET, self._bucket())
-        dealt.repartition(max(1, len(touched)), BUCKET).write.partitionBy(BUCKET).parquet(data)
+        dealt.hint("rebalance", F.col(BUCKET)).write.partitionBy(BUCKET).parquet(data)
         fs, where = self._fs(data)
         made = {int(n.split("=")[1]): f"{data}/{n}" for n in (x.getPath().getName() for x in fs.listStatus(where)) if n.startswith(BUCKET + "=")}
         if not set(made) <= set(touched):

@@ -154,3 +154,20 @@ def test_personal_data_is_detected_once(spark):
     """Both for the pseudonyms and for the masked texts."""
     plan = registry.QUERIES["pii_mask"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    """However few buckets there are, a task writes about as much as Spark advises."""
+    from caseweave.sources.versions import VersionedTable
+
+    names = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    before = [spark.conf.get(n) for n in names]
+    table = VersionedTable(spark, f"file://{tmp_path}/t", "k", 1)
+    try:
+        for n in names:
+            spark.conf.set(n, "64k")
+        table.create(spark.range(0, 100_000, 1, 8).select(F.col("id").alias("k"), F.xxhash64("id").alias("v")))
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
+    assert len(list(tmp_path.glob("t/data/*/_bucket=0/*.parquet"))) > 1 and table.read().count() == 100_000
