@@ -435,6 +435,26 @@ def test_recall_of_single_pairs_at_the_threshold(spark):
         assert near >= 100 and 600 - len(kept) >= 0.9 * near and set(far) <= kept
 
 
+def test_near_copies_are_filtered_by_the_count_of_shared_bytes():
+    """Pairs that meet need as many positional bytes in common as similar ones have; none of 2000 pairs at 0.8 has fewer."""
+    rng, index, none = np.random.default_rng(6), near_copies.WidePrints(5, 80), np.ones(2)
+    assert index.least_bytes > 3  # more than a posting of three bytes says
+    one = rng.integers(0, 256, (2, near_copies.BYTES), np.uint8)
+    two = one.copy()
+    two[0, index.least_bytes - 1 :] ^= 1
+    two[1, index.least_bytes :] ^= 1
+    differ = one.view("<u8") ^ two.view("<u8")
+    assert near_copies.shared_bytes(differ).tolist() == [index.least_bytes - 1, index.least_bytes] == (one == two).sum(axis=1).tolist()
+    assert (np.bitwise_count(differ).sum(axis=1) <= index.most_bits).all() and index.likely(one, two, none, none)[0].tolist() == [False, True]
+    for size in (9, 90, 900):
+        sets = rng.integers(0, 1 << 64, (2000, 10 * size // 9), np.uint64)
+        part = [near_copies.wide_prints(sets[:, a : a + size].ravel(), np.repeat(np.arange(2000), size), 2000) for a in (0, size // 9)]
+        assert (near_copies.shared_bytes(part[0].view("<u8") ^ part[1].view("<u8")) >= index.least_bytes).all()
+    far = rng.integers(0, 256, (2, 4000, near_copies.BYTES), np.uint8)
+    far[1, :, :3] = far[0, :, :3]
+    assert (near_copies.shared_bytes(far[0].view("<u8") ^ far[1].view("<u8")) >= index.least_bytes).mean() < 0.15  # of those that share a posting by chance
+
+
 def test_languages_of_held_out_documents(spark, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     clashing = docs.withColumns({c: F.lit("own") for c in ("score", "held_out", "lang_pred", "sure", "_text", "__text", "_salt", "feature")})
