@@ -134,14 +134,16 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, weight: Column, hot: i
     """Left join on a key unique in `right`, safe when some keys hold a large share of `left`.
 
     `weight` (over right's columns) is the number of left rows of a key. Keys with at least `hot` rows, of
-    which there are at most count(left) / hot, are broadcast; the others shuffle. Null keys find nothing.
+    which there are at most count(left) / hot, are broadcast; the others shuffle. Null keys find nothing, and
+    their rows stay in their tasks, as a shuffle would bring them all to one.
     """
     heavy = right.where(weight >= hot)
     light = right.where(weight < hot)
     marks = F.broadcast(heavy.select(F.col(key).alias("_hot_key"), F.lit(True).alias("_hot")))
     marked = left.join(marks, left[key].eqNullSafe(F.col("_hot_key")), "left").drop("_hot_key")
-    a = marked.where(F.col("_hot")).drop("_hot").join(F.broadcast(heavy), key, "left")
-    b = marked.where(F.col("_hot").isNull()).drop("_hot").join(light, key, "left")
+    stays = F.col("_hot").isNotNull() | F.col(key).isNull()
+    a = marked.where(stays).drop("_hot").join(F.broadcast(heavy), key, "left")
+    b = marked.where(~stays).drop("_hot").join(light, key, "left")
     return a.unionByName(b)
 
 

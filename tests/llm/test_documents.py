@@ -357,6 +357,24 @@ def test_page_media_by_brute_force(spark):
     assert set(got) == want and len(got) == len(want) and sum(r[7] is not None for r in got) >= 20
 
 
+def test_rows_without_a_key_stay_in_their_tasks(spark):
+    """Most elements of pages are texts, which refer to nothing: no task may gather them."""
+    left = spark.range(0, 4000, 1, 8).select("id", F.when(F.col("id") % 40 == 0, F.col("id") % 400).alias("key"))
+    right = spark.range(0, 300).select(F.col("id").alias("key"), (F.col("id") * 2).alias("value"), F.when(F.col("id") == 40, 500).otherwise(10).alias("n"))
+    right = right.unionByName(spark.createDataFrame([(None, -1, 10)], "key long, value long, n int"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = common.join_hot(left, right, "key", F.col("n"), 100).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    want = [(k, k % 400 if k % 40 == 0 else None, 2 * (k % 400) if k % 40 == 0 and k % 400 < 300 else None) for k in range(4000)]
+    assert sorted((r.id, r.key, r.value) for r in found) == want
+    assert len({r.task for r in found if r.key is None}) >= 8
+
+
 def test_near_copies_of_planted_groups(spark):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
