@@ -89,6 +89,21 @@ def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return rows.join(gone.select(key).distinct(), key, "left_anti")
 
 
+#: Rows of a task to which keys deal narrow rows.
+TASK_ROWS = 1 << 20
+
+
+def many_without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """`without` for many narrow rows, which are dealt by key to as many tasks as their number asks for: Spark goes by bytes, and they pack so well that a task would sort many millions.
+
+    A left join, as an anti join is pushed below what deals the rows out.
+    """
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(least, -(-rows.count() // TASK_ROWS))
+    keys = gone.select(key).repartition(tasks, key).distinct()  # else the rows are dealt anew to as many tasks as distinct() takes
+    return rows.repartition(tasks, key).join(keys.withColumn("_gone", F.lit(True)), key, "left").where(F.col("_gone").isNull()).drop("_gone")
+
+
 def orphans(rows: DataFrame, parents: DataFrame, key: str, parent_key: str) -> DataFrame:
     """How many rows refer to no parent (null references are fine), and how many there are."""
     known = parents.select(F.col(parent_key).alias(key)).distinct().withColumn("_known", F.lit(True))

@@ -1,12 +1,14 @@
 """Queries on tables larger than those given: high keys, many and large groups."""
 
+import re
+
 import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
 from caseweave import packs
 from caseweave.functions.text import SPACE, SPACES
-from caseweave.operators import reports, rules, texts, vector
+from caseweave.operators import reports, rules, tables, texts, vector
 from caseweave.plans import registry
 from caseweave.plans.streams import rocks
 from caseweave.streaming import gates, limits
@@ -30,6 +32,26 @@ def test_formats_with_keys_of_large_tables(spark, tmp_path):
     assert rows_of(registry.QUERIES["formats"](spark, str(tmp_path))) == want
 
 
+def test_rows_that_lose_keys_are_dealt_by_their_number(spark, monkeypatch):
+    """A task sorts a bounded number of rows, however few bytes they take in the shuffle."""
+    monkeypatch.setattr(tables, "TASK_ROWS", 100, raising=False)
+    con = duckdb.connect()
+    for name in ("customer", "orders", "lineitem"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+    for name, key in (("cascade_remaining", "case_id"), ("docs_without_events", "document_id")):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            found = registry.QUERIES[name](spark, SF)
+            dealt = re.findall(rf"hashpartitioning\({key}#\d+L?, (\d+)\)", found._jdf.queryExecution().executedPlan().toString())
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        rows = con.execute("SELECT count(*) FROM lineitem" + " WHERE l_linestatus = 'F' AND l_returnflag <> 'A'" * (key == "document_id")).fetchone()[0]
+        assert dealt and min(map(int, dealt)) >= rows / 100 > 4
+        want = con.execute(registry.ORACLE_SQL[name])
+        names = [d[0] for d in want.description]
+        assert rows_of(found) == sorted(tuple(row[names.index(c)] for c in sorted(names)) for row in want.fetchall())
+
+
 def held_rows(spark, tmp_path, found, given):
     """The rows of state after one batch of `given`, and what came out."""
     given.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
