@@ -77,3 +77,21 @@ def test_queries_return_the_columns_asked_for(spark, prefix):
         assert df.count() == 16 * spark.read.parquet(f"{SF}/embeddings.parquet").count()
     elif prefix != "op6_":
         assert df.count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
+
+
+def test_workers_get_small_batches_and_give_memory_back(spark):
+    """Long texts come in batches of bounded bytes, and what holds them is under malloc's thresholds."""
+
+    def looked(batches):
+        import os
+
+        import pyarrow as pa
+
+        sizes = [(batch.nbytes, batch.num_rows) for batch in batches]
+        found = max(sizes)[0], sum(n for _, n in sizes), pa.default_memory_pool().backend_name, int(os.environ.get("MALLOC_MMAP_THRESHOLD_", 0)), int(os.environ.get("MALLOC_TRIM_THRESHOLD_", 0))
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in found], names=["most", "rows", "pool", "mapped", "trimmed"])
+
+    texts = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("word "), 2000).alias("text"))
+    row = texts.mapInArrow(looked, "most long, rows long, pool string, mapped long, trimmed long").first()
+    assert row["rows"] == 4000 and row["most"] <= 9 << 20
+    assert row["pool"] == "system" and row["mapped"] == 4 << 20 and row["trimmed"] == 16 << 20
